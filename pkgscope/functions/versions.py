@@ -123,19 +123,15 @@ def is_valid_version(v) -> Column:
 
 
 def bump_kind(v1, v2) -> Column:
-    """Major / minor / patch by the first differing release number
-    (missing numbers are 0); ``None`` when the releases agree."""
+    """``major`` when the first release numbers differ, else ``minor``
+    when the second ones differ (missing numbers are 0), else ``patch``."""
     r1 = version_parts(v1)["release_raw"]
     r2 = version_parts(v2)["release_raw"]
 
     def at(r, i):
-        return F.coalesce(F.try_element_at(r, F.lit(i)), F.lit(0))
+        return F.coalesce(F.try_element_at(r, F.lit(i)), F.lit(0).cast("bigint"))
 
-    return (
-        F.when(at(r1, 1) != at(r2, 1), "major")
-        .when(at(r1, 2) != at(r2, 2), "minor")
-        .when(at(r1, 3) != at(r2, 3), "patch")
-    )
+    return F.when(at(r1, 1) != at(r2, 1), "major").when(at(r1, 2) != at(r2, 2), "minor").otherwise("patch")
 
 
 # ---------------------------------------------------------------- specifiers

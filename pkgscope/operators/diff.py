@@ -309,3 +309,52 @@ def release_note_lines(diffs: DataFrame, by: list[str]) -> DataFrame:
                         F.col("clients_impacted"), F.col("clients_used"), F.col("clients_total")),
     ).otherwise(F.format_string("%d. %s", n, F.col("message")))
     return d.select(*by, "is_breaking", n.alias("entry_no"), line.alias("line"))
+
+
+def evolution_stats(diffs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per version pair: bump kind, breaking / non-breaking changes and
+    breaking changes that are used / impact clients; pairs without changes
+    appear with zeros (left join from the pair table)."""
+    from pkgscope.functions.versions import bump_kind
+
+    brk = is_breaking(F.col("diff_type"))
+    agg = diffs.groupBy("pkg", "v1", "v2").agg(
+        F.count_if(brk).alias("bc"),
+        F.count_if(~brk).alias("nbc"),
+        F.count_if(brk & (F.col("clients_used") > 0)).alias("ubc"),
+        F.count_if(brk & (F.col("clients_impacted") > 0)).alias("ibc"),
+    )
+    return (
+        pairs.select("pkg", "v1", "v2").join(agg, ["pkg", "v1", "v2"], "left")
+        .select("pkg", "v1", "v2", bump_kind("v1", "v2").alias("bump"),
+                *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("bc", "nbc", "ubc", "ibc")])
+    )
+
+
+def change_type_table(diffs: DataFrame) -> DataFrame:
+    """Per change type: all / used / impacted counts and their shares
+    of the column totals (totals from a one-row aggregate, no window)."""
+    used = F.col("clients_used") > 0
+    imp = F.col("clients_impacted") > 0
+    brk = is_breaking(F.col("diff_type"))
+    per = diffs.groupBy("diff_type").agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(used & brk).alias("n_used"),
+        F.count_if(imp & brk).alias("n_impacted"),
+    )
+    tot = per.agg(F.sum("n_all").alias("_ta"), F.sum("n_used").alias("_tu"), F.sum("n_impacted").alias("_ti"))
+    return (
+        per.join(F.broadcast(tot))  # one row by construction
+        .select("diff_type", "n_all", (F.col("n_all") / F.col("_ta")).alias("share_all"),
+                "n_used", (F.col("n_used") / F.col("_tu")).alias("share_used"),
+                "n_impacted", (F.col("n_impacted") / F.col("_ti")).alias("share_impacted"))
+    )
+
+
+def pairs_by_bump(evo: DataFrame) -> DataFrame:
+    """Number of pairs per bump kind, and those without (used) breaking changes."""
+    return evo.groupBy("bump").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count_if(F.col("bc") == 0).alias("n_no_breaking"),
+        F.count_if(F.col("ubc") == 0).alias("n_no_used_breaking"),
+    )

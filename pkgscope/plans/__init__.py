@@ -1,4 +1,4 @@
 """Query plans: each module registers named queries with their oracle SQL."""
 
-from pkgscope.plans import q_diff, q_usage, q_versions  # noqa: F401
+from pkgscope.plans import q_diff, q_entity, q_usage, q_versions  # noqa: F401
 from pkgscope.plans.registry import ORACLES, QUERIES  # noqa: F401

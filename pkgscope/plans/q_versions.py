@@ -159,7 +159,7 @@ def q_pairs(spark, sf_dir):
 
 
 @register("V11_bump_kind", PAIRS_SQL + """
-SELECT pkg, v1, v2, CASE WHEN r1a <> r1 THEN 'major' WHEN r2a <> r2 THEN 'minor' WHEN r3a <> r3 THEN 'patch' END AS bump
+SELECT pkg, v1, v2, CASE WHEN r1a <> r1 THEN 'major' WHEN r2a <> r2 THEN 'minor' ELSE 'patch' END AS bump
 FROM pairs""")
 def q_bump(spark, sf_dir):
     p = V.adjacent_pairs(C.release_versions(release_files(spark, sf_dir)))
