@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pkgscope.session import cut_lineage
 
@@ -122,3 +123,82 @@ def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[s
         bad = bad | external
     return state.select(*by, "src", F.when(bad, F.lit(None)).otherwise(F.col("cur")).alias("final"),
                         F.when(bad, F.lit(None)).otherwise(F.col("hops")).alias("hops"))
+
+
+# ------------------------------------------------------------------ building
+
+ALIAS_ORD = 1_000_000
+WILDCARD_ORD = 2_000_000
+
+
+def import_aliases(rows: DataFrame) -> DataFrame:
+    """Alias rows from parsed imports -> pkg, ver, module, name,
+    full_alias, ord.  ``import a.b [as c]`` aliases ``c`` (or ``a.b``) to
+    ``a.b``; ``from m import n [as k]`` aliases ``k`` (or ``n``) to
+    ``m.n``, a relative ``m`` being resolved against the module's parent
+    package (level 1 = the parent itself)."""
+    r = rows.where(F.col("rkind").isin("import", "importfrom"))
+    parent_parts = F.split(parent_of("module"), r"\.")
+    level = F.col("imp_level")
+    base = F.when(level == 1, parent_of("module")).otherwise(
+        F.array_join(F.slice(parent_parts, 1, F.greatest(F.size(parent_parts) - level + 1, F.lit(0))), "."))
+    rel_module = F.when(F.col("imp_module").isNotNull(),
+                        F.concat_ws(".", F.when(base != "", base), F.col("imp_module"))).otherwise(base)
+    full_module = F.when(level == 0, F.col("imp_module")).otherwise(rel_module)
+    full = F.when(F.col("rkind") == "import", F.col("name")).otherwise(F.concat_ws(".", full_module, F.col("name")))
+    local = F.coalesce(F.col("asname"), F.col("name"))
+    return r.select("pkg", "ver", "module", local.alias("name"), full.alias("full_alias"),
+                    (F.col("ord") + ALIAS_ORD).alias("ord"))
+
+
+def build_entities(rows: DataFrame) -> DataFrame:
+    """The entity table of parsed modules: definitions first, then
+    aliases in import order, then one wildcard entity per module; the first
+    of a clashing name wins; ``pkg.__init__`` entities are also listed under
+    ``pkg``.  -> pkg, ver, module, name, key, kind, ord, full_alias, targets"""
+    defs = rows.where(
+        F.col("rkind").isin("function", "variable")
+        & F.col("class_path").isNull()
+        | ((F.col("rkind") == "class") & ~F.col("class_path").contains("."))
+    ).select("pkg", "ver", "module", "name", F.col("rkind").alias("kind"), "ord",
+             F.lit(None).cast("string").alias("full_alias"), F.lit(None).cast("array<string>").alias("targets"))
+    al = import_aliases(rows)
+    plain = al.where(F.col("name") != "*").select(
+        "pkg", "ver", "module", "name", F.lit("alias").alias("kind"), "ord", "full_alias",
+        F.lit(None).cast("array<string>").alias("targets"))
+    wild = (
+        al.where(F.col("name") == "*")
+        .groupBy("pkg", "ver", "module")
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "full_alias"))).alias("_t"))
+        .select("pkg", "ver", "module", F.lit("*").alias("name"), F.lit("wildcard").alias("kind"),
+                F.lit(WILDCARD_ORD).alias("ord"), F.lit(None).cast("string").alias("full_alias"),
+                F.transform("_t", lambda x: x["full_alias"]).alias("targets"))
+    )
+    allr = defs.unionByName(plain).unionByName(wild)
+    w = Window.partitionBy("pkg", "ver", "module", "name").orderBy("ord")
+    ent = allr.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    ent = ent.withColumn("key", F.concat_ws(".", "module", "name"))
+    hoisted = (
+        ent.where(F.col("module").endswith(".__init__"))
+        .withColumn("module", F.regexp_replace("module", r"\.__init__$", ""))
+        .withColumn("key", F.concat_ws(".", "module", "name"))
+    )
+    return ent.unionByName(hoisted)
+
+
+def build_members(rows: DataFrame) -> DataFrame:
+    """Members of classes -> pkg, ver, class_key, name, mkind, ord,
+    args, decorators, var_type, value (methods, fields, static fields, nested classes)."""
+    m = rows.where(F.col("mkind").isNotNull() & F.col("class_path").isNotNull())
+    return m.select("pkg", "ver", F.concat_ws(".", "module", "class_path").alias("class_key"), "name", "mkind", "ord",
+                    "args", "decorators", "var_type", "value")
+
+
+def extraction_status(rows: DataFrame) -> DataFrame:
+    """Per (pkg, ver): failed modules as a map, a version-level
+    error when one module raised outside the parser, and statistics."""
+    return rows.groupBy("pkg", "ver").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("rkind") == "failed", F.struct("module", "error")))).alias("failed_modules"),
+        F.max(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("error_message"),
+        F.count_distinct("module").alias("n_modules"),
+    ).withColumn("error", F.col("error_message").isNotNull())
