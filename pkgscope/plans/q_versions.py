@@ -121,14 +121,14 @@ def q_spec_match(spark, sf_dir):
     return V.matching_versions(reqs, rel)
 
 
-@register("V9_spec_type", binding_cte("b_req") + """,
+V9_SQL = binding_cte("b_req") + """,
 sp AS (SELECT DISTINCT spec FROM b_req),
 cl AS (SELECT spec, list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> '') AS cls FROM sp),
 c2 AS (SELECT spec, cls, len(cls) AS n,
   regexp_extract(cls[1], '^(===|~=|==|!=|<=|>=|<|>)', 1) AS op1,
   trim(regexp_replace(cls[1], '^(===|~=|==|!=|<=|>=|<|>)', '')) AS v1,
-  list_transform(cls, lambda x: regexp_extract(x, '^(===|~=|==|!=|<=|>=|<|>)', 1)) AS ops FROM cl)
-SELECT spec, CASE WHEN n = 0 THEN 'any'
+  list_transform(cls, lambda x: regexp_extract(x, '^(===|~=|==|!=|<=|>=|<|>)', 1)) AS ops FROM cl),
+v9 AS (SELECT spec, CASE WHEN n = 0 THEN 'any'
   WHEN n = 1 THEN CASE
     WHEN op1 IN ('>=', '>') THEN 'at-least' WHEN op1 IN ('<=', '<') THEN 'at-most'
     WHEN op1 = '==' AND regexp_matches(v1, '^[0-9]+\\.[0-9]+\\.\\*') THEN 'var-micro'
@@ -139,7 +139,11 @@ SELECT spec, CASE WHEN n = 0 THEN 'any'
     ELSE 'other' END
   WHEN n = 2 THEN CASE WHEN (list_contains(ops, '>') OR list_contains(ops, '>=')) AND (list_contains(ops, '<') OR list_contains(ops, '<='))
     THEN 'range' ELSE 'other' END
-  ELSE 'other' END AS spec_type FROM c2""")
+  ELSE 'other' END AS spec_type FROM c2)
+"""
+
+
+@register("V9_spec_type", V9_SQL + "SELECT spec, spec_type FROM v9")
 def q_spec_type(spark, sf_dir):
     reqs, _ = requirements(spark, sf_dir)
     return reqs.select("spec").distinct().select("spec", V.spec_type(F.col("spec")).alias("spec_type"))
