@@ -1,4 +1,4 @@
 """Query plans: each module registers named queries with their oracle SQL."""
 
-from pkgscope.plans import q_catalog, q_diff, q_entity, q_match, q_reports, q_source, q_sources, q_stream, q_usage, q_versions  # noqa: F401
+from pkgscope.plans import q_catalog, q_chainmatch, q_diff, q_entity, q_match, q_reports, q_source, q_sources, q_stream, q_usage, q_versions  # noqa: F401
 from pkgscope.plans.registry import ORACLES, QUERIES  # noqa: F401
