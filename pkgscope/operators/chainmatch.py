@@ -91,21 +91,24 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
     def flagged(c):
         return F.transform(c, lambda a: a.withField("has_default", a["default"].isNotNull()))
 
-    f = funcs.select(*by, F.col("key").alias("_fk"), flagged("args").alias("_fargs"), F.col("signature").alias("_fsig"))
-    ctor = methods.where(F.col("name") == "__init__").select(
-        *by, F.col("class_key").alias("_ck"), flagged("args").alias("_cargs"), F.col("signature").alias("_csig"))
-    meth = methods.select(*by, F.col("class_key").alias("_mk"), F.col("name").alias("_mn"), flagged("args").alias("_margs"),
-                          F.col("signature").alias("_msig"),
-                          F.exists(F.coalesce("decorators", F.array().cast("array<string>")),
-                                   lambda d: d.contains("staticmethod")).alias("_static"))
-    j = (
-        stop.join(f, [*[stop[c] == f[c] for c in by], stop["s.rkey"] == f["_fk"], stop["s.rkind"] == "function"], "left")
-        .drop(*[f[c] for c in by])
-    )
-    j = j.join(ctor, [*[j[c] == ctor[c] for c in by], j["s.rkey"] == ctor["_ck"], j["s.rkind"] == "class"], "left") \
-        .drop(*[ctor[c] for c in by])
-    j = j.join(meth, [*[j[c] == meth[c] for c in by], j["s.rkey"] == meth["_mk"], j["s.rkind"] == "class",
-                      j["s.next.name"] == meth["_mn"], j["s.next.is_call"]], "left").drop(*[meth[c] for c in by])
+    def keyed(df, tag):
+        return df.select(*[F.col(c).alias(f"_{tag}_{c}") for c in by], *[c for c in df.columns if c not in by])
+
+    def on(tag):
+        return [F.col(c) == F.col(f"_{tag}_{c}") for c in by]
+
+    f = keyed(funcs.select(*by, F.col("key").alias("_fk"), flagged("args").alias("_fargs"),
+                           F.col("signature").alias("_fsig")), "f")
+    ctor = keyed(methods.where(F.col("name") == "__init__").select(
+        *by, F.col("class_key").alias("_ck"), flagged("args").alias("_cargs"), F.col("signature").alias("_csig")), "c")
+    meth = keyed(methods.select(*by, F.col("class_key").alias("_mk"), F.col("name").alias("_mn"),
+                                flagged("args").alias("_margs"), F.col("signature").alias("_msig"),
+                                F.exists(F.coalesce("decorators", F.array().cast("array<string>")),
+                                         lambda d: d.contains("staticmethod")).alias("_static")), "m")
+    j = stop.join(f, [*on("f"), F.col("s.rkey") == F.col("_fk"), F.col("s.rkind") == "function"], "left")
+    j = j.join(ctor, [*on("c"), F.col("s.rkey") == F.col("_ck"), F.col("s.rkind") == "class"], "left")
+    j = j.join(meth, [*on("m"), F.col("s.rkey") == F.col("_mk"), F.col("s.rkind") == "class",
+                      F.col("s.next.name") == F.col("_mn"), F.col("s.next.is_call")], "left")
     it, nx = F.col("s.item"), F.col("s.next")
     leaf = F.regexp_extract(F.col("s.rkey"), r"([^.]*)$", 1)
     fv = call_verdict(leaf, "_fargs", it["n_args"], it["kwargs"], it["starargs"], it["addl_kwargs"])
@@ -147,3 +150,29 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
                    F.when(status == MATCH, mkind).alias("matched_kind"))
     return chains.select("chain_id", *by, *[c for c in chains.columns if c not in ("chain_id", "items", *by)]) \
         .join(out, ["chain_id", *by])
+
+
+def catalogue_tables(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Catalogue tables for :func:`match_chains` from parsed module rows
+    (``parse.parse_sources``) and their entity table (``catalog.build_entities``).
+    -> objects, funcs, methods, all keyed by (pkg, ver)."""
+    from pkgscope.functions.signatures import function_signature
+
+    by = ["pkg", "ver"]
+    mods = rows.select(*by, F.regexp_replace("module", r"\.__init__$", "").alias("key")).distinct()
+    parts = F.split("key", r"\.")
+    modules = (
+        mods.select(*by, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_i"), parts.alias("_p"))
+        .select(*by, F.array_join(F.slice("_p", 1, F.col("_i")), ".").alias("key")).distinct()
+        .select(*by, "key", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("full_alias"),
+                F.lit(None).cast("array<string>").alias("targets"))
+    )
+    objects = modules.unionByName(entities.select(*by, "key", "kind", "full_alias", "targets"))
+    sig = function_signature("name", "args", "decorators", "is_async", "returns")
+    f = rows.where((F.col("rkind") == "function") & F.col("class_path").isNull()).select(
+        *by, F.regexp_replace("module", r"\.__init__$", "").alias("module"), "name", "args", sig.alias("signature"))
+    funcs = f.select(*by, F.concat_ws(".", "module", "name").alias("key"), "args", "signature")
+    m = rows.where(F.col("mkind") == "method").select(
+        *by, F.concat_ws(".", F.regexp_replace("module", r"\.__init__$", ""), "class_path").alias("class_key"), "name",
+        "args", "decorators", sig.alias("signature"))
+    return objects, funcs, m
