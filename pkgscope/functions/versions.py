@@ -47,30 +47,36 @@ def is_version(v) -> Column:
     return F.coalesce(F.lower(_col(v)).rlike(VERSION_REGEX), F.lit(False))
 
 
+def _pre_rank(pre_l: Column, has_pre: Column, has_post: Column, has_dev: Column) -> Column:
+    ranks = F.create_map(*[F.lit(x) for kv in PRE_RANK.items() for x in kv])
+    return (
+        F.when(~has_pre & ~has_post & has_dev, F.lit(DEV_ONLY_RANK))
+        .otherwise(F.coalesce(F.element_at(ranks, pre_l), F.lit(NO_PRE_RANK)))
+    )
+
+
+def _release(rel_text: Column) -> Column:
+    """Release numbers with trailing zeros removed (1.0 == 1.0.0)."""
+    return F.transform(F.split(F.regexp_replace(rel_text, r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("bigint"))
+
+
 def version_parts(v) -> Column:
-    """STRUCT with the parsed fields (NULL when not a version)."""
+    """STRUCT with the parsed fields (NULL when not a version).  Materialise
+    it as a column when several fields are needed (see ``with_version_parts``)."""
     s = F.lower(_col(v))
     release_raw = F.transform(F.split(_grp(s, 2), r"\."), lambda x: x.try_cast("bigint"))
     pre_l, pre_n = _grp(s, 3), _grp(s, 4)
     post_implicit, post_l, post_n = _grp(s, 5), _grp(s, 6), _grp(s, 7)
     dev_l, dev_n = _grp(s, 8), _grp(s, 9)
     has_pre, has_post, has_dev = pre_l != "", (post_implicit != "") | (post_l != ""), dev_l != ""
-    pre_rank = F.lit(NO_PRE_RANK)
-    for letter, rank in PRE_RANK.items():
-        pre_rank = F.when(pre_l == letter, F.lit(rank)).otherwise(pre_rank)
-    pre_rank = F.when(~has_pre & ~has_post & has_dev, F.lit(DEV_ONLY_RANK)).otherwise(pre_rank)
     post = F.when(post_implicit != "", post_implicit.try_cast("bigint")).when(
         post_l != "", _num(post_n, 0)).otherwise(F.lit(NO_POST).cast("bigint"))
-    # Release with trailing zeros removed, so 1.0 == 1.0.0 under struct equality.
-    nz = F.array_position(F.transform(F.reverse(release_raw), lambda x: x != 0), True)
-    keep = F.when(nz == 0, F.lit(0)).otherwise(F.size(release_raw) - nz + 1)
-    release = F.slice(release_raw, 1, keep)
     return F.when(
         is_version(v),
         F.struct(
             _num(_grp(s, 1), 0).alias("epoch"),
-            release.alias("release"),
-            pre_rank.alias("pre_rank"),
+            _release(_grp(s, 2)).alias("release"),
+            _pre_rank(pre_l, has_pre, has_post, has_dev).alias("pre_rank"),
             F.when(has_pre, _num(pre_n, 0)).otherwise(F.lit(0).cast("bigint")).alias("pre_num"),
             post.alias("post"),
             F.when(has_dev, _num(dev_n, 0)).otherwise(F.lit(NO_DEV).cast("bigint")).alias("dev"),
@@ -112,21 +118,39 @@ def base_key_of(parts: Column) -> Column:
 
 
 def version_key(v) -> Column:
-    """V2: sortable key of a version string (NULL if it does not parse)."""
-    return key_of(version_parts(v))
+    """V2: sortable key of a version string (NULL if it does not parse),
+    built straight from the regex groups to keep the expression small."""
+    s = F.lower(_col(v))
+    pre_l, post_implicit, post_l, dev_l = _grp(s, 3), _grp(s, 5), _grp(s, 6), _grp(s, 8)
+    has_pre, has_post, has_dev = pre_l != "", (post_implicit != "") | (post_l != ""), dev_l != ""
+    return F.when(
+        is_version(v),
+        F.struct(
+            _num(_grp(s, 1), 0).alias("epoch"),
+            _release(_grp(s, 2)).alias("release"),
+            _pre_rank(pre_l, has_pre, has_post, has_dev).alias("pre_rank"),
+            F.when(has_pre, _num(_grp(s, 4), 0)).otherwise(F.lit(0).cast("bigint")).alias("pre_num"),
+            F.when(post_implicit != "", post_implicit.try_cast("bigint")).when(has_post, _num(_grp(s, 7), 0))
+            .otherwise(F.lit(NO_POST).cast("bigint")).alias("post"),
+            F.when(has_dev, _num(_grp(s, 9), 0)).otherwise(F.lit(NO_DEV).cast("bigint")).alias("dev"),
+            _grp(s, 10).alias("local"),
+        ),
+    )
 
 
 def is_valid_version(v) -> Column:
     """V1: parses and is neither a pre-release nor a dev release (post ok)."""
-    p = version_parts(v)
-    return F.coalesce(~(p["is_pre"] | p["is_dev"]), F.lit(False))
+    s = F.lower(_col(v))
+    return is_version(v) & (_grp(s, 3) == "") & (_grp(s, 8) == "")
 
 
 def bump_kind(v1, v2) -> Column:
     """``major`` when the first release numbers differ, else ``minor``
     when the second ones differ (missing numbers are 0), else ``patch``."""
-    r1 = version_parts(v1)["release_raw"]
-    r2 = version_parts(v2)["release_raw"]
+    def raw(v):
+        return F.transform(F.split(_grp(F.lower(_col(v)), 2), r"\."), lambda x: x.try_cast("bigint"))
+
+    r1, r2 = raw(v1), raw(v2)
 
     def at(r, i):
         return F.coalesce(F.try_element_at(r, F.lit(i)), F.lit(0).cast("bigint"))

@@ -358,3 +358,30 @@ def pairs_by_bump(evo: DataFrame) -> DataFrame:
         F.count_if(F.col("bc") == 0).alias("n_no_breaking"),
         F.count_if(F.col("ubc") == 0).alias("n_no_used_breaking"),
     )
+
+
+def client_impact(diffs: DataFrame, usage: DataFrame, old_status: DataFrame, new_status: DataFrame,
+                  by: list[str] | None = None) -> DataFrame:
+    """Per change, clients of the old version in total, clients using
+    the changed API (exact name) and clients impacted: the first pattern of a
+    client for that API (text order) matches the old catalogue and does not
+    match the new one.
+
+    usage: by + c_pkg, api, chain (MATCH rows of the old version).
+    old_status / new_status: chain, status (``chainmatch.match_chains``).
+    Totals come from a one-row aggregate per key; usage is reduced to one
+    row per (client, API) before meeting the changes."""
+    by = by or []
+    per = usage.groupBy(*by, "c_pkg", "api").agg(F.min("chain").alias("chain"))
+    hit = (
+        per.join(old_status.select("chain", F.col("status").alias("_old")), "chain", "left")
+        .join(new_status.select("chain", F.col("status").alias("_new")), "chain", "left")
+        .groupBy(*by, F.col("api").alias("api_name"))
+        .agg(F.count(F.lit(1)).alias("clients_used"),
+             F.count_if((F.col("_old") == "MATCH") & (F.coalesce(F.col("_new"), F.lit("")) != "MATCH"))
+             .alias("clients_impacted"))
+    )
+    total = usage.groupBy(*by).agg(F.count_distinct("c_pkg").alias("clients_total"))
+    out = diffs.join(hit, by + ["api_name"], "left")
+    out = out.join(F.broadcast(total), by, "left") if by else out.join(F.broadcast(total))
+    return out.na.fill(0, ["clients_used", "clients_impacted", "clients_total"])

@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pkgscope.sources.bindings_sql import BINDINGS, DRIVER_TABLES
 
 
+_registered: dict[tuple[int, str], str] = {}
+
+
+def tables_of(sql: str) -> list[str]:
+    """Driver tables named in a binding SQL text."""
+    words = set(re.findall(r"[a-z_]+", sql.lower()))
+    return [t for t in DRIVER_TABLES if t in words]
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    """Register each driver parquet table as a temp view of the same name."""
+    """Register driver parquet tables as temp views of the same name.  A view
+    already registered for the same folder in this session is kept (the scan
+    plan is the same), so repeated bindings do not re-list files."""
     for name in names:
+        key = (id(spark), name)
+        if _registered.get(key) == sf_dir and spark.catalog.tableExists(name):
+            continue
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path):
             spark.read.parquet(path).createOrReplaceTempView(name)
+            _registered[key] = sf_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +44,7 @@ def binding(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     plan it was analysed with, so later re-registration for another scale
     does not change it.
     """
-    register_tables(spark, sf_dir)
+    register_tables(spark, sf_dir, tables_of(BINDINGS[name]))
     return spark.sql(BINDINGS[name])
 
 
