@@ -25,19 +25,26 @@ def substitute_aliases(events: DataFrame, rounds: int = 5, checkpoint: bool = Tr
     merged) for every alias of the first segment whose target text does not
     occur in the call; a call whose first segment is ``name(args)`` uses the
     alias of ``name``.  A file takes another round only while the previous
-    one added new texts.  -> c_pkg, c_ver, src_file, call, lines"""
+    one added new texts.  -> c_pkg, c_ver, src_file, call, lines
+
+    Only files still changing are carried through a round: files without
+    aliases are final at once, a file whose round added nothing is set
+    aside, and the loop ends when no file is pending."""
     calls = _merge(events.where(F.col("ev") == "call").select(*FILE, F.col("text").alias("call"),
                                                               F.array(F.col("line")).alias("lines")))
     aliases = events.where(F.col("ev") == "alias").select(*FILE, F.col("text").alias("_name"), F.col("target")).distinct()
     names = aliases.select(*FILE, "_name").distinct()
-    results = calls
-    active = calls.select(*FILE).distinct()
+    active = aliases.select(*FILE).distinct()
+    finished = [calls.join(active, FILE, "left_anti")]
+    pending = calls.join(active, FILE, "left_semi")
+    if checkpoint:
+        pending = cut_lineage(pending)
     for _ in range(rounds):
-        cur = results.join(active, FILE, "left_semi")
+        if pending.isEmpty():
+            break
         parts = F.split(F.col("call"), r"\.")
-        first = parts[0]
         suffix = F.when(F.size(parts) > 1, F.concat(F.lit("."), F.array_join(F.slice(parts, 2, F.size(parts)), ".")))
-        cur = cur.withColumn("_first", first).withColumn("_suffix", F.coalesce(suffix, F.lit("")))
+        cur = pending.withColumn("_first", parts[0]).withColumn("_suffix", F.coalesce(suffix, F.lit("")))
         direct = cur.join(aliases.withColumnRenamed("_name", "_first"), FILE + ["_first"]).select(
             *FILE, F.col("call").alias("_orig"), F.concat("target", "_suffix").alias("new_call"), "lines", "target")
         called = (
@@ -54,13 +61,17 @@ def substitute_aliases(events: DataFrame, rounds: int = 5, checkpoint: bool = Tr
             .where(F.instr(F.col("_orig"), F.col("target")) == 0)
             .select(*FILE, F.col("new_call").alias("call"), "lines")
         )
-        new_keys = derived.join(results, FILE + ["call"], "left_anti")
-        active = new_keys.select(*FILE).distinct()
-        results = _merge(results.unionByName(derived))
+        grew = derived.join(pending, FILE + ["call"], "left_anti").select(*FILE).distinct()
+        merged = _merge(pending.unionByName(derived))
         if checkpoint:
-            results = cut_lineage(results)
-            active = cut_lineage(active)
-    return results
+            merged, grew = cut_lineage(merged), cut_lineage(grew)
+        finished.append(merged.join(grew, FILE, "left_anti"))
+        pending = merged.join(grew, FILE, "left_semi")
+    finished.append(pending)
+    out = finished[0]
+    for f in finished[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def render_call(name: Column, argstr: Column) -> Column:

@@ -259,3 +259,25 @@ def q_latest(spark, sf_dir):
 SELECT u_pkg, unnest(string_split(u_vers, ',')) AS u_ver, c_pkg, c_ver FROM sampled""")
 def q_all_work(spark, sf_dir):
     return C.all_work(C.sample_clients(clients_table(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ resolution
+
+@register("V13_dependency_resolution", FILES_SQL + """,
+rq AS (SELECT DISTINCT c_pkg, c_ver, dep, spec FROM b_req WHERE dep IN (SELECT pkg FROM rel)),
+best AS (SELECT m.dep, m.spec, arg_max(m.ver, (vk2.time, vk2.k)) AS dep_ver FROM m JOIN vk2 ON vk2.pkg = m.dep AND vk2.ver = m.ver
+         GROUP BY m.dep, m.spec),
+cand AS (SELECT rq.c_pkg, rq.c_ver, rq.dep, rq.spec, best.dep_ver FROM rq JOIN best ON best.dep = rq.dep AND best.spec = rq.spec)
+SELECT c_pkg AS root_pkg, c_ver AS root_ver, dep, dep_ver, 1 AS level FROM (
+  SELECT *, row_number() OVER (PARTITION BY c_pkg, c_ver, dep ORDER BY spec) AS r FROM cand) WHERE r = 1""")
+def q_v13(spark, sf_dir):
+    """Clients of b_req resolved against b_release; declaration order = spec text order."""
+    from pkgscope.operators import deps as DP
+
+    reqs, _ = requirements(spark, sf_dir)
+    reqs = reqs.distinct().withColumnRenamed("c_pkg", "pkg").withColumnRenamed("c_ver", "ver")
+    reqs = reqs.withColumn("ord", F.dense_rank().over(Window.partitionBy("pkg", "ver").orderBy("dep", "spec")))
+    files = release_files(spark, sf_dir)
+    rel = C.release_versions(files).select("pkg", "ver", "time")
+    roots = reqs.select("pkg", "ver").distinct()
+    return DP.resolve(roots, reqs, rel, files.select("pkg").distinct())

@@ -43,9 +43,12 @@ def incremental_catalogue(spark: SparkSession, landing: str, out: str, checkpoin
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = P.parse_sources(df)
-        K.build_entities(rows).select("pkg", "ver", "module", "name", "key", "kind", "full_alias") \
-            .write.mode("append").parquet(out)
+        rows = P.parse_sources(df).persist()  # parsed once per micro-batch, read by several branches
+        try:
+            K.build_entities(rows).select("pkg", "ver", "module", "name", "key", "kind", "full_alias") \
+                .write.mode("append").parquet(out)
+        finally:
+            rows.unpersist()
 
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
