@@ -202,3 +202,32 @@ def extraction_status(rows: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("error_message"),
         F.count_distinct("module").alias("n_modules"),
     ).withColumn("error", F.col("error_message").isNotNull())
+
+
+def class_names(members: DataFrame) -> DataFrame:
+    """``get_names`` of each class: methods, fields, static fields, then
+    nested classes with their own names appended *without* a dot.
+    members: by + class_key, name, mkind, ord -> by + class_key, name, ord"""
+    order = F.when(F.col("mkind") == "method", 0).when(F.col("mkind") == "field", 1) \
+        .when(F.col("mkind") == "static_field", 2).otherwise(3)
+    direct = members.where(F.col("mkind").isin("method", "field", "static_field", "class")).select(
+        "pkg", "ver", "class_key", "name", F.struct(order.alias("g"), F.col("ord").alias("o")).alias("ord"))
+    # nested: names of the nested class's members, prefixed with the nested class name
+    nested = (
+        members.where(F.col("mkind") == "class").select("pkg", "ver", "class_key", F.col("name").alias("_n"),
+                                                        F.col("ord").alias("_o"))
+        .join(members.select("pkg", "ver", F.col("class_key").alias("_ck"), F.col("name").alias("_m"),
+                             F.col("ord").alias("_mo")), ["pkg", "ver"])
+        .where(F.col("_ck") == F.concat_ws(".", "class_key", "_n"))
+        .select("pkg", "ver", "class_key", F.concat("_n", "_m").alias("name"),
+                F.struct(F.lit(3).alias("g"), F.col("_o").alias("o")).alias("ord"))
+    )
+    return direct.unionByName(nested)
+
+
+def public_names(entities: DataFrame, members: DataFrame) -> DataFrame:
+    """Every key plus ``class.member`` of classes, distinct."""
+    cls = entities.where(F.col("kind") == "class").select("pkg", "ver", F.col("key").alias("class_key"))
+    mem = members.join(cls, ["pkg", "ver", "class_key"], "left_semi").select(
+        "pkg", "ver", F.concat_ws(".", "class_key", "name").alias("name"))
+    return entities.select("pkg", "ver", F.col("key").alias("name")).unionByName(mem).distinct()

@@ -262,3 +262,42 @@ SELECT u_pkg, api, NOT len(list_filter(string_split(api, '.'), lambda s: starts_
 FROM pa""")
 def q_r30(spark, sf_dir):
     return R.per_api(api_usage(spark, sf_dir)).select("u_pkg", "api", R.is_public(F.col("api")).alias("is_public"))
+
+
+@register("R19_dynamic_error_classes", STATS_SQL + """
+SELECT CASE WHEN strpos(stack_trace, 'PackageInstallException') > 0 THEN 'PackageInstallException: Cannot install package in a conda env with Python>=3.6'
+  WHEN strpos(stack_trace, 'JSONDecodeError') > 0 THEN 'JSONDecodeError: Other kind of runtime exception occurred'
+  WHEN strpos(stack_trace, 'FileNotFoundError') > 0 THEN 'FileNotFoundError: ''/'' in top level'
+  ELSE 'Other' END AS type, count(*) AS n FROM b_stats WHERE error GROUP BY 1""")
+def q_r19(spark, sf_dir):
+    return R.error_classes(stats(spark, sf_dir), R.DYNAMIC_ERROR_CLASSES)
+
+
+@register("R20_failed_module_classes", binding_cte("b_source") + """
+SELECT 'SyntaxError' AS type, count(*) AS n FROM b_source WHERE k % 40 = 0""")
+def q_r20(spark, sf_dir):
+    from pkgscope.plans.q_source import parsed
+
+    return R.failed_module_classes(parsed(spark, sf_dir).where(F.col("rkind") == "failed").select("module", "error"))
+
+
+@register("R31_public_usage_spread", U1_SQL + """,
+f AS (SELECT *, NOT len(list_filter(string_split(api, '.'), lambda s: starts_with(s, '_') AND NOT starts_with(s, '__'))) > 0 AS is_public FROM pa)
+SELECT is_public, count(*) AS count, round(avg(clients), 6) AS mean, round(stddev_samp(clients), 6) AS std, min(clients) AS min,
+  round(quantile_cont(clients, 0.25), 6) AS q25, round(quantile_cont(clients, 0.5), 6) AS q50, round(quantile_cont(clients, 0.75), 6) AS q75,
+  max(clients) AS max, CAST(sum(clients) AS BIGINT) AS total FROM f GROUP BY is_public""")
+def q_r31(spark, sf_dir):
+    a = R.per_api(api_usage(spark, sf_dir)).withColumn("is_public", R.is_public(F.col("api")))
+    c = F.col("clients")
+    d = a.groupBy("is_public").agg(
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
+        F.max(c).alias("max"), F.sum(c).alias("total"))
+    return _round(d, ["mean", "std", "q25", "q50", "q75"], 6)
+
+
+@register("U12_usable_versions", STATS_SQL + """
+SELECT package, count(*) AS n_usable FROM b_stats WHERE NOT error GROUP BY package""")
+def q_u12(spark, sf_dir):
+    """Package versions whose extraction summary has no error (static mode)."""
+    return stats(spark, sf_dir).where(~F.col("error")).groupBy("package").agg(F.count(F.lit(1)).alias("n_usable"))

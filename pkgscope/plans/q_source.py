@@ -202,3 +202,22 @@ def q_a12(spark, sf_dir):
 @register("S25_bad_client_files", CLI_SQL + "SELECT module || '.py' AS src_file FROM b_source WHERE k % 40 = 0")
 def q_s25(spark, sf_dir):
     return client_events(spark, sf_dir).where(F.col("ev") == "failed").select("src_file")
+
+
+@register("K11_class_names", SRC_SQL + """
+SELECT module || '.C' || ks AS class_key, '__init__' AS name FROM okm
+UNION ALL SELECT module || '.C' || ks, 'x' FROM okm
+UNION ALL SELECT module || '.C' || ks, 'S' FROM okm""")
+def q_k11(spark, sf_dir):
+    return K.class_names(K.build_members(parsed(spark, sf_dir))).select("class_key", "name")
+
+
+@register("K12_public_names", SRC_SQL + """
+SELECT DISTINCT name FROM (
+  SELECT module || '.' || n AS name FROM okm, (VALUES ('os'), ('h')) t(n)
+  UNION ALL SELECT module || '.K' || ks FROM okm UNION ALL SELECT module || '.f' || ks FROM okm
+  UNION ALL SELECT module || '.C' || ks FROM okm
+  UNION ALL SELECT module || '.C' || ks || '.' || m FROM okm, (VALUES ('__init__'), ('x'), ('S')) t(m))""")
+def q_k12(spark, sf_dir):
+    rows = parsed(spark, sf_dir)
+    return K.public_names(K.build_entities(rows), K.build_members(rows)).select("name").distinct()
