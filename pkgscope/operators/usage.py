@@ -59,17 +59,21 @@ def dependency_checks(reqs: DataFrame, releases: DataFrame, results: DataFrame)
     reqs = reqs.select("c_pkg", "c_ver", "dep", "spec").distinct()
     sat = V.matching_versions(reqs, releases)
     n_apis = sat.groupBy("dep", "spec").agg(F.count(F.lit(1)).alias("vers_with_apis"))
-    res = results.withColumn("_k", V.version_key(F.col("u_ver")))
-    res_vers = res.select(F.col("u_pkg").alias("dep"), "_k").distinct()
-    sat_k = sat.withColumn("_k", V.version_key(F.col("ver"))).join(res_vers, ["dep", "_k"], "left_semi")
-    j = (
-        res.withColumnRenamed("u_pkg", "dep")
-        .join(sat_k.select("dep", "spec", "_k", F.col("ver").alias("dep_ver")), ["dep", "_k"])
+    # Keys only for distinct versions: (dep, result version text) -> (spec, catalogue version)
+    res_vers = results.select(F.col("u_pkg").alias("dep"), "u_ver").distinct().withColumn("_k", V.version_key(F.col("u_ver")))
+    ver_map = (
+        sat.select("dep", "ver").distinct().withColumn("_k", V.version_key(F.col("ver")))
+        .join(res_vers, ["dep", "_k"])
+        .join(sat, ["dep", "ver"])
+        .select("dep", "u_ver", "spec", F.col("ver").alias("dep_ver"))
+    )
+    return (
+        results.withColumnRenamed("u_pkg", "dep")
+        .join(ver_map, ["dep", "u_ver"])
         .join(reqs, ["c_pkg", "dep", "spec"])
         .join(n_apis, ["dep", "spec"])
-        .drop("_k", "u_ver")
+        .drop("u_ver")
     )
-    return j
 
 
 def coverage(reqs: DataFrame, releases: DataFrame) -> DataFrame:
