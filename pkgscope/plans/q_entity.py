@@ -187,3 +187,16 @@ SELECT bump, count(*) AS n_pairs, count(*) FILTER (WHERE bc = 0) AS n_no_breakin
 FROM ev GROUP BY bump""")
 def q_r35(spark, sf_dir):
     return D.pairs_by_bump(evolution(spark, sf_dir))
+
+
+@register("V5_versions_with_catalogue", ENT_SQL + "SELECT DISTINCT pkg, ver FROM e WHERE kind <> 'alias'")
+def q_v5(spark, sf_dir):
+    """Versions with catalogue data: at least one non-alias entity (a
+    version with only failed modules / aliases does not count)."""
+    e = entities(spark, sf_dir)
+    return e.where(F.col("kind") != "alias").select("pkg", "ver").distinct()
+
+
+@register("V6_versions_with_requirements", binding_cte("b_req") + "\nSELECT DISTINCT c_pkg, c_ver FROM b_req")
+def q_v6(spark, sf_dir):
+    return binding(spark, sf_dir, "b_req").select("c_pkg", "c_ver").distinct()

@@ -221,3 +221,85 @@ SELECT DISTINCT name FROM (
 def q_k12(spark, sf_dir):
     rows = parsed(spark, sf_dir)
     return K.public_names(K.build_entities(rows), K.build_members(rows)).select("name").distinct()
+
+
+@register("E19_literal_values", SRC_SQL + """
+SELECT module || '.K' || ks AS key, 'int' AS kind, CAST(sz AS BIGINT) AS int_value FROM okm
+UNION ALL SELECT module || '.C' || ks || '.S', 'int', 1 FROM okm
+UNION ALL SELECT module || '.C' || ks || '.x', NULL, NULL FROM okm""")
+def q_e19(spark, sf_dir):
+    """Typed value of variable and field texts (no eval)."""
+    rows = parsed(spark, sf_dir)
+    v = rows.where(F.col("rkind") == "variable").select(F.concat_ws(".", "module", "name").alias("key"), "value")
+    m = K.build_members(rows).where(F.col("mkind").isin("field", "static_field")).select(
+        F.concat_ws(".", "class_key", "name").alias("key"), "value")
+    lv = G.literal_value(F.col("value"))
+    return v.unionByName(m).select("key", lv["kind"].alias("kind"), lv["int_value"].alias("int_value"))
+
+
+@register("E20_constructors", SRC_SQL + """
+SELECT module || '.C' || ks AS class_key, 'def __init__(self, x)' AS signature FROM okm""")
+def q_e20(spark, sf_dir):
+    """Constructor of each class: its first ``__init__`` method."""
+    rows = parsed(spark, sf_dir)
+    m = rows.where((F.col("mkind") == "method") & (F.col("name") == "__init__"))
+    first = m.groupBy("module", "class_path").agg(F.min_by(F.struct("args", "decorators", "is_async", "returns", "name"),
+                                                           F.col("ord")).alias("f"))
+    return first.select(F.concat_ws(".", "module", "class_path").alias("class_key"),
+                        G.function_signature("f.name", "f.args", "f.decorators", "f.is_async", "f.returns").alias("signature"))
+
+
+@register("K5_exact_lookup", SRC_SQL + """
+SELECT module AS key, 'module' AS kind FROM okm
+UNION ALL SELECT 'pkg', 'module'
+UNION ALL SELECT module || '.' || n, kd FROM okm, (VALUES ('os', 'alias'), ('h', 'alias')) t(n, kd)
+UNION ALL SELECT module || '.K' || ks, 'variable' FROM okm UNION ALL SELECT module || '.f' || ks, 'function' FROM okm
+UNION ALL SELECT module || '.C' || ks, 'class' FROM okm""")
+def q_k5(spark, sf_dir):
+    """``pkg[key]`` for every module and entity name: a module wins over an
+    entity of the same name; aliases are not followed."""
+    from pkgscope.operators import chainmatch as CM
+
+    rows = parsed(spark, sf_dir)
+    objects, _, _ = CM.catalogue_tables(rows, K.build_entities(rows))
+    rank = F.when(F.col("kind") == "module", 0).otherwise(1)
+    return objects.groupBy("key").agg(F.min_by("kind", rank).alias("kind"))
+
+
+@register("K10_member_lookup", SRC_SQL + """
+SELECT module || '.C' || ks AS class_key, 'x' AS name, 'field' AS mkind, 'x' AS value FROM okm
+UNION ALL SELECT module || '.C' || ks, 'S', 'static_field', '1' FROM okm
+UNION ALL SELECT module || '.C' || ks, '__init__', 'method', NULL FROM okm""")
+def q_k10(spark, sf_dir):
+    """get_field('x'), get_static_field('S') and get_method('__init__') of every class."""
+    mem = K.build_members(parsed(spark, sf_dir))
+    want = spark.createDataFrame([("x", "field"), ("S", "static_field"), ("__init__", "method")], "name string, mkind string")
+    return mem.join(F.broadcast(want), ["name", "mkind"]).select("class_key", "name", "mkind", "value")
+
+
+@register("A13_snippet_loc_summary", CLI_SQL + """,
+loc AS (SELECT k, len(string_split(src, chr(10))) AS loc FROM b_source WHERE k % 40 <> 0)
+SELECT count(*) AS n_snippets, CAST(quantile_cont(loc, 0.5) AS DOUBLE) AS median_loc, min(loc) AS min_loc, max(loc) AS max_loc
+FROM loc""")
+def q_a13(spark, sf_dir):
+    """Snippets that parse and import a known module (``os``): count and LOC summary."""
+    s = client_sources(spark, sf_dir).withColumn("loc", F.size(F.split("src", "\\n")))
+    ev = client_events(spark, sf_dir)
+    ok = ev.where((F.col("ev") == "import") & (F.col("text") == "os")).select("src_file").distinct()
+    bad = ev.where(F.col("ev") == "failed").select("src_file")
+    good = s.join(ok, "src_file", "left_semi").join(bad, "src_file", "left_anti")
+    return good.agg(F.count(F.lit(1)).alias("n_snippets"), F.percentile("loc", 0.5).alias("median_loc"),
+                    F.min("loc").alias("min_loc"), F.max("loc").alias("max_loc"))
+
+
+@register("A13_snippet_sample")
+def q_a13s(spark, sf_dir):
+    """Seeded sample of 100 snippets at or under the median LOC (hash order)."""
+    from pkgscope.operators import reports as R
+
+    s = client_sources(spark, sf_dir).withColumn("loc", F.size(F.split("src", "\\n")))
+    bad = client_events(spark, sf_dir).where(F.col("ev") == "failed").select("src_file")
+    good = s.join(bad, "src_file", "left_anti")
+    med = good.agg(F.percentile("loc", 0.5).alias("_med"))
+    small = good.join(F.broadcast(med)).where(F.col("loc") <= F.col("_med")).withColumn("_all", F.lit(1))
+    return R.sample_per_group(small, "_all", "src_file", 100, seed=42).select("src_file", "loc")
