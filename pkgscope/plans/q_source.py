@@ -250,14 +250,15 @@ def q_e20(spark, sf_dir):
 
 
 @register("K5_exact_lookup", SRC_SQL + """
-SELECT module AS key, 'module' AS kind FROM okm
+SELECT 'pkg.' || module AS key, 'module' AS kind FROM b_source
 UNION ALL SELECT 'pkg', 'module'
 UNION ALL SELECT module || '.' || n, kd FROM okm, (VALUES ('os', 'alias'), ('h', 'alias')) t(n, kd)
 UNION ALL SELECT module || '.K' || ks, 'variable' FROM okm UNION ALL SELECT module || '.f' || ks, 'function' FROM okm
 UNION ALL SELECT module || '.C' || ks, 'class' FROM okm""")
 def q_k5(spark, sf_dir):
     """``pkg[key]`` for every module and entity name: a module wins over an
-    entity of the same name; aliases are not followed."""
+    entity of the same name; aliases are not followed.  A module whose text
+    does not parse still exists (empty)."""
     from pkgscope.operators import chainmatch as CM
 
     rows = parsed(spark, sf_dir)
