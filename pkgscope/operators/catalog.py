@@ -231,3 +231,104 @@ def public_names(entities: DataFrame, members: DataFrame) -> DataFrame:
     mem = members.join(cls, ["pkg", "ver", "class_key"], "left_semi").select(
         "pkg", "ver", F.concat_ws(".", "class_key", "name").alias("name"))
     return entities.select("pkg", "ver", F.col("key").alias("name")).unionByName(mem).distinct()
+
+
+def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top: str, max_rounds: int = 64) -> DataFrame:
+    """K9 ``query(key)`` inside one catalogue whose top level is ``top``.
+
+    Unlike K8 an alias may sit in any segment: the walk goes over module
+    prefixes; at the first prefix that is not a module it
+      - rewrites an alias prefix to ``target + rest`` (only targets inside
+        ``top``; revisiting an alias is a cycle),
+      - branches over the wildcard candidates of the parent module when the
+        name is unknown (candidates in order, ``*`` replaced),
+      - answers a class member for the rest (NULL for an unknown member),
+      - answers the entity itself when nothing is left, else fails.
+    The first success in depth-first candidate order wins (smallest branch
+    path); a cyclic candidate stops the later candidates of its node.
+
+    requests: req_id, key.  objects: key, kind, full_alias, targets (see
+    ``chainmatch.catalogue_tables``).  members: class_key, name, mkind.
+    -> req_id, key, result_key, result_kind (NULL when not found)."""
+    spark = requests.sparkSession
+    mods = objects.where(F.col("kind") == "module").select(F.col("key").alias("_p")).distinct()
+    ents = objects.where(F.col("kind") != "module").select(F.col("key").alias("_p"), F.col("kind").alias("_k"),
+                                                           "full_alias", "targets")
+    state = requests.select("req_id", "key", F.array().cast("array<int>").alias("path"),
+                            F.array().cast("array<string>").alias("seen"))
+    done, markers = [], []
+    for _ in range(max_rounds):
+        state = cut_lineage(state)
+        if state.isEmpty():
+            break
+        seg = F.split("key", r"\.")
+        steps = state.select("*", F.posexplode(F.sequence(F.lit(1), F.greatest(F.size(seg) - 1, F.lit(1)))).alias("_j", "_i")) \
+            .where(F.size(F.split("key", r"\.")) > 1) \
+            .withColumn("_p", F.array_join(F.slice(F.split("key", r"\."), 1, F.col("_i") + 1), "."))
+        first_non_module = (
+            steps.join(mods, "_p", "left_anti")
+            .groupBy("req_id", "key", "path", "seen").agg(F.min(F.struct("_i", "_p")).alias("_s"))
+        )
+        base = state.where(F.split("key", r"\.")[0] == top)
+        # whole key is a module (or just the top level)
+        all_mod = base.join(first_non_module.select("req_id", "key", "path"), ["req_id", "key", "path"], "left_anti")
+        done.append(all_mod.select("req_id", "path", F.col("key").alias("result_key"), F.lit("module").alias("result_kind")))
+        at = base.join(first_non_module, ["req_id", "key", "path", "seen"]).select(
+            "req_id", "key", "path", "seen", F.col("_s._i").alias("_i"), F.col("_s._p").alias("_p"),
+            F.array_join(F.slice(F.split("key", r"\."), F.col("_s._i") + 2, 1 << 16), ".").alias("_rest"),
+            F.regexp_extract("_s._p", r"([^.]*)$", 1).alias("_leaf"), parent_of("_s._p").alias("_parent"))
+        j = at.join(ents, "_p", "left")
+        rest_empty = F.col("_rest") == ""
+        # answers
+        ent_done = j.where(F.col("_k").isin("function", "variable", "class") & rest_empty).select(
+            "req_id", "path", F.col("_p").alias("result_key"), F.col("_k").alias("result_kind"))
+        cls = j.where((F.col("_k") == "class") & ~rest_empty)
+        mem = members.where(F.col("mkind").isin("method", "field", "static_field")).select(
+            F.col("class_key").alias("_ck"), F.col("name").alias("_mn"), F.col("mkind").alias("_mk"))
+        cls_done = (
+            cls.withColumn("_ck", F.when(F.col("_rest").contains("."),
+                                      F.concat_ws(".", "_p", F.regexp_replace("_rest", r"\.[^.]*$", "")))
+                        .otherwise(F.col("_p")))
+            .withColumn("_mn", F.regexp_extract("_rest", r"([^.]*)$", 1))
+            .join(mem, ["_ck", "_mn"], "left")
+            .select("req_id", "path", F.when(F.col("_mk").isNotNull(), F.concat_ws(".", "_ck", "_mn")).alias("result_key"),
+                    F.col("_mk").alias("result_kind"))
+        )
+        done += [ent_done, cls_done]
+        # alias rewrite (single candidate, ordinal 0)
+        al = j.where(F.col("_k") == "alias").select(
+            "req_id", "path", "seen", "_rest", F.array(F.struct(F.lit(0).alias("o"), F.col("full_alias").alias("t"))).alias("_c"))
+        # unknown name under a wildcard module: candidates in order
+        wild = ents.where(F.col("_k") == "wildcard").select(parent_of("_p").alias("_parent"), F.col("targets").alias("_wt"))
+        miss = (
+            j.where(F.col("_k").isNull()).join(wild, "_parent")
+            .select("req_id", "path", "seen", "_rest",
+                    F.transform("_wt", lambda t, o: F.struct(o.alias("o"), F.regexp_replace(t, r"\*", F.col("_leaf")).alias("t")))
+                    .alias("_c"))
+        )
+        br = al.unionByName(miss).select("req_id", "path", "seen", "_rest", F.inline("_c"))
+        cyc = F.array_contains("seen", F.col("t"))
+        markers.append(br.where(cyc).select("req_id", F.col("path").alias("node"), F.col("o").alias("cyc_o")))
+        state = (
+            br.where(~cyc & (F.split("t", r"\.")[0] == top))
+            .select("req_id",
+                    F.when(F.col("_rest") == "", F.col("t")).otherwise(F.concat_ws(".", "t", "_rest")).alias("key"),
+                    F.concat("path", F.array("o")).alias("path"), F.concat("seen", F.array("t")).alias("seen"))
+        )
+    else:
+        if not state.isEmpty():
+            raise RuntimeError(f"query_keys: alias rewriting did not settle in {max_rounds} rounds")
+    res = done[0]
+    for d in done[1:]:
+        res = res.unionByName(d)
+    if markers:
+        mk = markers[0]
+        for m in markers[1:]:
+            mk = mk.unionByName(m)
+        pref = res.select("req_id", "path", F.posexplode("path").alias("_d", "_o")).select(
+            "req_id", "path", F.slice("path", 1, F.col("_d")).alias("node"), "_o")
+        bad = pref.join(mk, ["req_id", "node"]).where(F.col("cyc_o") < F.col("_o")).select("req_id", "path").distinct()
+        res = res.join(bad, ["req_id", "path"], "left_anti")
+    best = res.groupBy("req_id").agg(F.min(F.struct("path", "result_key", "result_kind")).alias("_b"))
+    return requests.join(best, "req_id", "left").select(
+        "req_id", "key", F.col("_b.result_key").alias("result_key"), F.col("_b.result_kind").alias("result_kind"))

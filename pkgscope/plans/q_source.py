@@ -304,3 +304,40 @@ def q_a13s(spark, sf_dir):
     med = good.agg(F.percentile("loc", 0.5).alias("_med"))
     small = good.join(F.broadcast(med)).where(F.col("loc") <= F.col("_med")).withColumn("_all", F.lit(1))
     return R.sample_per_group(small, "_all", "src_file", 100, seed=42).select("src_file", "loc")
+
+
+@register("K9_query", SRC_SQL + """,
+req AS (
+  SELECT 'pkg' AS key, 'pkg' AS result_key, 'module' AS result_kind
+  UNION ALL SELECT 'pkg.' || module, 'pkg.' || module, 'module' FROM b_source
+  UNION ALL SELECT module || '.K' || ks, module || '.K' || ks, 'variable' FROM okm
+  UNION ALL SELECT module || '.f' || ks, module || '.f' || ks, 'function' FROM okm
+  UNION ALL SELECT module || '.C' || ks, module || '.C' || ks, 'class' FROM okm
+  UNION ALL SELECT module || '.os', NULL, NULL FROM okm
+  UNION ALL SELECT module || '.h', NULL, NULL FROM okm
+  UNION ALL SELECT module || '.C' || ks || '.' || m, module || '.C' || ks || '.' || m, mk FROM okm,
+    (VALUES ('x', 'field'), ('S', 'static_field'), ('__init__', 'method')) t(m, mk)
+  UNION ALL SELECT module || '.C' || ks || '.nope', NULL, NULL FROM okm
+  UNION ALL SELECT 'pkg.' || module || '.K' || CAST(k AS VARCHAR), NULL, NULL FROM b_source WHERE k % 40 = 0)
+SELECT key, result_key, result_kind FROM req""")
+def q_k9(spark, sf_dir):
+    """``query(key)`` for every module, entity, class member, an unknown member
+    per class and the names of unparsable modules."""
+    from pkgscope.operators import chainmatch as CM
+
+    rows = parsed(spark, sf_dir)
+    ent = K.build_entities(rows)
+    mem = K.build_members(rows)
+    objects, _, _ = CM.catalogue_tables(rows, ent)
+    failed = rows.where(F.col("rkind") == "failed").select(
+        F.concat("module", F.lit(".K"), F.regexp_extract("module", r"(\d+)$", 1)).alias("key"))
+    req = (
+        objects.select("key").where(~F.col("key").endswith(".*") & ~F.col("key").contains(".__init__"))
+        .unionByName(mem.where(F.col("mkind").isin("method", "field", "static_field"))
+                     .select(F.concat_ws(".", "class_key", "name").alias("key")))
+        .unionByName(ent.where(F.col("kind") == "class").select(F.concat(F.col("key"), F.lit(".nope")).alias("key")))
+        .unionByName(failed)
+        .distinct()
+        .withColumn("req_id", F.col("key"))
+    )
+    return K.query_keys(req, objects, mem, top="pkg").select("key", "result_key", "result_kind")
