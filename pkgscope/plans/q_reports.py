@@ -301,3 +301,33 @@ SELECT package, count(*) AS n_usable FROM b_stats WHERE NOT error GROUP BY packa
 def q_u12(spark, sf_dir):
     """Package versions whose extraction summary has no error (static mode)."""
     return stats(spark, sf_dir).where(~F.col("error")).groupBy("package").agg(F.count(F.lit(1)).alias("n_usable"))
+
+
+DEPENDENTS_SQL = binding_cte("b_req", "b_stats") + """,
+dep AS (SELECT dep AS name, count(DISTINCT c_pkg) AS dependents FROM b_req GROUP BY dep)
+"""
+
+
+def dependents(spark, sf_dir):
+    """Dependent client packages per package (the ranking input of S2)."""
+    r = binding(spark, sf_dir, "b_req")
+    return r.groupBy(F.col("dep").alias("name")).agg(F.count_distinct("c_pkg").alias("dependents"))
+
+
+@register("S2_rank_by_dependents", DEPENDENTS_SQL + """
+SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 20""")
+def q_s2(spark, sf_dir):
+    """Top 20 packages by number of dependents (a top-k report)."""
+    return dependents(spark, sf_dir).orderBy(F.col("dependents").desc(), F.col("name")).limit(20)
+
+
+@register("U8_versions_to_check", DEPENDENTS_SQL + """,
+top AS (SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 20)
+SELECT s.package, s.version, t.dependents FROM b_stats s JOIN top t ON t.name = s.package WHERE s.wheel IS NOT NULL""")
+def q_u8(spark, sf_dir):
+    """Versions with a wheel of the top packages, with their ranking figure
+    (ordered by it when written out)."""
+    top = dependents(spark, sf_dir).orderBy(F.col("dependents").desc(), F.col("name")).limit(20)
+    s = stats(spark, sf_dir).where(F.col("wheel").isNotNull())
+    return s.join(F.broadcast(top), s["package"] == top["name"]).select("package", "version", "dependents") \
+        .orderBy(F.col("dependents").desc(), "package", "version")
