@@ -145,3 +145,39 @@ def module_index(pages: DataFrame, prefix: str) -> DataFrame:
     a = pages.select("page_id", F.explode(anchors(F.col("html"))).alias("a"))
     return a.where(F.col("a.href").startswith(prefix) & ~F.col("a.text").contains(".")).select(
         "page_id", F.col("a.href").alias("href"), F.col("a.text").alias("name"))
+
+
+def wheel_modules(members: DataFrame, package: str | None = None) -> DataFrame:
+    """Modules of wheel archives from member paths.
+
+    Top levels come from ``*.dist-info/top_level.txt`` (else ``package``).  A
+    top level that is a directory contributes every ``.py`` (not ending in
+    ``setup.py``) and ``.pyi`` file whose directories below the top level all
+    hold an ``__init__.py``; a top level ``T.py`` / ``T.pyi`` is a single-file
+    package.  -> archive, top_level, module, src_kind, src (one row per file;
+    a module may have both a .py and a .pyi row, .py first)."""
+    tl_files = members.where(F.col("member").endswith(".dist-info/top_level.txt"))
+    tops = tl_files.select("archive", F.explode(F.split(F.trim("src"), r"\s*\n\s*")).alias("top_level")) \
+        .where(F.col("top_level") != "")
+    if package is not None:
+        fallback = members.select("archive").distinct().join(tl_files.select("archive"), "archive", "left_anti") \
+            .withColumn("top_level", F.lit(package))
+        tops = tops.unionByName(fallback)
+    files = members.where(F.col("member").rlike(r"\.pyi?$")).select(
+        "archive", "member", "src", F.regexp_extract("member", r"\.(pyi?)$", 1).alias("src_kind"),
+        F.split("member", "/").alias("_p"))
+    f = files.join(tops, files["archive"] == tops["archive"]).drop(tops["archive"])
+    in_dir = (F.size("_p") > 1) & (F.col("_p")[0] == F.col("top_level"))
+    single = (F.size("_p") == 1) & (F.regexp_replace(F.col("_p")[0], r"\.pyi?$", "") == F.col("top_level"))
+    f = f.where(in_dir | single).where(~F.col("member").endswith("setup.py"))
+    # every directory strictly below the top level must hold an __init__.py
+    need = (
+        f.where(F.size("_p") > 2)
+        .select("archive", "member", F.explode(F.sequence(F.lit(2), F.size("_p") - 1)).alias("_d"), "_p")
+        .select("archive", "member", F.concat(F.array_join(F.slice("_p", 1, F.col("_d")), "/"), F.lit("/__init__.py")).alias("_init"))
+    )
+    missing = need.join(members.select("archive", F.col("member").alias("_init")), ["archive", "_init"], "left_anti") \
+        .select("archive", "member").distinct()
+    f = f.join(missing, ["archive", "member"], "left_anti")
+    module = F.regexp_replace(F.array_join("_p", "."), r"\.pyi?$", "")
+    return f.select("archive", "top_level", module.alias("module"), "src_kind", "src")
