@@ -230,3 +230,26 @@ def cumulative_apis(usage: DataFrame) -> DataFrame:
 def is_public(api: Column) -> Column:
     """No segment starts with a single underscore (``__x`` is public)."""
     return ~F.exists(F.split(api, r"\."), lambda s: s.startswith("_") & ~s.startswith("__"))
+
+
+# ------------------------------------------------------------------ name-list comparison
+
+def accessibility(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Per (lib, ver): external names that resolve in our catalogue
+    (``catalog.query_keys`` gave an answer) and those that do not.
+    names: lib, ver, name.  resolved: lib, ver, name, result_kind."""
+    j = names.select("lib", "ver", "name").distinct().join(
+        resolved.select("lib", "ver", "name", "result_kind"), ["lib", "ver", "name"], "left")
+    return j.groupBy("lib", "ver").agg(
+        F.count_if(F.col("result_kind").isNotNull()).alias("accessible"),
+        F.count_if(F.col("result_kind").isNull()).alias("not_accessible"))
+
+
+def accessible_ratio(per_lib: DataFrame) -> DataFrame:
+    """R2: accessible names over all names, summed over libraries."""
+    return per_lib.agg((F.sum("accessible") / (F.sum("accessible") + F.sum("not_accessible"))).alias("ratio"))
+
+
+def distinct_names_total(names: DataFrame) -> DataFrame:
+    """Distinct names per list file, summed."""
+    return names.groupBy("lib", "ver").agg(F.count_distinct("name").alias("n")).agg(F.sum("n").alias("total_names"))

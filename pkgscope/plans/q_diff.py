@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pkgscope.operators import diff as D
@@ -21,7 +23,7 @@ def message_sql(t="diff_type", api="api_name", param="param", old="old_value", n
     whens = []
     for dt, tpl in D.MESSAGE_FORMATS.items():
         pieces = []
-        for part in __import__("re").split(r"(\{\w+\})", tpl):
+        for part in re.split(r"(\{\w+\})", tpl):
             if not part:
                 continue
             if part.startswith("{"):

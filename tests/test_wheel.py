@@ -50,3 +50,20 @@ def test_wheel_to_entities(spark):
     # .py first: the function comes from lib2.py, whose argument b has no annotation
     rows = P.parse_sources(src).where((F.col("module") == "simple.lib2") & (F.col("name") == "func2")).orderBy("ord").collect()
     assert [r.args[0].type for r in rows] == [None, "int"] and rows[1].ord >= P.PYI_ORD
+
+
+def test_name_lists_and_accessibility(spark):
+    from pkgscope.operators import reports as R
+
+    d = tempfile.mkdtemp(prefix="pkgscope-names-")
+    with open(os.path.join(d, "my-lib-1.2.txt"), "w") as f:
+        f.write("my_lib.a\nmy_lib.b\nmy_lib.a\n")
+    with open(os.path.join(d, "other-0.1.txt"), "w") as f:
+        f.write("other.x\n")
+    names = S.name_lists(spark, os.path.join(d, "*.txt"))
+    assert sorted((r.lib, r.ver) for r in names.select("lib", "ver").distinct().collect()) == [("my-lib", "1.2"), ("other", "0.1")]
+    resolved = spark.createDataFrame([("my-lib", "1.2", "my_lib.a", "function")], "lib string, ver string, name string, result_kind string")
+    per = {(r.lib, r.accessible, r.not_accessible) for r in R.accessibility(names, resolved).collect()}
+    assert per == {("my-lib", 1, 1), ("other", 0, 1)}
+    assert R.accessible_ratio(R.accessibility(names, resolved)).collect()[0].ratio == 1 / 3
+    assert R.distinct_names_total(names).collect()[0].total_names == 3
