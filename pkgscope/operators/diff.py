@@ -383,5 +383,6 @@ def client_impact(diffs: DataFrame, usage: DataFrame, old_status: DataFrame, new
     )
     total = usage.groupBy(*by).agg(F.count_distinct("c_pkg").alias("clients_total"))
     out = diffs.join(hit, by + ["api_name"], "left")
-    out = out.join(F.broadcast(total), by, "left") if by else out.join(F.broadcast(total))
+    # one row when unkeyed (broadcast); one row per key otherwise (left to AQE)
+    out = out.join(total, by, "left") if by else out.join(F.broadcast(total))
     return out.na.fill(0, ["clients_used", "clients_impacted", "clients_total"])
