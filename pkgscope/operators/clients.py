@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pkgscope.functions import versions as V
-from pkgscope.session import cut_lineage
+from pkgscope.session import share
 
 
 def release_versions(releases: DataFrame) -> DataFrame:
@@ -95,11 +95,11 @@ def find_clients(reqs: DataFrame, client_times: DataFrame, releases: DataFrame,
     client_times: c_pkg, c_ver, c_time (release time of the client version).
     releases: pkg, ver, upload_time (one row per file).
     """
-    # Shared intermediates are materialised once (reliable checkpoints in the
-    # shared folder) instead of being re-derived by each consumer.
-    rel = cut_lineage(release_versions(releases).join(upstreams.select("pkg").distinct(), "pkg", "left_semi"))
-    cr = cut_lineage(client_requirements(reqs, upstreams))
-    sat = cut_lineage(spec_versions(cr, rel))
+    # Shared intermediates are kept once (persisted) instead of being
+    # re-derived from the scans by each consumer.
+    rel = share(release_versions(releases).join(upstreams.select("pkg").distinct(), "pkg", "left_semi"))
+    cr = share(client_requirements(reqs, upstreams))
+    sat = share(spec_versions(cr, rel))
     summ = spec_summary(sat)
     rows = (
         cr.join(client_times, ["c_pkg", "c_ver"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pkgscope.functions import versions as V
-from pkgscope.session import cut_lineage
+from pkgscope.session import share
 
 VIOLATION_KINDS = ["MISMATCH", "MISSING"]
 
@@ -57,8 +57,8 @@ def dependency_checks(reqs: DataFrame, releases: DataFrame, results: DataFrame)
     reduced to the versions that have results before meeting the client
     requirement rows, so no requirement is paired with every version.
     Versions are compared by PEP 440 key ('1.1' is '1.1.0')."""
-    reqs = cut_lineage(reqs.select("c_pkg", "c_ver", "dep", "spec").distinct())
-    sat = cut_lineage(V.matching_versions(reqs, releases))
+    reqs = share(reqs.select("c_pkg", "c_ver", "dep", "spec").distinct())
+    sat = share(V.matching_versions(reqs, releases))
     n_apis = sat.groupBy("dep", "spec").agg(F.count(F.lit(1)).alias("vers_with_apis"))
     # Keys only for distinct versions: (dep, result version text) -> (spec, catalogue version)
     res_vers = results.select(F.col("u_pkg").alias("dep"), "u_ver").distinct().withColumn("_k", V.version_key(F.col("u_ver")))

@@ -11,7 +11,7 @@ from pkgscope.operators import catalog as K
 from pkgscope.operators import chains as A
 from pkgscope.operators import parse as P
 from pkgscope.plans.registry import register
-from pkgscope.session import cut_lineage
+from pkgscope.session import share
 from pkgscope.sources.bindings import binding, binding_cte
 
 PKG, VER = "pkg", "1.0"
@@ -25,9 +25,9 @@ def sources(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    """Parsed rows, materialised once: several consumers read them, and the
-    Python parse is the one stage too costly to recompute."""
-    return cut_lineage(P.parse_sources(sources(spark, sf_dir)))
+    """Parsed rows, kept once: several consumers read them, and the Python
+    parse is the one stage too costly to run again per consumer."""
+    return share(P.parse_sources(sources(spark, sf_dir)))
 
 
 def client_sources(spark, sf_dir):
@@ -37,7 +37,7 @@ def client_sources(spark, sf_dir):
 
 
 def client_events(spark, sf_dir):
-    return cut_lineage(P.parse_clients(client_sources(spark, sf_dir)))
+    return share(P.parse_clients(client_sources(spark, sf_dir)))
 
 
 SRC_SQL = binding_cte("b_source") + """,

@@ -51,3 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss, unlike localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several consumers of one plan read
+    (MEMORY_AND_DISK).  Lost blocks are recomputed from lineage, so a lost
+    executor costs time, not correctness; iterative loops use
+    :func:`cut_lineage` instead, which bounds the lineage itself."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
