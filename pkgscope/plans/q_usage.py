@@ -141,3 +141,29 @@ def q_u10(spark, sf_dir):
     chosen = U.newest_with_violations(U.summaries(chk, reqs))
     rep = U.violation_report(U.with_confidence(chk), chosen, rel, reqs)
     return rep.withColumn("confidence", F.round("confidence", 9))
+
+
+@register("U11_ordered_violation_report", CHECKS_SQL + """,
+lastreq AS (SELECT c_pkg, c_ver, dep, max(spec) AS spec FROM rq WHERE (c_pkg, c_ver) IN (SELECT c_pkg, c_ver FROM chosen) GROUP BY ALL),
+newest AS (SELECT l.c_pkg, l.c_ver, l.dep, arg_max(m.ver, vk2.k) AS newest FROM lastreq l
+           JOIN m ON m.dep = l.dep AND m.spec = l.spec JOIN vk2 ON vk2.pkg = m.dep AND vk2.ver = m.ver GROUP BY ALL),
+g AS (
+  SELECT v.c_pkg, v.c_ver, v.dep, v.dep_ver, v.message,
+         arg_min(v.status, (v.spec, v.dep_ver, v.src_file, v.chain)) AS violation,
+         arg_min(v.prob, (v.spec, v.dep_ver, v.src_file, v.chain)) AS confidence
+  FROM vio v WHERE (v.c_pkg, v.c_ver) IN (SELECT c_pkg, c_ver FROM chosen) GROUP BY ALL),
+rep AS (SELECT g.* FROM g LEFT JOIN newest n ON n.c_pkg = g.c_pkg AND n.c_ver = g.c_ver AND n.dep = g.dep
+        WHERE violation <> 'MISSING' AND confidence >= 0.5 AND g.dep_ver = n.newest)
+SELECT rep.c_pkg, rep.c_ver, rep.dep, rep.dep_ver, rep.message, coalesce(d.dependents, 0) AS downloads
+FROM rep LEFT JOIN (SELECT dep AS name, count(DISTINCT c_pkg) AS dependents FROM b_req GROUP BY dep) d ON d.name = rep.c_pkg""")
+def q_u11(spark, sf_dir):
+    """U10 rows with the package's ranking figure (dependents), ordered by it
+    descending, then version and message ascending (plain text order)."""
+    reqs, rel, chk = checks(spark, sf_dir)
+    chosen = U.newest_with_violations(U.summaries(chk, reqs))
+    rep = U.violation_report(U.with_confidence(chk), chosen, rel, reqs)
+    dep = binding(spark, sf_dir, "b_req").groupBy(F.col("dep").alias("c_pkg")).agg(
+        F.count_distinct("c_pkg").alias("downloads"))
+    return (rep.join(dep, "c_pkg", "left").na.fill(0, ["downloads"])
+            .select("c_pkg", "c_ver", "dep", "dep_ver", "message", "downloads")
+            .orderBy(F.col("downloads").desc(), "c_ver", "message"))
