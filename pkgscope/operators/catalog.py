@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pkgscope.session import cut_lineage
+from pkgscope.session import cut_lineage, share
 
 
 def parent_of(key) -> Column:
@@ -250,30 +250,32 @@ def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top:
     requests: req_id, key.  objects: key, kind, full_alias, targets (see
     ``chainmatch.catalogue_tables``).  members: class_key, name, mkind.
     -> req_id, key, result_key, result_kind (NULL when not found)."""
-    spark = requests.sparkSession
-    mods = objects.where(F.col("kind") == "module").select(F.col("key").alias("_p")).distinct()
-    ents = objects.where(F.col("kind") != "module").select(F.col("key").alias("_p"), F.col("kind").alias("_k"),
-                                                           "full_alias", "targets")
+    # read once per round by several joins: keep them
+    mods = share(objects.where(F.col("kind") == "module").select(F.col("key").alias("_p")).distinct())
+    ents = share(objects.where(F.col("kind") != "module").select(F.col("key").alias("_p"), F.col("kind").alias("_k"),
+                                                                 "full_alias", "targets"))
+    members = share(members)
     state = requests.select("req_id", "key", F.array().cast("array<int>").alias("path"),
                             F.array().cast("array<string>").alias("seen"))
     done, markers = [], []
     for _ in range(max_rounds):
-        state = cut_lineage(state)
+        # a row id fixed by the checkpoint; joins below use it instead of the array columns
+        state = cut_lineage(state.withColumn("_sid", F.monotonically_increasing_id()))
         if state.isEmpty():
             break
         seg = F.split("key", r"\.")
-        steps = state.select("*", F.posexplode(F.sequence(F.lit(1), F.greatest(F.size(seg) - 1, F.lit(1)))).alias("_j", "_i")) \
-            .where(F.size(F.split("key", r"\.")) > 1) \
+        steps = state.where(F.size(seg) > 1).select(
+            "_sid", "key", F.explode(F.sequence(F.lit(1), F.size(seg) - 1)).alias("_i")) \
             .withColumn("_p", F.array_join(F.slice(F.split("key", r"\."), 1, F.col("_i") + 1), "."))
         first_non_module = (
             steps.join(mods, "_p", "left_anti")
-            .groupBy("req_id", "key", "path", "seen").agg(F.min(F.struct("_i", "_p")).alias("_s"))
+            .groupBy("_sid").agg(F.min(F.struct("_i", "_p")).alias("_s"))
         )
         base = state.where(F.split("key", r"\.")[0] == top)
         # whole key is a module (or just the top level)
-        all_mod = base.join(first_non_module.select("req_id", "key", "path"), ["req_id", "key", "path"], "left_anti")
+        all_mod = base.join(first_non_module, "_sid", "left_anti")
         done.append(all_mod.select("req_id", "path", F.col("key").alias("result_key"), F.lit("module").alias("result_kind")))
-        at = base.join(first_non_module, ["req_id", "key", "path", "seen"]).select(
+        at = base.join(first_non_module, "_sid").select(
             "req_id", "key", "path", "seen", F.col("_s._i").alias("_i"), F.col("_s._p").alias("_p"),
             F.array_join(F.slice(F.split("key", r"\."), F.col("_s._i") + 2, 1 << 16), ".").alias("_rest"),
             F.regexp_extract("_s._p", r"([^.]*)$", 1).alias("_leaf"), parent_of("_s._p").alias("_parent"))
