@@ -90,7 +90,7 @@ def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[s
     e = edges.select(*by, "src", "dst").distinct()
     n = e.count()
     rounds = max_rounds or (int(math.log2(max(n, 1))) + 2)
-    srcs = e.select(*by, F.col("src").alias("_s")).distinct()
+    srcs = share(e.select(*by, F.col("src").alias("_s")).distinct())
 
     def mark(state):
         return (

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pkgscope.operators import catalog as K
 from pkgscope.operators.match import MATCH, MISMATCH, MISSING, call_verdict
+from pkgscope.session import share
 
 
 def resolved_objects(objects: DataFrame, by: list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
 
     Chains whose top level is not a module of the catalogue are dropped (M11).
     """
-    res = resolved_objects(objects, by)
+    res = share(resolved_objects(objects, by))  # joined at every prefix and wildcard candidate
     top = objects.where((F.col("kind") == "module") & ~F.col("key").contains(".")).select(*by, F.col("key").alias("_top"))
     ch = chains.withColumn("_top", F.col("items")[0]["name"]).join(top, by + ["_top"], "left_semi")
     steps = ch.select(

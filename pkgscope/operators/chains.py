@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgscope.session import cut_lineage
+from pkgscope.session import cut_lineage, share
 
 FILE = ["c_pkg", "c_ver", "src_file"]
 IDENTIFIER = r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*$"
@@ -32,8 +32,9 @@ def substitute_aliases(events: DataFrame, rounds: int = 5, checkpoint: bool = Tr
     aside, and the loop ends when no file is pending."""
     calls = _merge(events.where(F.col("ev") == "call").select(*FILE, F.col("text").alias("call"),
                                                               F.array(F.col("line")).alias("lines")))
-    aliases = events.where(F.col("ev") == "alias").select(*FILE, F.col("text").alias("_name"), F.col("target")).distinct()
-    names = aliases.select(*FILE, "_name").distinct()
+    aliases = share(events.where(F.col("ev") == "alias").select(*FILE, F.col("text").alias("_name"), F.col("target"))
+                    .distinct())  # read by every round
+    names = share(aliases.select(*FILE, "_name").distinct())
     active = aliases.select(*FILE).distinct()
     finished = [calls.join(active, FILE, "left_anti")]
     pending = calls.join(active, FILE, "left_semi")
