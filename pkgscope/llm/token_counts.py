@@ -24,8 +24,11 @@ row; an empty table gives none; only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -39,49 +42,69 @@ BLANK = "▁"
 class PrefixCounter:
     """The tables of one vocabulary file."""
 
-    def __init__(self, model_path: str, cache_entries: int = 400_000):
+    def __init__(self, model_path: str, cache_entries: int = 800_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         if sp.encode("a  b Ａ ", out_type=str)[0] != BLANK + "a" or "".join(sp.encode("a  b ", out_type=str)) != f"{BLANK}a{BLANK}{BLANK}b{BLANK}":
             raise ValueError("the model changes blanks; prefixes of its text are not prefixes of the given text")
         normal = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in normal}
-        self.longest = max(map(len, self.rank))
         joint = [p for p in self.rank if len(p) > 1]
         if any(p[i] != BLANK and BLANK in p[i + 1:] for p in joint for i in range(len(p))):
             raise ValueError("a piece holds a blank after another character")
-        inner = "".join(sorted({c for p in joint for c in p} - {BLANK}))
+        inner = {c for p in joint for c in p} - {BLANK}
+        if not all(c in self.rank for c in inner):
+            raise ValueError("a character of a longer piece is no piece itself")
         #: stretches: blanks with the joinable characters after them, or one character that stands alone
-        self.stretch = re.compile(f"{BLANK}*[{re.escape(inner)}]+|{BLANK}+|.", re.S)
-        self.tables: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[str, int] = {}
+        self.stretch = re.compile(f"{BLANK}*[{re.escape(''.join(sorted(inner)))}]+|{BLANK}+|.", re.S)
+        self.pieces = ahocorasick.Automaton()
+        #: per piece, the symbols at its right and left end while it is built, each with the rank of the merge that ends it
+        self.right: list[list[tuple[str, float]]] = []
+        self.left: list[list[tuple[str, float]]] = []
+        for p in self.rank:
+            ends = self._ends(p)
+            if ends:  # a piece that its own text isn't merged to never is a token
+                self.pieces.add_word(p, (len(p), len(self.right)))
+                self.left.append(ends[0])
+                self.right.append(ends[1])
+        self.pieces.make_automaton()
+        self.tables: dict[str, Sequence[int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.cache_entries = cache_entries
 
-    def merge(self, s: str) -> list[str]:
-        """Pieces of a short string by merging the best-ranked, leftmost pair."""
-        parts = list(s)
-        rank = self.rank
+    def _ends(self, piece: str):
+        """(left, right) end symbols of a piece over time, or None if merging its text gives something else."""
+        parts, rank = list(piece), self.rank
+        left, right, done = [[parts[0], math.inf]], [[parts[-1], math.inf]], -math.inf
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _splits(self, u: str, t: str) -> bool:
-        """True if u + t alone is encoded as [u, t] (t alone, if u is empty)."""
-        key = f"{u}\0{t}"
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * self.cache_entries:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(u + t) == ([u, t] if u else [t])
-        return known
-
-    def table(self, s: str) -> tuple[int, ...]:
+            r, i = min(((rank[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in rank), default=(None, 0))
+            if r is None:
+                return None
+            if r < done:
+                raise ValueError(f"a merge inside {piece!r} outranks a piece it is made of")
+            done = r
+            for side, hit in ((left, i == 0), (right, i == len(parts) - 2)):
+                if hit:
+                    side[-1][1] = r
+                    side.append([parts[i] + parts[i + 1], math.inf])
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return [tuple(x) for x in left], [tuple(x) for x in right]
+
+    def _splits(self, u: int, t: int) -> bool:
+        """True if the text of pieces u and t is encoded as u, t: at no time
+        do the symbols that meet between them merge.  Of equal merges the left one goes first."""
+        a, b, i, j, rank = self.right[u], self.left[t], 0, 0, self.rank
+        while True:
+            m = rank.get(a[i][0] + b[j][0])
+            if m is not None and m < a[i][1] and m <= b[j][1]:
+                return False
+            if a[i][1] == b[j][1] == math.inf:
+                return True
+            if a[i][1] <= b[j][1]:
+                i += 1
+            else:
+                j += 1
+
+    def table(self, s: str) -> Sequence[int]:
         """Token counts of all prefixes of a stretch, by their lengths from 1."""
         counts = self.tables.get(s)
         if counts is None:
@@ -90,18 +113,28 @@ class PrefixCounter:
             counts = self.tables[s] = self._solve(s)
         return counts
 
-    def _solve(self, s: str) -> tuple[int, ...]:
-        rank, last, counts = self.rank, [""], [0]
-        for k in range(1, len(s) + 1):
-            for i in range(max(0, k - self.longest), k):
-                t = s[i:k]
-                if (t in rank or i == k - 1) and self._splits(last[i], t):
-                    break
-            else:
-                raise AssertionError(f"no last token at {k} of {s!r}")
-            last.append(t)
-            counts.append(counts[i] + (1 if t in rank else len(t.encode())))
-        return tuple(counts[1:])
+    def _solve(self, s: str) -> Sequence[int]:
+        if len(s) == 1:
+            return (1 if s in self.rank else len(s.encode()),)
+        last, counts = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        pairs = self.pairs
+        for end, (size, t) in self.pieces.iter(s):  # every piece that ends at each place, place by place
+            k = end + 1
+            if counts[k]:
+                continue
+            u = last[k - size]
+            if k > size:
+                key = u << 32 | t
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) > 2 * self.cache_entries:
+                        pairs.clear()
+                    fits = pairs[key] = self._splits(u, t)
+                if not fits:
+                    continue
+            last[k] = t
+            counts[k] = counts[k - size] + 1
+        return bytes(counts[1:]) if counts[-1] < 256 else tuple(counts[1:])  # bytes: the smallest sequence of small numbers
 
     def shown(self, text: str) -> str:
         """The text as the pieces see it."""
@@ -119,7 +152,7 @@ class PrefixCounter:
         """Counts of the prefixes of 0, 1, ... len(text) characters."""
         parts, base = [], 0
         for s in self.stretch.findall(self.shown(text)):
-            counts = np.array(self.table(s), np.int64) + base
+            counts = np.array(list(self.table(s)), np.int64) + base
             parts.append(counts)
             base = int(counts[-1])
         if not parts:
