@@ -17,6 +17,7 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import operator
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -95,6 +96,7 @@ EXTRACTORS: dict[str, Callable] = {
     "n_lines": lambda t: len(t.lines),
     "n_dup_lines": lambda t: len(t.lines) - len(set(t.lines)),
     "n_repeat_words": _repeat_words,
+    "n_stutters": lambda t: sum(map(operator.eq, t.words, t.words[1:])),
 }
 
 
@@ -110,7 +112,8 @@ RULES = (
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 30 * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: 2 * t.word_chars < 5 * t.n_words or t.word_chars > 14 * t.n_words),
-    Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("duplicate_lines", lambda t: t.n_dup_lines >= 3 and 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("stutter", lambda t: 10 * t.n_stutters > 3 * t.n_words),
     Rule("not_letters", lambda t: 10 * t.n_plain > 4 * t.word_chars),
 )
 BASE = RULES[:2]

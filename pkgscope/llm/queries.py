@@ -101,12 +101,13 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+                  len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_stutters,
                   length(regexp_replace(text, '[A-Za-z]|[^\x00-\x7F]|[\x20\x09-\x0D]', '', 'g')) AS n_plain
            FROM l LEFT JOIN m USING (r)),
      v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 10 * n_symbols <= n_words AND 2 * word_chars >= 5 * n_words AND word_chars <= 14 * n_words
-       AND 10 * n_dup_lines <= 3 * n_lines AND 10 * n_plain <= 4 * word_chars AS kept
+       AND (n_dup_lines < 3 OR 10 * n_dup_lines <= 3 * n_lines) AND 10 * n_stutters <= 3 * n_words AND 10 * n_plain <= 4 * word_chars AS kept
 FROM v""",
     "op9_exact_top_k": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
