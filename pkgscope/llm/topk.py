@@ -4,7 +4,7 @@ A vector is cut into segments; each segment has a mean and a deviation.  For
 a query q and a candidate x, with m the means, s the deviations and n the
 length of a segment, the segment's part of the inner product is at most
 n * (m_q * m_x + s_q * s_x): the distance between the two is at least that of
-their segment statistics.  The bounds go coarse to fine (1, 4, 16 segments by
+their segment statistics.  The bounds go coarse to fine (1, 4, 16, 32 segments by
 default); a pair whose bound is below the query's k-th best score so far is
 dropped, and the inner product is computed for the pairs that survive.
 
@@ -66,14 +66,6 @@ class Stats:
         self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer-valued rows, pair by pair."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    if top < EXACT:
-        return np.einsum("ij,ij->i", q, x)
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, s)) for r, s in zip(q, x)], dtype=object)
-
-
 class Block:
     """Queries of one length with their best scores so far in one task."""
 
@@ -95,45 +87,45 @@ class Block:
 
     def _scan(self, ids: np.ndarray, c: Stats) -> None:
         s = self.stats
-        slack = SLACK * s.norm.max(initial=0) * c.norm.max(initial=0)
-        need = self.floor - slack
-        # coarse: all pairs of the block and the batch in one product; finer: only the pairs left
-        qi, ci = np.nonzero(s.levels[0] @ c.levels[0].T >= need[:, None])
-        keep = self.ids[qi] != ids[ci]
-        qi, ci = qi[keep], ci[keep]
-        for a, b in zip(s.levels[1:], c.levels[1:]):
-            keep = _pairs_at_least(a, b, qi, ci, need)
-            qi, ci = qi[keep], ci[keep]
-        for lo in range(0, len(qi), 1 << 16):
-            self._exact(qi[lo:lo + (1 << 16)], ci[lo:lo + (1 << 16)], ids, c.x)
-
-    def _exact(self, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        score = products(self.stats.x[qi], x[ci])
-        keep = np.array(score >= self.floor[qi], bool)
-        for q, v, i in zip(qi[keep].tolist(), score[keep].tolist(), ids[ci[keep]].tolist()):
-            if v >= self.floor[q]:
-                best = self.best[q]
-                best.append((-int(v), i))
-                if len(best) >= 4 * self.k:
-                    self._settle(q)
-        for q in np.unique(qi[keep]).tolist():
-            self._settle(q)
-
-    def _settle(self, q: int) -> None:
-        best = self.best[q]
-        best.sort()
-        del best[self.k:]
-        if len(best) == self.k:
-            self.floor[q] = max(self.floor[q], float(-best[-1][0]))
-
-
-def _pairs_at_least(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which pairs' bounds reach what the query needs, in blocks of bounded size."""
-    keep = np.empty(len(qi), bool)
-    for lo in range(0, len(qi), 1 << 16):
-        q, c = qi[lo:lo + (1 << 16)], ci[lo:lo + (1 << 16)]
-        keep[lo:lo + (1 << 16)] = np.einsum("ij,ij->i", a[q], b[c]) >= need[q]
-    return keep
+        need = self.floor - SLACK * s.norm.max(initial=0) * c.norm.max(initial=0)
+        rows, cols = np.arange(len(self.ids)), np.arange(len(ids))
+        left = self.ids[:, None] != ids[None, :]
+        for a, b in zip(s.levels, c.levels):  # coarse to fine, each on the queries and candidates that still have pairs
+            left &= _sums(a[rows], b[cols], left) >= need[rows, None]
+            some_rows, some_cols = left.any(axis=1), left.any(axis=0)
+            left, rows, cols = left[some_rows][:, some_cols], rows[some_rows], cols[some_cols]
+        if len(rows):
+            q, x = s.x[rows], c.x[cols]
+            small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < EXACT
+            score = _sums(q, x, left) if small else _big_sums(q, x, left)
+            self._take(rows, ids[cols], score, left & (score >= self.floor[rows, None]).astype(bool))
+
+    def _take(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray, hit: np.ndarray) -> None:
+        for r in np.flatnonzero(hit.any(axis=1)):
+            q, at = rows[r], np.flatnonzero(hit[r])
+            best = self.best[q] + [(-int(v), i) for v, i in zip(score[r, at].tolist(), ids[at].tolist())]
+            best.sort()
+            self.best[q] = best = best[:self.k]
+            if len(best) == self.k:
+                self.floor[q] = max(self.floor[q], float(-best[-1][0]))
+
+
+def _sums(a: np.ndarray, b: np.ndarray, left: np.ndarray, few: float = 0.02) -> np.ndarray:
+    """Inner products of the pairs that are left: pair by pair if few are, else as one product of the block; -inf for the others."""
+    if np.count_nonzero(left) > few * left.size:
+        return np.where(left, a @ b.T, -np.inf)
+    out = np.full(left.shape, -np.inf)
+    i, j = np.nonzero(left)
+    out[i, j] = np.einsum("ij,ij->i", a[i], b[j])
+    return out
+
+
+def _big_sums(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """As :func:`_sums` in Python integers, for values whose sums doubles can't hold."""
+    out = np.full(left.shape, -np.inf, dtype=object)
+    for i, j in zip(*np.nonzero(left)):
+        out[i, j] = sum(int(u) * int(v) for u, v in zip(a[i], b[j]))
+    return out
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -142,7 +134,7 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0,
-          block_rows: int = 2048, levels: tuple[int, ...] = (1, 4, 16)) -> DataFrame:
+          block_rows: int = 2048, levels: tuple[int, ...] = (1, 4, 16, 32)) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k
     best rows of ``vectors`` other than itself."""
     spark = vectors.sparkSession
