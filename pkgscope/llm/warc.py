@@ -76,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), " ", "%20")
     target = F.concat(F.lit("WARC-Target-URI: "), url)
-    is_revisit = F.col("rid").isNotNull()
+    is_revisit = F.col("rdigest").isNotNull()  # rid is null for a null id
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
     response_id = _id("response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(RECORD_END))
