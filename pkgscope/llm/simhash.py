@@ -180,11 +180,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     then the smallest row hash; of fully equal rows one stays.  All columns
     stay as they are."""
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    key = F.struct(F.col(f"`{id_col}`").alias("id"), mark.alias("h"))  # structs compare a null id as equal to itself
-    prints = cut_lineage(fingerprints(docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", words))
+    key = lambda i, h: F.concat_ws(":", i.cast("string"), h.cast("string"))  # noqa: E731  a null id leaves the hash alone
+    pair = F.struct(F.col(f"`{id_col}`").alias("id"), mark.alias("h"))
+    prints = cut_lineage(fingerprints(docs.select(pair.alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", words))
     # the smallest struct would be one with a null id: put "is null" first
     nodes = prints.select(F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.h").alias("h")).alias("id"), "fp")
-    kept = fingerprint_components(nodes, max_bits).select(F.struct("component.id", "component.h").alias("key")).distinct()
-    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = fingerprint_components(nodes, max_bits).select(key(F.col("component.id"), F.col("component.h")).alias("key")).distinct()
+    rows = docs.select(key(F.col(f"`{id_col}`"), mark).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # fully equal rows share a key
     return rows.join(kept, "key", "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")
