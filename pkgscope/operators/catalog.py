@@ -10,6 +10,7 @@ checkpoint after every round.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +25,36 @@ def parent_of(key) -> Column:
 
 
 def modules_of(entities: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """K3: every module (package path) that holds an entity, with all its
-    ancestors up to the top level -> by + module."""
+    """K3: every module that holds an entity, with all its ancestors up to the
+    top level -> by + module.  The entity's own ``module`` column counts if it
+    has one: a name like ``os.path`` bound by an import is no module.  Modules
+    without entities come from :func:`parsed_modules`."""
     by = by or ["pkg", "ver"]
-    parts = F.split(F.col("key"), r"\.")
+    holder = F.col("module") if "module" in entities.columns else parent_of("key")
+    return ancestors(entities.where(F.col("key").contains(".")).select(*by, holder.alias("module")).distinct(), by)
+
+
+def ancestors(modules: DataFrame, by: list[str]) -> DataFrame:
+    """by + module with all prefixes of each module."""
+    parts = F.split("module", r"\.")
     return (
-        entities.select(*by, parts.alias("_p"))
-        .where(F.size("_p") > 1)
-        .select(*by, F.explode(F.sequence(F.lit(1), F.size("_p") - 1)).alias("_i"), "_p")
-        .select(*by, F.array_join(F.slice("_p", 1, F.col("_i")), ".").alias("module"))
-        .distinct()
+        modules.select(*by, parts.alias("_p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_i"))
+        .select(*by, F.array_join(F.slice("_p", 1, F.col("_i")), ".").alias("module")).distinct()
     )
 
 
+def parsed_modules(rows: DataFrame) -> DataFrame:
+    """K3 from the parse stage: one module per parsed file, also an empty one,
+    ``pkg.__init__`` as ``pkg``, with all ancestors -> pkg, ver, module."""
+    return file_modules(usable_rows(rows))
+
+
+def file_modules(rows: DataFrame) -> DataFrame:
+    """:func:`parsed_modules` of rows that are usable already."""
+    files = rows.where(F.col("rkind") == "module")
+    return ancestors(files.select("pkg", "ver", F.regexp_replace("module", r"\.__init__$", "").alias("module")), ["pkg", "ver"])
+
+
 def api_statistics(entities: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number of APIs and of each kind per catalogue."""
     by = by or ["pkg", "ver"]
@@ -73,8 +91,7 @@ def contains(requests: DataFrame, entities: DataFrame, by: list[str]) -> DataFra
     )
 
 
-def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[str] | None = None,
-                    max_rounds: int | None = None) -> DataFrame:
+def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """K8 for plain aliases: follow ``src -> dst`` until a name that is not an
     alias.  Returns by + (src, final, hops); ``final`` is NULL when the chain
     is cyclic or ends on an ``external`` name (another top level that is not
@@ -89,7 +106,7 @@ def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[s
     by = by or []
     e = edges.select(*by, "src", "dst").distinct()
     n = e.count()
-    rounds = max_rounds or (int(math.log2(max(n, 1))) + 2)
+    rounds = int(math.log2(max(n, 1))) + 2  # hops double each round and never exceed n
     srcs = share(e.select(*by, F.col("src").alias("_s")).distinct())
 
     def mark(state):
@@ -127,8 +144,15 @@ def resolve_aliases(edges: DataFrame, external: Column | None = None, by: list[s
 
 # ------------------------------------------------------------------ building
 
-ALIAS_ORD = 1_000_000
-WILDCARD_ORD = 2_000_000
+def usable_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the versions that no version error spoils."""
+    spoiled = rows.where(F.col("rkind") == "version_error").select("pkg", "ver").distinct()
+    return rows.join(spoiled, ["pkg", "ver"], "left_anti")
+
+
+def _order(rank: int) -> Column:
+    """Place of a row in its module: kind of entity, .py before .pyi, position."""
+    return F.struct(F.lit(rank).alias("rank"), F.col("src_rank"), F.col("ord").alias("pos"))
 
 
 def import_aliases(rows: DataFrame) -> DataFrame:
@@ -148,7 +172,7 @@ def import_aliases(rows: DataFrame) -> DataFrame:
     full = F.when(F.col("rkind") == "import", F.col("name")).otherwise(F.concat_ws(".", full_module, F.col("name")))
     local = F.coalesce(F.col("asname"), F.col("name"))
     return r.select("pkg", "ver", "module", local.alias("name"), full.alias("full_alias"),
-                    (F.col("ord") + ALIAS_ORD).alias("ord"))
+                    _order(1).alias("ord"))
 
 
 def build_entities(rows: DataFrame) -> DataFrame:
@@ -156,11 +180,12 @@ def build_entities(rows: DataFrame) -> DataFrame:
     aliases in import order, then one wildcard entity per module; the first
     of a clashing name wins; ``pkg.__init__`` entities are also listed under
     ``pkg``.  -> pkg, ver, module, name, key, kind, ord, full_alias, targets"""
+    rows = usable_rows(rows)
     defs = rows.where(
         F.col("rkind").isin("function", "variable")
         & F.col("class_path").isNull()
         | ((F.col("rkind") == "class") & ~F.col("class_path").contains("."))
-    ).select("pkg", "ver", "module", "name", F.col("rkind").alias("kind"), "ord",
+    ).select("pkg", "ver", "module", "name", F.col("rkind").alias("kind"), _order(0).alias("ord"),
              F.lit(None).cast("string").alias("full_alias"), F.lit(None).cast("array<string>").alias("targets"))
     al = import_aliases(rows)
     plain = al.where(F.col("name") != "*").select(
@@ -171,7 +196,7 @@ def build_entities(rows: DataFrame) -> DataFrame:
         .groupBy("pkg", "ver", "module")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "full_alias"))).alias("_t"))
         .select("pkg", "ver", "module", F.lit("*").alias("name"), F.lit("wildcard").alias("kind"),
-                F.lit(WILDCARD_ORD).alias("ord"), F.lit(None).cast("string").alias("full_alias"),
+                F.struct(F.lit(2).alias("rank"), F.lit(0).alias("src_rank"), F.lit(0).alias("pos")).alias("ord"), F.lit(None).cast("string").alias("full_alias"),
                 F.transform("_t", lambda x: x["full_alias"]).alias("targets"))
     )
     allr = defs.unionByName(plain).unionByName(wild)
@@ -186,20 +211,35 @@ def build_entities(rows: DataFrame) -> DataFrame:
     return ent.unionByName(hoisted)
 
 
+def winning_class_rows(rows: DataFrame) -> DataFrame:
+    """Rows inside classes (members and nested classes) that belong to the
+    first class of their name in the module, .py before .pyi."""
+    inside = rows.where(F.col("class_path").isNotNull()).withColumn("_top", F.split("class_path", r"\.")[0])
+    first = inside.where((F.col("rkind") == "class") & ~F.col("class_path").contains(".")).groupBy("pkg", "ver", "module", "_top").agg(
+        F.min(F.struct("src_rank", "owner")).alias("_first"))
+    return inside.join(first, ["pkg", "ver", "module", "_top"]).where(F.struct("src_rank", "owner") == F.col("_first")).drop("_top", "_first")
+
+
 def build_members(rows: DataFrame) -> DataFrame:
     """Members of classes -> pkg, ver, class_key, name, mkind, ord,
-    args, decorators, var_type, value (methods, fields, static fields, nested classes)."""
-    m = rows.where(F.col("mkind").isNotNull() & F.col("class_path").isNotNull())
+    args, decorators, var_type, value (methods, fields, static fields, nested
+    classes).  A method defined several times is listed each time, by ``ord``."""
+    m = winning_class_rows(usable_rows(rows)).where(F.col("mkind").isNotNull())
     return m.select("pkg", "ver", F.concat_ws(".", "module", "class_path").alias("class_key"), "name", "mkind", "ord",
                     "args", "decorators", "var_type", "value")
 
 
+def failed_modules(rows: DataFrame) -> DataFrame:
+    """One row per module file that could not be read -> pkg, ver, module, src_rank, error."""
+    return rows.where(F.col("rkind") == "failed").groupBy("pkg", "ver", "module", "src_rank").agg(F.min("error").alias("error"))
+
+
 def extraction_status(rows: DataFrame) -> DataFrame:
-    """Per (pkg, ver): failed modules as a map, a version-level
-    error when one module raised outside the parser, and statistics."""
+    """Per (pkg, ver): number of modules and of unreadable files and
+    the version-level error; the files themselves are :func:`failed_modules`."""
     return rows.groupBy("pkg", "ver").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("rkind") == "failed", F.struct("module", "error")))).alias("failed_modules"),
-        F.max(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("error_message"),
+        F.count_if(F.col("rkind") == "failed").alias("n_failed"),
+        F.min(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("error_message"),
         F.count_distinct("module").alias("n_modules"),
     ).withColumn("error", F.col("error_message").isNotNull())
 
@@ -233,7 +273,48 @@ def public_names(entities: DataFrame, members: DataFrame) -> DataFrame:
     return entities.select("pkg", "ver", F.col("key").alias("name")).unionByName(mem).distinct()
 
 
-def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top: str, max_rounds: int = 64) -> DataFrame:
+def _first_branches(done: list[DataFrame], markers: list[DataFrame], req: list[str]) -> DataFrame:
+    """The first success of each request in depth-first candidate order.  A
+    cyclic candidate of a node (marker) ends the node: later ones don't count.
+    done: req + path, result_key, result_kind.  markers: req + node, cyc_o."""
+    res = reduce(DataFrame.unionByName, done)
+    if markers:
+        mk = reduce(DataFrame.unionByName, markers)
+        steps = res.select(*req, "path", F.posexplode("path").alias("_d", "_o")).select(*req, "path", F.slice("path", 1, F.col("_d")).alias("node"), "_o")
+        late = steps.join(mk, [*req, "node"]).where(F.col("cyc_o") < F.col("_o")).select(*req, "path").distinct()
+        res = res.join(late, [*req, "path"], "left_anti")
+    return res.groupBy(*req).agg(F.min(F.struct("path", "result_key", "result_kind")).alias("_b")).select(
+        *req, F.col("_b.result_key").alias("result_key"), F.col("_b.result_kind").alias("result_kind"))
+
+
+def follow(requests: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:
+    """K8 ``get(key)`` for distinct keys (by + key): what each finally names,
+    following aliases and wildcard imports of the last segment depth-first,
+    inside the catalogue's own top level.  objects: by + key, kind,
+    full_alias, targets, one row per key.  -> by + key, result_key,
+    result_kind; keys that name nothing are absent."""
+    objects = cut_lineage(objects.select(*by, F.col("key").alias("_cur"), F.col("kind").alias("_k"), "full_alias", "targets"))
+    named = objects.where(F.col("_k") != "wildcard").select(*by, "_cur", "_k", "full_alias")
+    wild = objects.where(F.col("_k") == "wildcard").select(*by, parent_of("_cur").alias("_parent"), F.col("targets").alias("_wt"))
+    leaf = F.substring_index("_cur", ".", -1)
+    to = F.when(F.col("_k") == "alias", F.array("full_alias")).when(F.col("_k").isNull(), F.transform("_wt", lambda t: F.replace(t, F.lit("*"), leaf)))
+    state = requests.select(*by, "key", F.col("key").alias("_cur"), F.array().cast("array<int>").alias("path"), F.array().cast("array<string>").alias("seen"))
+    done, markers = [], []
+    while True:  # ends: a branch never takes a target twice
+        at = cut_lineage(
+            state.join(named, [*by, "_cur"], "left").withColumn("_parent", parent_of("_cur")).join(wild, [*by, "_parent"], "left")
+            .select(*by, "key", "_cur", "path", "seen", "_k", to.alias("_to")))
+        done.append(at.where("_k IS NOT NULL AND _k <> 'alias'").select(*by, "key", "path", F.col("_cur").alias("result_key"), F.col("_k").alias("result_kind")))
+        branch = at.select(*by, "key", "_cur", "path", "seen", F.posexplode("_to").alias("_o", "_t"))
+        again = F.array_contains("seen", F.col("_t"))
+        markers.append(branch.where(again).select(*by, "key", F.col("path").alias("node"), F.col("_o").alias("cyc_o")))
+        own = F.substring_index("_t", ".", 1) == F.substring_index("_cur", ".", 1)
+        state = branch.where(~again & own).select(*by, "key", F.col("_t").alias("_cur"), F.concat("path", F.array("_o")).alias("path"), F.concat("seen", F.array("_t")).alias("seen"))
+        if state.isEmpty():
+            return _first_branches(done, markers, [*by, "key"])
+
+
+def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top: str) -> DataFrame:
     """K9 ``query(key)`` inside one catalogue whose top level is ``top``.
 
     Unlike K8 an alias may sit in any segment: the walk goes over module
@@ -258,7 +339,7 @@ def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top:
     state = requests.select("req_id", "key", F.array().cast("array<int>").alias("path"),
                             F.array().cast("array<string>").alias("seen"))
     done, markers = [], []
-    for _ in range(max_rounds):
+    while True:  # ends: a branch never takes an alias twice
         # a row id fixed by the checkpoint; joins below use it instead of the array columns
         state = cut_lineage(state.withColumn("_sid", F.monotonically_increasing_id()))
         if state.isEmpty():
@@ -277,7 +358,7 @@ def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top:
         done.append(all_mod.select("req_id", "path", F.col("key").alias("result_key"), F.lit("module").alias("result_kind")))
         at = base.join(first_non_module, "_sid").select(
             "req_id", "key", "path", "seen", F.col("_s._i").alias("_i"), F.col("_s._p").alias("_p"),
-            F.array_join(F.slice(F.split("key", r"\."), F.col("_s._i") + 2, 1 << 16), ".").alias("_rest"),
+            F.array_join(F.slice(F.split("key", r"\."), F.col("_s._i") + 2, F.size(F.split("key", r"\."))), ".").alias("_rest"),
             F.regexp_extract("_s._p", r"([^.]*)$", 1).alias("_leaf"), parent_of("_s._p").alias("_parent"))
         j = at.join(ents, "_p", "left")
         rest_empty = F.col("_rest") == ""
@@ -317,20 +398,5 @@ def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top:
                     F.when(F.col("_rest") == "", F.col("t")).otherwise(F.concat_ws(".", "t", "_rest")).alias("key"),
                     F.concat("path", F.array("o")).alias("path"), F.concat("seen", F.array("t")).alias("seen"))
         )
-    else:
-        if not state.isEmpty():
-            raise RuntimeError(f"query_keys: alias rewriting did not settle in {max_rounds} rounds")
-    res = done[0]
-    for d in done[1:]:
-        res = res.unionByName(d)
-    if markers:
-        mk = markers[0]
-        for m in markers[1:]:
-            mk = mk.unionByName(m)
-        pref = res.select("req_id", "path", F.posexplode("path").alias("_d", "_o")).select(
-            "req_id", "path", F.slice("path", 1, F.col("_d")).alias("node"), "_o")
-        bad = pref.join(mk, ["req_id", "node"]).where(F.col("cyc_o") < F.col("_o")).select("req_id", "path").distinct()
-        res = res.join(bad, ["req_id", "path"], "left_anti")
-    best = res.groupBy("req_id").agg(F.min(F.struct("path", "result_key", "result_kind")).alias("_b"))
-    return requests.join(best, "req_id", "left").select(
-        "req_id", "key", F.col("_b.result_key").alias("result_key"), F.col("_b.result_kind").alias("result_kind"))
+    res = _first_branches(done, markers, ["req_id"])
+    return requests.join(res, "req_id", "left").select("req_id", "key", "result_key", "result_kind")

@@ -7,7 +7,7 @@ Catalogue tables (one catalogue = one (pkg, ver); columns ``by`` identify it):
   methods:  by + class_key, name, args, decorators, signature
 Chains:    chain_id + by + items (see ``chains.chain_items``).
 
-Every prefix of a chain is looked up at once (explode + join), the walk stops
+Every distinct prefix of the chains is looked up once per catalogue, the walk stops
 at the first prefix that is missing, called, or not a module, and the call
 verdict at that point is a column expression (``match.call_verdict``).
 """
@@ -19,31 +19,28 @@ from pyspark.sql import functions as F
 
 from pkgscope.operators import catalog as K
 from pkgscope.operators.match import MATCH, MISMATCH, MISSING, call_verdict
-from pkgscope.session import share
-
-
-def resolved_objects(objects: DataFrame, by: list[str]) -> DataFrame:
-    """K8 inside one catalogue: every key with the object it finally names.
-
-    Aliases are followed (pointer doubling) while they stay inside the
-    catalogue; a chain that leaves it, is cyclic or ends on a missing name
-    leaves the alias itself (the exact lookup fallback).
-    -> by + key, rkind, rkey"""
-    plain = objects.where(~F.col("kind").isin("alias", "wildcard")).select(*by, "key", F.col("kind").alias("rkind"),
-                                                                           F.col("key").alias("rkey"))
-    edges = objects.where(F.col("kind") == "alias").select(*by, F.col("key").alias("src"), F.col("full_alias").alias("dst"))
-    closure = K.resolve_aliases(edges, by=by)
-    via_alias = (
-        closure.where(F.col("final").isNotNull())
-        .join(plain.select(*by, F.col("key").alias("final"), "rkind"), by + ["final"])
-        .select(*by, F.col("src").alias("key"), "rkind", F.col("final").alias("rkey"))
-    )
-    unresolved = (
-        objects.where(F.col("kind") == "alias").select(*by, "key")
-        .join(via_alias.select(*by, "key"), by + ["key"], "left_anti")
-        .select(*by, "key", F.lit("alias").alias("rkind"), F.col("key").alias("rkey"))
-    )
-    return plain.unionByName(via_alias).unionByName(unresolved)
+from pkgscope.session import cut_lineage
+
+
+def one_per_key(objects: DataFrame, by: list[str]) -> DataFrame:
+    """K5: a child module wins over an entity of the same name."""
+    modules = objects.where(F.col("kind") == "module")
+    others = objects.where(F.col("kind") != "module").join(modules.select(*by, "key"), [*by, "key"], "left_anti")
+    return modules.unionByName(others)
+
+
+def lookups(keys: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:
+    """What each distinct key (by + key) names for the chain walk: the object
+    that K8 finds; else the alias itself, or a wildcard if only the last
+    segment is unknown below a module with one (K5/K7).  -> by + key, rkind,
+    rkey; keys that name nothing are absent."""
+    objects = cut_lineage(one_per_key(objects, by))
+    found = cut_lineage(K.follow(keys, objects, by)).select(*by, "key", F.col("result_kind").alias("rkind"), F.col("result_key").alias("rkey"))
+    rest = keys.join(found, [*by, "key"], "left_anti").withColumn("_parent", K.parent_of("key"))
+    alias = objects.where(F.col("kind") == "alias").select(*by, "key", F.lit("alias").alias("_a"))
+    wild = objects.where(F.col("kind") == "wildcard").select(*by, K.parent_of("key").alias("_parent"), F.lit("wildcard").alias("_w"))
+    bare = rest.join(alias, [*by, "key"], "left").join(wild, [*by, "_parent"], "left").select(*by, "key", F.coalesce("_a", "_w").alias("rkind"), F.col("key").alias("rkey"))
+    return cut_lineage(found.unionByName(bare.where(F.col("rkind").isNotNull())))
 
 
 def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, methods: DataFrame, by: list[str]) -> DataFrame:
@@ -51,7 +48,6 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
 
     Chains whose top level is not a module of the catalogue are dropped (M11).
     """
-    res = share(resolved_objects(objects, by))  # joined at every prefix and wildcard candidate
     top = objects.where((F.col("kind") == "module") & ~F.col("key").contains(".")).select(*by, F.col("key").alias("_top"))
     ch = chains.withColumn("_top", F.col("items")[0]["name"]).join(top, by + ["_top"], "left_semi")
     steps = ch.select(
@@ -62,28 +58,9 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
         F.array_join(F.transform(F.slice("items", 1, F.col("i") + 1), lambda x: x["rendered"]), ".").alias("chain_i"),
         F.try_element_at("items", F.col("i") + 2).alias("next"),
     )
-    # Wildcard fallback at the last segment: candidates of the parent module's '*'.
-    wild = (
-        objects.where(F.col("kind") == "wildcard")
-        .select(*by, K.parent_of("key").alias("_parent"), F.posexplode("targets").alias("_o", "_t"))
-    )
-    stw = steps.withColumn("_parent", K.parent_of("k")).withColumn("_leaf", F.regexp_extract("k", r"([^.]*)$", 1))
-    cand = (
-        stw.join(wild, by + ["_parent"])
-        .select("chain_id", *by, "i", F.col("_o"), F.regexp_replace("_t", r"\*", F.col("_leaf")).alias("_ck"))
-        .join(res.withColumnRenamed("key", "_ck"), by + ["_ck"])
-        .groupBy("chain_id", *by, "i").agg(F.min(F.struct("_o", "rkind", "rkey")).alias("_w"))
-    )
-    has_wild = stw.join(wild.select(*by, "_parent").distinct(), by + ["_parent"], "left_semi") \
-        .select("chain_id", *by, "i").withColumn("_has_wild", F.lit(True))
-    looked = (
-        steps.join(res.withColumnRenamed("key", "k"), by + ["k"], "left")
-        .join(cand, ["chain_id", *by, "i"], "left")
-        .join(has_wild, ["chain_id", *by, "i"], "left")
-        .select("chain_id", *by, "i", "item", "k", "chain_i", "next",
-                F.coalesce("rkind", F.col("_w.rkind"), F.when(F.col("_has_wild"), F.lit("wildcard"))).alias("rkind"),
-                F.coalesce("rkey", F.col("_w.rkey"), F.when(F.col("_has_wild"), F.col("k"))).alias("rkey"))
-    )
+    # texts repeat over clients and files: each distinct prefix is looked up once per catalogue
+    res = lookups(steps.select(*by, F.col("k").alias("key")).distinct(), objects, by)
+    looked = steps.join(res.withColumnRenamed("key", "k"), [*by, "k"], "left")
     stop_cond = F.col("rkind").isNull() | F.col("item.is_call") | (F.col("rkind") != "module")
     stop = looked.groupBy("chain_id", *by).agg(
         F.min(F.when(stop_cond, F.struct("i", "item", "k", "chain_i", "next", "rkind", "rkey"))).alias("s"),
@@ -160,20 +137,20 @@ def catalogue_tables(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, D
     from pkgscope.functions.signatures import function_signature
 
     by = ["pkg", "ver"]
-    mods = rows.select(*by, F.regexp_replace("module", r"\.__init__$", "").alias("key")).distinct()
-    parts = F.split("key", r"\.")
-    modules = (
-        mods.select(*by, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_i"), parts.alias("_p"))
-        .select(*by, F.array_join(F.slice("_p", 1, F.col("_i")), ".").alias("key")).distinct()
-        .select(*by, "key", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("full_alias"),
-                F.lit(None).cast("array<string>").alias("targets"))
-    )
+    rows = K.usable_rows(rows)
+    modules = K.file_modules(rows).select(*by, F.col("module").alias("key"), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("full_alias"),
+                                            F.lit(None).cast("array<string>").alias("targets"))
     objects = modules.unionByName(entities.select(*by, "key", "kind", "full_alias", "targets"))
     sig = function_signature("name", "args", "decorators", "is_async", "returns")
+    place = F.struct("src_rank", "ord")  # one definition per name: the first
+
+    def first(rows, key, *columns):
+        picked = rows.groupBy(*by, *key).agg(F.min_by(F.struct(*columns), "_place").alias("_d"))
+        return picked.select(*by, *key, "_d.*")
+
     f = rows.where((F.col("rkind") == "function") & F.col("class_path").isNull()).select(
-        *by, F.regexp_replace("module", r"\.__init__$", "").alias("module"), "name", "args", sig.alias("signature"))
-    funcs = f.select(*by, F.concat_ws(".", "module", "name").alias("key"), "args", "signature")
-    m = rows.where(F.col("mkind") == "method").select(
-        *by, F.concat_ws(".", F.regexp_replace("module", r"\.__init__$", ""), "class_path").alias("class_key"), "name",
-        "args", "decorators", sig.alias("signature"))
-    return objects, funcs, m
+        *by, F.concat_ws(".", F.regexp_replace("module", r"\.__init__$", ""), "name").alias("key"), "args", sig.alias("signature"), place.alias("_place"))
+    m = K.winning_class_rows(rows).where(F.col("mkind") == "method").select(
+        *by, F.concat_ws(".", F.regexp_replace("module", r"\.__init__$", ""), "class_path").alias("class_key"), "name", "args", "decorators",
+        sig.alias("signature"), place.alias("_place"))
+    return objects, first(f, ["key"], "args", "signature"), first(m, ["class_key", "name"], "args", "decorators", "signature")

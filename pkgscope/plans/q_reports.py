@@ -315,19 +315,19 @@ def dependents(spark, sf_dir):
 
 
 @register("S2_rank_by_dependents", DEPENDENTS_SQL + """
-SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 20""")
-def q_s2(spark, sf_dir):
-    """Top 20 packages by number of dependents (a top-k report)."""
-    return dependents(spark, sf_dir).orderBy(F.col("dependents").desc(), F.col("name")).limit(20)
+SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 10000""")
+def q_s2(spark, sf_dir, top: int = 10_000):
+    """The ``top`` packages by number of dependents (a top-k report)."""
+    return dependents(spark, sf_dir).orderBy(F.col("dependents").desc(), F.col("name")).limit(top)
 
 
 @register("U8_versions_to_check", DEPENDENTS_SQL + """,
-top AS (SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 20)
+top AS (SELECT name, dependents FROM (SELECT *, row_number() OVER (ORDER BY dependents DESC, name) AS r FROM dep) WHERE r <= 10000)
 SELECT s.package, s.version, t.dependents FROM b_stats s JOIN top t ON t.name = s.package WHERE s.wheel IS NOT NULL""")
-def q_u8(spark, sf_dir):
-    """Versions with a wheel of the top packages, with their ranking figure
-    (ordered by it when written out)."""
-    top = dependents(spark, sf_dir).orderBy(F.col("dependents").desc(), F.col("name")).limit(20)
+def q_u8(spark, sf_dir, top: int = 10_000):
+    """Versions with a wheel of the ``top`` packages, with their ranking
+    figure (ordered by it when written out).  AQE broadcasts the ranking if it is small."""
     s = stats(spark, sf_dir).where(F.col("wheel").isNotNull())
-    return s.join(F.broadcast(top), s["package"] == top["name"]).select("package", "version", "dependents") \
+    ranked = q_s2(spark, sf_dir, top)
+    return s.join(ranked, s["package"] == ranked["name"]).select("package", "version", "dependents") \
         .orderBy(F.col("dependents").desc(), "package", "version")

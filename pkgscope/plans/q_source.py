@@ -148,7 +148,7 @@ SELECT 'pkg' AS pkg, '1.0' AS ver, (SELECT count(*) FROM b_source WHERE k % 40 =
        (SELECT count(*) FROM b_source) AS n_modules""")
 def q_e16(spark, sf_dir):
     st = K.extraction_status(parsed(spark, sf_dir))
-    return st.select("pkg", "ver", F.size("failed_modules").alias("n_failed"), "error", "n_modules")
+    return st.select("pkg", "ver", "n_failed", "error", "n_modules")
 
 
 # ------------------------------------------------------------------ client side
