@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pkgscope.session import cut_lineage
+
 # --- fixed values: change type labels, breaking set and message formats ---
 CLS_ADD = "Class Addition"
 CLS_REM = "Class Removal"
@@ -301,14 +303,26 @@ def release_note_lines(diffs: DataFrame, by: list[str]) -> DataFrame:
         d = d.withColumn("clients_used", F.lit(0).cast("bigint"))
         d = d.withColumn("clients_impacted", F.lit(0).cast("bigint"))
         d = d.withColumn("clients_total", F.lit(0).cast("bigint"))
-    w = Window.partitionBy(*by, "is_breaking").orderBy(F.col("clients_used").desc(), F.col("message"))
-    n = F.row_number().over(w)
+    d = numbered(d, [*by, "is_breaking"], [F.col("clients_used").desc(), F.col("message")], "entry_no")
+    n = F.col("entry_no")
     line = F.when(
         F.col("is_breaking"),
         F.format_string("%d. %s (impacts %d of %d clients, %d clients in total) ", n, F.col("message"),
                         F.col("clients_impacted"), F.col("clients_used"), F.col("clients_total")),
     ).otherwise(F.format_string("%d. %s", n, F.col("message")))
-    return d.select(*by, "is_breaking", n.alias("entry_no"), line.alias("line"))
+    return d.select(*by, "is_breaking", "entry_no", line.alias("line"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """Row numbers from 1 in ``order`` within ``by``, without bringing a group
+    into one task: range partitions are numbered by themselves and shifted by
+    the rows of the group's earlier partitions."""
+    ranged = cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return ranged.withColumn("_own", own).join(shift, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def evolution_stats(diffs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -363,8 +377,8 @@ def pairs_by_bump(evo: DataFrame) -> DataFrame:
 def client_impact(diffs: DataFrame, usage: DataFrame, old_status: DataFrame, new_status: DataFrame,
                   by: list[str] | None = None) -> DataFrame:
     """Per change, clients of the old version in total, clients using
-    the changed API (exact name) and clients impacted: the first pattern of a
-    client for that API (text order) matches the old catalogue and does not
+    the changed API (exact name) and clients impacted: the first readable
+    pattern of a client for that API (text order) matches the old catalogue and does not
     match the new one.
 
     usage: by + c_pkg, api, chain (MATCH rows of the old version).
@@ -372,7 +386,9 @@ def client_impact(diffs: DataFrame, usage: DataFrame, old_status: DataFrame, new
     Totals come from a one-row aggregate per key; usage is reduced to one
     row per (client, API) before meeting the changes."""
     by = by or []
-    per = usage.groupBy(*by, "c_pkg", "api").agg(F.min("chain").alias("chain"))
+    # a pattern with starred arguments can't be read back; the client's next one counts
+    readable = F.when(~F.col("chain").contains("..."), F.col("chain"))
+    per = usage.groupBy(*by, "c_pkg", "api").agg(F.min(readable).alias("chain"))
     hit = (
         per.join(old_status.select("chain", F.col("status").alias("_old")), "chain", "left")
         .join(new_status.select("chain", F.col("status").alias("_new")), "chain", "left")

@@ -50,8 +50,9 @@ def dependency_checks(reqs: DataFrame, releases: DataFrame, results: DataFrame)
 
     reqs: c_pkg, c_ver, dep, spec (one row per declared requirement).
     releases: pkg, ver (catalogued versions).
-    results: c_pkg, u_pkg, u_ver, src_file, chain, n_lines, status, message —
-    match rows of the client's code against upstream versions.
+    results: c_pkg, c_ver, u_pkg, u_ver, src_file, chain, n_lines, status,
+    message — match rows of the code of that very client version against
+    upstream versions.
 
     The satisfying versions are found on distinct (dep, spec) (V8 join) and
     reduced to the versions that have results before meeting the client
@@ -71,7 +72,7 @@ def dependency_checks(reqs: DataFrame, releases: DataFrame, results: DataFrame)
     return (
         results.withColumnRenamed("u_pkg", "dep")
         .join(ver_map, ["dep", "u_ver"])
-        .join(reqs, ["c_pkg", "dep", "spec"])
+        .join(reqs, ["c_pkg", "c_ver", "dep", "spec"])
         .join(n_apis, ["dep", "spec"])
         .drop("u_ver")
     )

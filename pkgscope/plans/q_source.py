@@ -293,17 +293,17 @@ def q_a13(spark, sf_dir):
                     F.min("loc").alias("min_loc"), F.max("loc").alias("max_loc"))
 
 
-@register("A13_snippet_sample")
+@register("A13_snippet_sample", CLI_SQL + """,
+loc AS (SELECT module || '.py' AS src_file, len(string_split(src, chr(10))) AS loc FROM b_source WHERE k % 40 <> 0)
+SELECT src_file, loc FROM loc WHERE loc <= (SELECT quantile_cont(loc, 0.5) FROM loc) ORDER BY md5(src_file || '42'), src_file LIMIT 100""")
 def q_a13s(spark, sf_dir):
-    """Seeded sample of 100 snippets at or under the median LOC (hash order)."""
-    from pkgscope.operators import reports as R
-
+    """Seeded sample of 100 snippets at or under the median LOC (order of md5 of name and seed)."""
     s = client_sources(spark, sf_dir).withColumn("loc", F.size(F.split("src", "\\n")))
     bad = client_events(spark, sf_dir).where(F.col("ev") == "failed").select("src_file")
     good = s.join(bad, "src_file", "left_anti")
     med = good.agg(F.percentile("loc", 0.5).alias("_med"))
-    small = good.join(F.broadcast(med)).where(F.col("loc") <= F.col("_med")).withColumn("_all", F.lit(1))
-    return R.sample_per_group(small, "_all", "src_file", 100, seed=42).select("src_file", "loc")
+    small = good.join(F.broadcast(med)).where(F.col("loc") <= F.col("_med"))
+    return small.select("src_file", "loc").orderBy(F.md5(F.concat("src_file", F.lit("42"))), "src_file").limit(100)
 
 
 @register("K9_query", SRC_SQL + """,

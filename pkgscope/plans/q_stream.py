@@ -18,7 +18,7 @@ def q_t1(spark, sf_dir):
     landing = os.path.join(base, "landing")
     T.stage_files(sources(spark, sf_dir), landing, 4, "module")
     out = os.path.join(base, "entities")
-    T.incremental_catalogue(spark, landing, out, os.path.join(base, "checkpoint"))
+    T.incremental_catalogue(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=2)
     return spark.read.parquet(out).select("module", "name", "key", "kind", "full_alias")
 
 
@@ -27,8 +27,8 @@ def q_t2(spark, sf_dir):
     landing = os.path.join(base, "landing")
     T.stage_files(usage_matches(spark, sf_dir), landing, 4, "c_pkg")
     out = os.path.join(base, "usage")
-    T.incremental_usage(spark, landing, out, os.path.join(base, "checkpoint"))
-    return spark.read.parquet(out)
+    T.incremental_usage(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=2)
+    return T.usage_totals(spark, out)
 
 
 register("T1_incremental_catalogue", ORACLES["E13_entities"])(q_t1)

@@ -32,11 +32,13 @@ FROM lineitem
 """
 
 BINDINGS["b_req"] = """
-SELECT concat('app',cast(o_custkey % 100 AS STRING)) AS c_pkg, concat('1.',cast(o_orderkey % 20 AS STRING)) AS c_ver, o_orderdate AS c_time,
+SELECT concat('app',cast(o_custkey % 100 AS STRING)) AS c_pkg, concat('1.',cast(o_orderkey % 20 AS STRING)) AS c_ver,
+ CASE WHEN o_custkey % 100 < 20 THEN o_orderdate + INTERVAL '20' YEAR ELSE o_orderdate END AS c_time,
  concat('pkg',cast(l_partkey % 50 AS STRING)) AS dep,
- CASE l_linenumber % 7 WHEN 0 THEN '' WHEN 1 THEN concat('>=',cast(cast(l_quantity AS INT) % 3 AS STRING),'.0')
+ CASE WHEN o_custkey % 100 < 20 THEN CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '>=0.5,<2' ELSE '!=1.0' END
+  WHEN l_suppkey % 10 = 3 THEN '==1.1.0' ELSE CASE l_linenumber % 7 WHEN 0 THEN '' WHEN 1 THEN concat('>=',cast(cast(l_quantity AS INT) % 3 AS STRING),'.0')
   WHEN 2 THEN concat('==',cast(cast(l_quantity AS INT) % 3 AS STRING),'.1.*') WHEN 3 THEN '~=1.2.1' WHEN 4 THEN '>=0.5,<2'
-  WHEN 5 THEN '!=1.0' ELSE '<=1.9' END AS spec
+  WHEN 5 THEN '!=1.0' ELSE '<=1.9' END END AS spec
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """
 
@@ -93,7 +95,8 @@ SELECT concat('app',cast(o_custkey % 100 AS STRING)) AS c_pkg, concat('pkg',cast
  concat('pkg.f',cast(l_partkey AS STRING)) AS api, concat('f',cast(l_linenumber AS STRING),'.py') AS src_file,
  cast(l_quantity AS INT) AS n_lines, concat('pkg.f',cast(l_partkey AS STRING),'(',CASE WHEN l_suppkey % 2 = 0 THEN '*' ELSE '' END,')') AS chain,
  CASE WHEN l_suppkey % 9 = 0 THEN 'MISSING' WHEN l_suppkey % 9 = 1 THEN 'MISMATCH' ELSE 'MATCH' END AS status,
- concat('msg',cast(l_suppkey % 9 AS STRING),'-',cast(l_partkey % 50 AS STRING)) AS message, concat('1.',cast(l_linenumber AS STRING)) AS dep_ver
+ concat('msg',cast(l_suppkey % 9 AS STRING),'-',cast(l_partkey % 50 AS STRING)) AS message, CASE WHEN l_orderkey % 4 = 0 THEN CASE l_linenumber % 3 WHEN 0 THEN '2.11.9' WHEN 1 THEN '1.2.9' ELSE '1.11.9' END
+  ELSE concat('1.',cast(l_linenumber AS STRING)) END AS dep_ver, concat('1.',cast(o_orderkey % 20 AS STRING)) AS c_ver
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """
 

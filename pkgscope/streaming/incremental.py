@@ -22,6 +22,9 @@ from pkgscope.operators import parse as P
 from pkgscope.session import ensure_checkpoint_dir
 
 
+USAGE_KEYS = ["c_pkg", "u_pkg", "u_ver", "api"]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
@@ -34,19 +37,30 @@ def stage_files(df: DataFrame, path: str, parts: int, key: str) -> None:
     df.repartition(parts, key).write.mode("overwrite").parquet(path)
 
 
+def _landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(spark.read.parquet(landing).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(landing)
+
+
+def _write_batch(df: DataFrame, out: str, batch_id: int) -> None:
+    """A micro-batch owns the folder of its id: a replay replaces it."""
+    df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
 def incremental_catalogue(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                          max_files_per_trigger: int = 1) -> None:
+                          max_files_per_trigger: int | None = None) -> None:
     """Parse every not-yet-seen source file of ``landing`` (pkg, ver,
-    module, src) and append its entities to ``out``; the checkpoint records
-    processed files so a rerun only picks up new ones."""
-    schema = spark.read.parquet(landing).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(landing)
+    module, src) and add its entities to ``out`` exactly once: the stream's
+    checkpoint records the files of each batch, and a replayed batch
+    overwrites its own folder."""
+    stream = _landing_stream(spark, landing, max_files_per_trigger)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = P.parse_sources(df).persist()  # parsed once per micro-batch, read by several branches
         try:
-            K.build_entities(rows).select("pkg", "ver", "module", "name", "key", "kind", "full_alias") \
-                .write.mode("append").parquet(out)
+            _write_batch(K.build_entities(rows).select("pkg", "ver", "module", "name", "key", "kind", "full_alias"), out, batch_id)
         finally:
             rows.unpersist()
 
@@ -55,20 +69,27 @@ def incremental_catalogue(spark: SparkSession, landing: str, out: str, checkpoin
 
 
 def incremental_usage(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                      max_files_per_trigger: int = 1) -> None:
+                      max_files_per_trigger: int | None = None) -> None:
     """Usage totals per (client, upstream version, API) over all match
-    rows seen so far (state = one row per group, the size of the result)."""
-    schema = spark.read.parquet(landing).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(landing)
+    rows seen so far (state = one row per group, the size of the result).  A
+    batch writes only the groups it changed; :func:`usage_totals` reads the
+    newest row of each group."""
+    stream = _landing_stream(spark, landing, max_files_per_trigger)
     agg = (
         stream.where(F.col("status") == "MATCH")
-        .groupBy("c_pkg", "u_pkg", "u_ver", "api")
+        .groupBy(*USAGE_KEYS)
         .agg(F.count(F.lit(1)).alias("files"), F.sum("n_lines").cast("bigint").alias("calls"))
     )
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out)
+        _write_batch(df, out, batch_id)
 
-    q = agg.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint) \
+    q = agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def usage_totals(spark: SparkSession, out: str) -> DataFrame:
+    """T2's table: the totals of the newest batch that changed each group."""
+    newest = F.max_by(F.struct("files", "calls"), "batch").alias("_t")
+    return spark.read.parquet(out).groupBy(*USAGE_KEYS).agg(newest).select(*USAGE_KEYS, "_t.*")
