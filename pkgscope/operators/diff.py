@@ -374,6 +374,26 @@ def pairs_by_bump(evo: DataFrame) -> DataFrame:
     )
 
 
+def parsed_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and parameters of parsed versions for :func:`diff_versions`.
+    A function name stands for its first definition in the module, a method
+    name for its last one in the first class of that name.  -> members (pkg,
+    ver, class_key, name, mkind), args (pkg, ver, func, param, pos, dflt)"""
+    from pkgscope.operators import catalog as K
+
+    rows = K.usable_rows(rows)
+    place = F.struct("src_rank", "ord")
+    by = ["pkg", "ver", "func"]
+    functions = rows.where((F.col("rkind") == "function") & F.col("class_path").isNull()).groupBy(
+        "pkg", "ver", F.concat_ws(".", "module", "name").alias("func")).agg(F.min_by("args", place).alias("args"))
+    inside = K.winning_class_rows(rows).where(F.col("mkind").isNotNull()).withColumn("class_key", F.concat_ws(".", "module", "class_path"))
+    methods = inside.where(F.col("mkind") == "method").groupBy("pkg", "ver", F.concat_ws(".", "class_key", "name").alias("func")).agg(
+        F.max_by("args", place).alias("args"))
+    args = functions.unionByName(methods).select(*by, F.posexplode("args").alias("pos", "a")).select(
+        *by, F.col("a.name").alias("param"), "pos", F.col("a.default").alias("dflt"))
+    return inside.select("pkg", "ver", "class_key", "name", "mkind").distinct(), args
+
+
 def client_impact(diffs: DataFrame, usage: DataFrame, old_status: DataFrame, new_status: DataFrame,
                   by: list[str] | None = None) -> DataFrame:
     """Per change, clients of the old version in total, clients using

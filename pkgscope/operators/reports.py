@@ -62,9 +62,9 @@ def macro_average(shares: DataFrame, col: str = "share_match") -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int = 50, seed: int = 0) -> DataFrame:
-    """A seeded sample of ``n`` rows per group, by hash order (a window
-    limit, so each group keeps only n rows map-side)."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """A seeded sample of ``n`` rows per group, in the order of md5 of key
+    and seed (a window limit, so each group keeps only n rows map-side)."""
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.col(key), F.lit(str(seed)))), F.col(key))
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 

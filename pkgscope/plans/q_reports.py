@@ -73,9 +73,11 @@ def q_r8(spark, sf_dir):
     return binding(spark, sf_dir, "b_probe").groupBy("package", "extracted_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("R9_sample_per_package")
+@register("R9_sample_per_package", binding_cte("b_probe") + """,
+p AS (SELECT DISTINCT package, api FROM b_probe WHERE dynamic_type IN ('Class', 'Function'))
+SELECT package, api FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY md5(api || '42'), api) AS r FROM p) WHERE r <= 50""")
 def q_r9(spark, sf_dir):
-    """Seeded sample of 50 probed APIs per package (hash order; no SQL twin for xxhash64)."""
+    """Seeded sample of 50 probed APIs per package (md5 order)."""
     p = binding(spark, sf_dir, "b_probe").where(F.col("dynamic_type").isin("Class", "Function"))
     return R.sample_per_group(p.select("package", "api").distinct(), "package", "api", 50, seed=42)
 

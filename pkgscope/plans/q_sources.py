@@ -43,9 +43,12 @@ def q_v7(spark, sf_dir):
 
 
 @register("S21_version_links", """
-SELECT page_id, unnest(regexp_extract_all(html, 'href="([0-9]+\\.[0-9]+\\.[0-9]+)/"', 1)) AS ver FROM pages""")
+SELECT p_partkey AS page_id, p_size || '.' || (p_partkey % 7) || '.' || i AS ver FROM part, range(0, 3) r(i) WHERE i <= p_size % 3""")
 def q_s21(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    """Links of listing pages, one page per part; parent, file and two-part links are no versions."""
+    link = lambda i: F.when(F.col("p_size") % 3 >= i, F.concat(F.lit('<a href="'), "p_size", F.lit("."), F.col("p_partkey") % 7, F.lit(f'.{i}/">v</a>\n')))
+    page = F.concat_ws("", F.lit('<html><a href="../">up</a><a href="1.0/">x</a><a href="1.2.3.whl">w</a>'), *[link(i) for i in range(3)], F.lit("</html>"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
     return p.select("page_id", F.explode(S.version_links(F.col("html"))).alias("ver"))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pkgscope.operators import catalog as K
 from pkgscope.operators import chainmatch as CM
 from pkgscope.operators import chains as A
+from pkgscope.operators import diff as D
 from pkgscope.operators import parse as P
+from pkgscope.operators import usage as U
 from pkgscope.plans.registry import register, sql_str
-from pkgscope.session import share
+from pkgscope.session import cut_lineage, share
 from pkgscope.sources.bindings import table
 
 #: (module below the package, kind of file, text; $k is the part, $s its size, condition on the part)
@@ -76,8 +78,8 @@ def _named(c):
     return F.regexp_replace(_filled(c), r"\bp(?=\.)", F.col("pkg"))
 
 
-def tree_sources(spark, sf_dir):
-    files = F.array(*[F.when(F.expr(cond), F.struct(F.lit(m).alias("m"), F.lit(kind).alias("src_kind"), F.lit(t).alias("src"))) for m, kind, t, cond in FILES])
+def tree_sources(spark, sf_dir, listed=FILES):
+    files = F.array(*[F.when(F.expr(cond), F.struct(F.lit(m).alias("m"), F.lit(kind).alias("src_kind"), F.lit(t).alias("src"))) for m, kind, t, cond in listed])
     rows = _parts(spark, sf_dir).select("k", "s", "pkg", "ver", F.explode(F.array_compact(files)).alias("f")).select("k", "s", "pkg", "ver", "f.*")
     return rows.select("pkg", "ver", F.concat_ws(".", "pkg", "m").alias("module"), "src_kind", _filled(F.col("src")).alias("src"))
 
@@ -157,3 +159,106 @@ def q_tree_methods(spark, sf_dir):
     """The first class and the first method of a name, .py before .pyi."""
     _, _, methods = tree_catalogue(spark, sf_dir)
     return methods.select("pkg", "class_key", "name", F.size("args").cast("bigint").alias("n_args"))
+
+
+# ------------------------------------------------------------------ client code against the trees, end to end
+
+#: A client's file: (line, number).  u is the package it uses.
+CLIENT = ["import u", "from u.lib import f, C as K", "x = u.arr(1)", "f()", "K(1).m()", "u.sub.nope", "import os, u.nowhere"]
+
+#: (chain, line, status, message, matched name, matched kind)
+CLIENT_CHAINS = [
+    ("u", 1, "MATCH", "", "u"), ("u.lib.f", 2, "MATCH", "", "u.lib.f"), ("u.lib.C", 2, "MATCH", "", "u.lib.C"),
+    ("u.arr(*)", 3, "MATCH", "", "u.arr"), ("u.arr", 3, "MATCH", "", "u.arr"),
+    ("u.lib.f()", 4, "MISMATCH", "u.lib.f() does not match function def f(x, y = $s): f() missing one required argument x", None),
+    ("u.lib.C(*).m()", 5, "MISMATCH", "u.lib.C(*).m() does not match class method def m(self, b): m() missing one required argument b", None),
+    ("u.lib.C(*).m", 5, "MATCH", "", "u.lib.C"), ("u.sub.nope", 6, "MISSING", "u.sub.nope does not exist", None), ("u.nowhere", 7, "MATCH", "", "u.nowhere"),
+]
+
+_CLIENTS = r"""(SELECT 'app' || c_custkey AS c_pkg, 't' || p_partkey AS pkg, CAST(p_size AS VARCHAR) AS s, p_partkey AS k
+  FROM customer JOIN part ON p_partkey = 1 + c_custkey % (SELECT count(*) FROM part) WHERE p_partkey % 7 <> 0)"""
+
+
+def _client_sql(c: str) -> str:
+    return rf"regexp_replace(replace({c}, '$s', s), '\bu\b', pkg, 'g')"
+
+
+_CLIENT_ROWS = f"""(SELECT c_pkg, pkg AS u_pkg, {_client_sql('c')} AS chain, CAST(line AS BIGINT) AS line, status, {_client_sql('msg')} AS message, {_client_sql('name')} AS api
+  FROM {_CLIENTS} AS t, (VALUES {", ".join("(" + ", ".join([sql_str(c), str(line), sql_str(st), sql_str(msg), "CAST(NULL AS VARCHAR)" if name is None else sql_str(name)]) + ")" for c, line, st, msg, name in CLIENT_CHAINS)}) AS v(c, line, status, msg, name))"""
+
+
+def client_matches(spark, sf_dir):
+    """Client files -> events -> chains -> verdicts against the parsed
+    catalogue of the package they use: the match rows of U1-U7."""
+    parts = table(spark, sf_dir, "part")
+    n = parts.count()
+    used = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("app"), "c_custkey").alias("c_pkg"), F.concat(F.lit("t"), 1 + F.col("c_custkey") % n).alias("u"))
+    src = used.select("c_pkg", F.lit("1.0").alias("c_ver"), F.lit("main.py").alias("src_file"), F.regexp_replace(F.lit("\n".join(CLIENT)), r"\bu\b", F.col("u")).alias("src"))
+    chains = A.access_chains(P.parse_clients(src)).select(
+        "c_pkg", "c_ver", "src_file", "chain", "items", "lines", F.col("items")[0]["name"].alias("pkg"), F.lit("1.0").alias("ver"),
+        F.concat_ws("|", "c_pkg", "c_ver", "src_file", "chain").alias("chain_id"))
+    objects, funcs, methods = tree_catalogue(spark, sf_dir)
+    found = CM.match_chains(chains, objects, funcs, methods, ["pkg", "ver"])
+    return found.select("c_pkg", "c_ver", F.col("pkg").alias("u_pkg"), F.col("ver").alias("u_ver"), "src_file", "chain", "lines",
+                        F.size("lines").alias("n_lines"), "status", "message", F.col("matched_name").alias("api"))
+
+
+@register("M12_client_verdicts", f"SELECT c_pkg, u_pkg, chain, line, status, message, api FROM {_CLIENT_ROWS}")
+def q_client_verdicts(spark, sf_dir):
+    """Parsed client files against parsed packages, one verdict per chain and line."""
+    return client_matches(spark, sf_dir).select(
+        "c_pkg", "u_pkg", "chain", F.explode("lines").alias("line"), "status", "message", "api").withColumn("line", F.col("line").cast("bigint"))
+
+
+@register("U1_client_usage", f"""
+SELECT c_pkg, u_pkg, api, count(*) AS files, count(*) AS calls, array_to_string(list_sort(list(chain)), '|') AS patterns
+FROM {_CLIENT_ROWS} WHERE status = 'MATCH' GROUP BY ALL""")
+def q_client_usage(spark, sf_dir):
+    """U1 over parsed client code (end to end)."""
+    return U.api_usage(client_matches(spark, sf_dir), ["c_pkg", "u_pkg"]).withColumn("patterns", F.array_join("patterns", "|"))
+
+
+@register("U3_client_totals", f"""
+SELECT c_pkg, u_pkg, count(DISTINCT api) AS num_apis, count(*) FILTER (WHERE status <> 'MATCH') AS num_violations FROM {_CLIENT_ROWS} GROUP BY ALL""")
+def q_client_totals(spark, sf_dir):
+    """U2/U3 over parsed client code (end to end)."""
+    return U.pair_totals(client_matches(spark, sf_dir), ["c_pkg", "u_pkg"])
+
+
+# ------------------------------------------------------------------ diff of two parsed versions
+
+#: What the second version has instead.
+FILES_2 = [
+    ("__init__", "py", "from .core import *\nfrom . import sub\n", "true"),
+    ("core.__init__", "py", "from .num import *\n", "true"),
+    ("core.num", "py", "W = 1\ndef arr(a, b=2): pass\n", "true"),
+    ("lib", "py", "def f(x, y): pass\nclass C:\n    def __init__(self, a, z): pass\n    def m(self, k): pass\n    def q(self): pass\nclass E: pass\n", "true"),
+    ("sub", "py", "def h2(z): pass\n", "k % 3 = 0"),
+    ("sub", "py", "def h(q, z=object()): pass\n", "k % 3 <> 0"),
+]
+
+#: (change, api, parameter, condition on the part)
+CHANGES = [
+    ("Variable Removal", "p.core.num.V", None, "true"), ("Variable Addition", "p.core.num.W", None, "true"),
+    ("Optional Parameter Addition", "p.core.num.arr", "b", "true"), ("Parameter Default Value Addition", "p.lib.f", "y", "true"),
+    ("Function Removal", "p.lib.only", None, "true"), ("Required Parameter Addition", "p.lib.C.__init__", "z", "true"),
+    ("Required Parameter Addition", "p.lib.C.m", "k", "true"), ("Function Removal", "p.lib.C.s", None, "true"), ("Function Addition", "p.lib.C.q", None, "true"),
+    ("Class Removal", "p.lib.D", None, "true"), ("Class Addition", "p.lib.E", None, "true"),
+    ("Function Removal", "p.sub.h", None, "k % 3 = 0"), ("Function Addition", "p.sub.h2", None, "k % 3 = 0"),
+    ("Required Parameter Addition", "p.sub.h", "q", "k % 3 <> 0"), ("Parameter Default Value Removal", "p.sub.h", "z", "k % 3 <> 0"),
+    ("Parameter Reordering", "p.sub.h", "z", "k % 3 <> 0"),
+]
+
+
+@register("D27_tree_diff", " UNION ALL ".join(
+    f"SELECT pkg, {sql_str(kind)} AS diff_type, {_sql(sql_str(api))} AS api_name, {'CAST(NULL AS VARCHAR)' if param is None else sql_str(param)} AS param FROM {_SQL} AS t WHERE {cond}"
+    for kind, api, param, cond in CHANGES))
+def q_tree_diff(spark, sf_dir):
+    """Entities, members and parameters of all parsed version pairs."""
+    second = tree_sources(spark, sf_dir, FILES_2).withColumn("ver", F.lit("2.0"))
+    rows = share(P.parse_sources(tree_sources(spark, sf_dir).unionByName(second)))
+    pairs = _parts(spark, sf_dir).where("k % 7 <> 0").select("pkg", F.lit("1.0").alias("v1"), F.lit("2.0").alias("v2"))
+    members, args = map(cut_lineage, D.parsed_members(rows))  # each side of each pair reads them
+    entities = cut_lineage(K.build_entities(rows).select("pkg", "ver", "key", "kind"))
+    return D.diff_versions(entities, pairs, members, args).select("pkg", "diff_type", "api_name", "param")
