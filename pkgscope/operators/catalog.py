@@ -44,14 +44,14 @@ def ancestors(modules: DataFrame, by: list[str]) -> DataFrame:
 
 
 def parsed_modules(rows: DataFrame) -> DataFrame:
-    """K3 from the parse stage: one module per parsed file, also an empty one,
-    ``pkg.__init__`` as ``pkg``, with all ancestors -> pkg, ver, module."""
+    """K3 from the parse stage: one module per file, also an empty or an
+    unreadable one, ``pkg.__init__`` as ``pkg``, with all ancestors -> pkg, ver, module."""
     return file_modules(usable_rows(rows))
 
 
 def file_modules(rows: DataFrame) -> DataFrame:
     """:func:`parsed_modules` of rows that are usable already."""
-    files = rows.where(F.col("rkind") == "module")
+    files = rows.where(F.col("rkind").isin("module", "failed"))  # an unreadable file is a module without entities
     return ancestors(files.select("pkg", "ver", F.regexp_replace("module", r"\.__init__$", "").alias("module")), ["pkg", "ver"])
 
 

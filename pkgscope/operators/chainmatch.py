@@ -59,6 +59,7 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
         F.try_element_at("items", F.col("i") + 2).alias("next"),
     )
     # texts repeat over clients and files: each distinct prefix is looked up once per catalogue
+    steps = cut_lineage(steps)
     res = lookups(steps.select(*by, F.col("k").alias("key")).distinct(), objects, by)
     looked = steps.join(res.withColumnRenamed("key", "k"), [*by, "k"], "left")
     stop_cond = F.col("rkind").isNull() | F.col("item.is_call") | (F.col("rkind") != "module")

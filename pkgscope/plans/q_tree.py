@@ -131,9 +131,9 @@ def q_tree_resolve(spark, sf_dir):
     return keys.where("k % 7 <> 0").join(found, ["pkg", "ver", "key"], "left").select("pkg", "key", "result_key", "result_kind")
 
 
-@register("K3_tree_modules", f"SELECT pkg, CASE WHEN m = 'p' THEN pkg ELSE {_sql('m')} END AS module FROM {_SQL} AS t, (VALUES {_values([(m,) for m in MODULES if m != 'p.__init__'])}) AS v(m)")
+@register("K3_tree_modules", f"SELECT pkg, CASE WHEN m = 'p' THEN pkg ELSE {_sql('m')} END AS module FROM {_SQL} AS t, (VALUES {_values([(m,) for m in MODULES if m != 'p.__init__'])}) AS v(m) UNION ALL SELECT pkg, pkg || '.bad' FROM {_SQL} AS t WHERE k % 5 = 0")
 def q_tree_modules(spark, sf_dir):
-    """K3: one module per readable file, also an empty one; imported names are no modules."""
+    """K3: one module per file, also an empty or unreadable one; imported names are no modules."""
     return K.parsed_modules(tree_rows(spark, sf_dir)).select("pkg", "module")
 
 
