@@ -18,20 +18,20 @@ def param_diffs(spark, sf_dir):
     return D.with_flags(D.param_changes(old, new, by=[]))
 
 
-def message_sql(t="diff_type", api="api_name", param="param", old="old_value", new="new_value") -> str:
-    cols = {"api": api, "param": param, "old": old, "new": new}
-    whens = []
-    for dt, tpl in D.MESSAGE_FORMATS.items():
-        pieces = []
-        for part in re.split(r"(\{\w+\})", tpl):
-            if not part:
-                continue
-            if part.startswith("{"):
-                pieces.append(f"coalesce({cols[part[1:-1]]}, 'None')")
-            else:
-                pieces.append(sql_str(part))
-        whens.append(f"WHEN {t} = {sql_str(dt)} THEN " + " || ".join(pieces))
-    return "CASE " + " ".join(whens) + " END"
+#: The expected texts, written out (not taken from the code under test).
+MESSAGE_SQL = """CASE diff_type
+  WHEN 'Class Addition' THEN '`' || api_name || '`: class added' WHEN 'Class Removal' THEN '`' || api_name || '`: class removed'
+  WHEN 'Function Addition' THEN '`' || api_name || '`: function added' WHEN 'Function Removal' THEN '`' || api_name || '`: function removed'
+  WHEN 'Variable Addition' THEN '`' || api_name || '`: variable added' WHEN 'Variable Removal' THEN '`' || api_name || '`: variable removed'
+  WHEN 'Required Parameter Addition' THEN '`' || api_name || '`: required parameter `' || param || '` added'
+  WHEN 'Required Parameter Removal' THEN '`' || api_name || '`: required parameter `' || param || '` removed'
+  WHEN 'Optional Parameter Addition' THEN '`' || api_name || '`: optional parameter `' || param || '` added'
+  WHEN 'Optional Parameter Removal' THEN '`' || api_name || '`: optional parameter `' || param || '` removed'
+  WHEN 'Parameter Reordering' THEN '`' || api_name || '`: parameter `' || param || '` reordered'
+  WHEN 'Parameter Default Value Addition' THEN '`' || api_name || '`: default value `None` added to `' || param || '`'
+  WHEN 'Parameter Default Value Removal' THEN '`' || api_name || '`: default value `None` removed from `' || param || '`'
+  WHEN 'Parameter Default Value Change' THEN '`' || api_name || '`: default value changed from `' || old_value || '` to `' || new_value || '` in `' || param || '`'
+  END"""
 
 
 BREAKING_SQL = "(diff_type NOT IN ('Class Addition', 'Function Addition', 'Variable Addition'))"
@@ -64,7 +64,7 @@ d AS (
   UNION ALL
   SELECT func, param, 'Parameter Reordering', NULL, NULL FROM j WHERE ho AND hn AND opos <> npos),
 pd AS (SELECT api_name, param, diff_type, old_value, new_value, {BREAKING_SQL} AS is_breaking,
-              {message_sql()} AS message FROM d)
+              {MESSAGE_SQL} AS message FROM d)
 """
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from pkgscope.functions import versions as V
 from pkgscope.operators import catalog as K
 from pkgscope.operators import diff as D
-from pkgscope.plans.q_diff import BREAKING_SQL, message_sql
+from pkgscope.plans.q_diff import BREAKING_SQL, MESSAGE_SQL
 from pkgscope.plans.registry import register, sql_str
 from pkgscope.sources.bindings import binding, binding_cte
 
@@ -50,7 +50,7 @@ d0 AS (
                       WHEN 'variable' THEN 'Variable Removal' END END AS diff_type,
     CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value
   FROM j WHERE ok IS NULL OR nk IS NULL),
-ed AS (SELECT *, {BREAKING_SQL} AS is_breaking, {message_sql()} AS message FROM d0 WHERE diff_type IS NOT NULL)
+ed AS (SELECT *, {BREAKING_SQL} AS is_breaking, {MESSAGE_SQL} AS message FROM d0 WHERE diff_type IS NOT NULL)
 """
 
 

@@ -13,7 +13,8 @@ DRIVER_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# --- fixed values: binding SQL (FIXTURES section 3) ---
+# --- fixed values: binding SQL (FIXTURES section 3), extended so that every rule meets rows: clients that pass
+# selection, results of newest versions, client versions of results, defaults with "(" and "<", private names ---
 BINDINGS: dict[str, str] = {}
 
 BINDINGS["b_release"] = """
@@ -45,7 +46,9 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 BINDINGS["b_param_old"] = """
 SELECT concat('pkg.f',cast(l_orderkey AS STRING)) AS func, concat('p',cast(l_partkey AS STRING)) AS param,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) - 1 AS pos,
- CASE WHEN min(l_returnflag) = 'N' THEN NULL ELSE concat(min(l_returnflag),cast(cast(min(l_quantity) AS INT) AS STRING)) END AS dflt
+ CASE WHEN min(l_returnflag) = 'N' THEN NULL WHEN l_partkey % 19 IN (3, 4) THEN concat('obj(',cast(cast(min(l_quantity) AS INT) AS STRING),')')
+  WHEN l_partkey % 19 = 5 THEN concat('<obj ',cast(cast(min(l_quantity) AS INT) AS STRING),'>')
+  ELSE concat(min(l_returnflag),cast(cast(min(l_quantity) AS INT) AS STRING)) END AS dflt
 FROM lineitem GROUP BY l_orderkey, l_partkey
 """
 
@@ -54,6 +57,8 @@ SELECT concat('pkg.f',cast(l_orderkey AS STRING)) AS func,
  concat('p',cast(l_partkey + CASE WHEN l_partkey % 13 = 0 THEN 1000000 ELSE 0 END AS STRING)) AS param,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_orderkey % 5 = 0 THEN -min(l_linenumber) ELSE min(l_linenumber) END, l_partkey) - 1 AS pos,
  CASE WHEN l_partkey % 7 = 0 THEN 'X' WHEN l_partkey % 7 = 1 OR min(l_returnflag) = 'N' THEN NULL
+  WHEN l_partkey % 19 = 3 THEN concat('obj(',cast(cast(min(l_quantity) AS INT) + 1 AS STRING),')') WHEN l_partkey % 19 = 4 THEN 'other(1)'
+  WHEN l_partkey % 19 = 5 THEN concat('<obj ',cast(cast(min(l_quantity) AS INT) + 1 AS STRING),'>')
   ELSE concat(min(l_returnflag),cast(cast(min(l_quantity) AS INT) AS STRING)) END AS dflt
 FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY l_orderkey, l_partkey
 """
@@ -92,8 +97,8 @@ FROM orders CROSS JOIN nation WHERE n_nationkey < o_custkey % 3
 
 BINDINGS["b_usage"] = """
 SELECT concat('app',cast(o_custkey % 100 AS STRING)) AS c_pkg, concat('pkg',cast(l_partkey % 50 AS STRING)) AS u_pkg,
- concat('pkg.f',cast(l_partkey AS STRING)) AS api, concat('f',cast(l_linenumber AS STRING),'.py') AS src_file,
- cast(l_quantity AS INT) AS n_lines, concat('pkg.f',cast(l_partkey AS STRING),'(',CASE WHEN l_suppkey % 2 = 0 THEN '*' ELSE '' END,')') AS chain,
+ concat('pkg.',CASE WHEN l_partkey % 13 = 0 THEN '_' ELSE '' END,'f',cast(l_partkey AS STRING)) AS api, concat('f',cast(l_linenumber AS STRING),'.py') AS src_file,
+ cast(l_quantity AS INT) AS n_lines, concat('pkg.',CASE WHEN l_partkey % 13 = 0 THEN '_' ELSE '' END,'f',cast(l_partkey AS STRING),'(',CASE WHEN l_suppkey % 2 = 0 THEN '*' ELSE '' END,')') AS chain,
  CASE WHEN l_suppkey % 9 = 0 THEN 'MISSING' WHEN l_suppkey % 9 = 1 THEN 'MISMATCH' ELSE 'MATCH' END AS status,
  concat('msg',cast(l_suppkey % 9 AS STRING),'-',cast(l_partkey % 50 AS STRING)) AS message, CASE WHEN l_orderkey % 4 = 0 THEN CASE l_linenumber % 3 WHEN 0 THEN '2.11.9' WHEN 1 THEN '1.2.9' ELSE '1.11.9' END
   ELSE concat('1.',cast(l_linenumber AS STRING)) END AS dep_ver, concat('1.',cast(o_orderkey % 20 AS STRING)) AS c_ver
