@@ -59,6 +59,23 @@ def common_spans(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def test_candidates_of_crowded_runs():
+    found = secrets.Scanner().candidates
+    text = "secret a1b2c3d4e5f6g7h8 token z9y8x7w6v5u4t3s2"
+    assert [text[a:b] for a, b in found(text)] == ["a1b2c3d4e5f6g7h8", "z9y8x7w6v5u4t3s2"]
+    run = "secret_a1b2c3d4e5f6g7h8token_z9y8x7w6v5u4t3s2password_q1w2e3r4t5y6u7i8"
+    assert [run[a:b] for a, b in found(run)] == ["_a1b2c3d4e5f6g7h8", run[6:], "_z9y8x7w6v5u4t3s2", "_q1w2e3r4t5y6u7i8"]
+    assert found("secret" + " " * 48 + "a1b2c3d4e5f6") and not found("secret" + " " * 49 + "a1b2c3d4e5f6")
+
+
+@pytest.mark.parametrize("text", ["the token is a pass of no use\n" * 20_000, "token" * 40_000 + "1", "token=abcdefghijkl12345 secret zzz9zzzz8zzz7zz\n" * 10_000])
+def test_secrets_of_long_crowded_texts(text):
+    """Finishes: the work is linear in the text."""
+    base, spans = secrets.Scanner().spans(text)
+    assert set(base) <= set(spans) and len(base) == text.count("token=")
+
+
+
 def test_novelty_reports_incompressible_strings_only():
     scan = secrets.Scanner().spans_of
     key = "q9Zr4TnX2vLb8WcYf6Kd"
