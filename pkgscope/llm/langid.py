@@ -146,14 +146,16 @@ def machines(x: np.ndarray, labels: np.ndarray) -> Machines:
     return Machines(classes, pairs, np.array(rows) if rows else np.zeros((0, x.shape[1] + 1)))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 200) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 200,
+        max_rows: int = 8000) -> Model:
     """Fit on about ``per_language`` rows of each of the ``max_languages``
-    most frequent languages; that bounds what reaches the driver (32 KB a
-    row).  Rows are chosen by a hash of their content and place among equals."""
+    most frequent languages, of ``max_rows`` in all; at most twice as many
+    reach the driver, at 16 KB a row.  Rows are chosen by a hash of their text."""
     rows = common.pick(labelled, text=text_col, lang=lang_col).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return Model()
+    per_language = max(1, min(per_language, max_rows // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_language / n))])
     drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30)
     sample = rows.filter(drawn).limit(2 * per_language * len(counts))
