@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgscope.llm import common
+from pkgscope.session import cut_lineage
 
 #: Relative slack of the bounds for rounding in doubles.
 SLACK = 1e-9
@@ -134,9 +135,11 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0,
-          block_rows: int = 2048, levels: tuple[int, ...] = (1, 4, 16, 32)) -> DataFrame:
+          block_rows: int = 2048, levels: tuple[int, ...] = (1, 4, 16, 32), blocks_per_plan: int = 32) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k
-    best rows of ``vectors`` other than itself."""
+    best rows of ``vectors`` other than itself.  After ``blocks_per_plan``
+    blocks the rows found are checkpointed, so that no plan grows with the
+    number of queries."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors, id_col, vec_col, scale)
@@ -158,8 +161,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             continue
         some = _scan_block(spark, rows, seeds, k, levels, kind)
         found = some if found is None else found.unionByName(some)
+        if (n + 1) % blocks_per_plan == 0:
+            found = cut_lineage(_best(found, k)).drop("rank")
     if found is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score bigint")
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
