@@ -8,8 +8,8 @@ that name it in WARC-Refers-To.  Archives are written by Spark's text writer
 with the record separator as line separator, so they go to any file system
 Spark knows, under its commit protocol.
 
-Reading: ``binaryFile`` rows (their size is bounded by ``records_per_file``)
-are parsed by Content-Length; the records come back as rows.  Transactions:
+Reading: ``binaryFile`` rows (their size is bounded by ``archive_bytes``) are
+unpacked in chunks and parsed by Content-Length; the records come back as rows.  Transactions:
 the responses join their requests and metadata records through the
 concurrent-to identifiers and give one nested row per capture.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +64,11 @@ def revisits(pages: DataFrame, min_revisit: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   min_revisit: int = 1000, records_per_file: int = 4000) -> None:
+                   min_revisit: int = 1000, records_per_file: int = 4000, archive_bytes: int = 1 << 30) -> None:
     """Write gzip-compressed WARC files below ``path``.  Only ids and digests
-    are shuffled to find revisits; payloads move once, by page id."""
+    are shuffled to find revisits; payloads move once, by page id.  No archive
+    holds more than ``archive_bytes`` of payloads (but for a single larger
+    one): pages too large for ``records_per_file`` go to files of fewer."""
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     page = pages.select(F.col(f"`{id_col}`").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"),
                         F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
@@ -93,40 +95,81 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     about = F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF))
     metadata = _record(F.lit("metadata"), _id("metadata"), [target, concurrent, F.lit("Content-Type: application/warc-fields")], about, F.octet_length(about))
     capture = F.concat_ws(RECORD_END, request, response, metadata)
-    (page.select(capture.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path))
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers with lower-case names, block) of each record of one archive.
-    A broken record raises: archives are not skipped silently."""
-    at, size = 0, len(data)
-    while at < size:
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+    small = archive_bytes // records_per_file
+    most = slim.agg(F.max("bytes")).first()[0] or 0
+    parts = [("small", F.col("bytes") <= small, records_per_file)]
+    if most > small:
+        parts.append(("large", F.col("bytes") > small, max(1, archive_bytes // most)))
+    for name, which, per_file in parts:
+        (page.filter(which).select(capture.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip")
+         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(f"{path}/{name}"))
+
+
+class _Buffer:
+    """The unread part of a stream of byte chunks."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.data = iter(chunks), bytearray()
+
+    def more(self) -> bool:
+        chunk = next(self.chunks, None)
+        if chunk is not None:
+            self.data += chunk
+        return chunk is not None
+
+    def has(self, n: int) -> bool:
+        while len(self.data) < n and self.more():
+            pass
+        return len(self.data) >= n
+
+    def find(self, mark: bytes) -> int:
+        at, seen = -1, 0
+        while (at := self.data.find(mark, seen)) < 0:
+            seen = max(0, len(self.data) - len(mark) + 1)
+            if not self.more():
+                break
+        return at
+
+
+def parse_records(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(headers with lower-case names, block) of each record of one archive,
+    given whole or in chunks; one record is held at a time.  A broken record
+    raises: archives are not skipped silently."""
+    left, at = _Buffer([data] if isinstance(data, bytes) else data), 0
+    while left.has(1):
+        end = left.find(b"\r\n\r\n")
+        if not left.data.startswith(b"WARC/") or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
         headers = {}
-        for line in data[at:end].decode().split(CRLF)[1:]:
+        for line in left.data[:end].decode().split(CRLF)[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if stop > size:
+        stop = end + 4 + int(headers["content-length"])
+        if not left.has(stop):
             raise ValueError(f"record at byte {at} is cut off")
-        yield headers, data[start:stop]
-        at = stop + len(RECORD_END)
+        yield headers, bytes(left.data[end + 4:stop])
+        left.has(stop + len(RECORD_END))
+        del left.data[:stop + len(RECORD_END)]
+        at += stop + len(RECORD_END)
 
 
-def unpack(data: bytes) -> bytes:
-    """Decompress one or several gzip members; other data is returned as it is."""
+def unpack(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Chunks of the data, out of one or several gzip members; other data is
+    given as it is."""
     if not data.startswith(b"\x1f\x8b"):
-        return data
-    parts = []
-    while data:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(parts)
+        yield data
+        return
+    member = None
+    for i in range(0, len(data), step):
+        piece = data[i:i + step]
+        while piece:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = None
+    if member:
+        raise ValueError("archive is cut off")
 
 
 _RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.string()),
@@ -152,21 +195,23 @@ def _row(headers: dict, block: bytes, with_payload: bool) -> tuple:
     return (headers.get("warc-record-id"), kind, headers.get("warc-target-uri"), headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), n, digest, text)
 
 
-def read_records(spark: SparkSession, path: str, with_payload: bool = True, rows_per_batch: int = 500) -> DataFrame:
-    """One row per record of the archives below ``path``."""
+def read_records(spark: SparkSession, path: str, with_payload: bool = True, rows_per_batch: int = 500, batch_bytes: int = 8 << 20) -> DataFrame:
+    """One row per record of the archives below ``path``.  A task holds one
+    compressed archive, one record and one batch of rows."""
 
     def parse(batch: pa.RecordBatch):
         for content in batch.column("content"):
-            rows = []
+            rows, size = [], 0
             for headers, block in parse_records(unpack(content.as_py())):
                 rows.append(_row(headers, block, with_payload))
-                if len(rows) >= rows_per_batch:
+                size += len(block) if with_payload else 0
+                if len(rows) >= rows_per_batch or size >= batch_bytes:
                     yield _batch(rows)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield _batch(rows)
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
     return common.map_batches(files.select("content"), parse, RECORD_SCHEMA)
 
 

@@ -1,5 +1,6 @@
 """Operators that join, group or search, against brute force; edge cases of all."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -86,13 +87,14 @@ def test_one_document_of_each_group_stays(odd):
 
 # --- WARC
 
-def test_archives_hold_every_capture(spark, tmp_path):
+@pytest.mark.parametrize("archive_bytes", [1 << 30, 4000])  # the second puts the longer payloads in files of their own
+def test_archives_hold_every_capture(spark, tmp_path, archive_bytes):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "http://c", big + "é"), (4, "http://d", "small"), (5, "http://e", "small"), (6, "http://f", None),
             (2, None, big), (None, "http://g", big), (None, "http://h", "WARC/1.1\r\n\r\n"), (7, "http://i", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc" * 40)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("clash"))
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, records_per_file=3)
+    warc.write_archives(pages, path, records_per_file=3 if archive_bytes > 4000 else 4, archive_bytes=archive_bytes)
     got = warc.captures_of(spark, path).collect()
     key = lambda r: (r[0] is None, r[0], r[1])
     have = sorted(((r["page_id"], r["response"]["payload_digest"], r["response"]["type"], r["refers_to"], r["response"]["payload_bytes"]) for r in got), key=key)
@@ -113,6 +115,19 @@ def test_broken_archives_raise():
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))
     with pytest.raises(ValueError):
         list(warc.parse_records(b"nothing"))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(warc.unpack(gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc")[:-9])))
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_archives_in_chunks(step):
+    record = lambda i: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % (3 * i) + b"a\r\n" * i + b"\r\n\r\n"
+    plain = b"".join(map(record, range(40)))
+    packed = gzip.compress(plain[:500]) + gzip.compress(plain[500:])  # a record across two members
+    for data in (plain, packed):
+        got = list(warc.parse_records(warc.unpack(data, step)))
+        assert [b for _, b in got] == [b"a\r\n" * i for i in range(40)]
+    assert [h["content-length"] for h, _ in warc.parse_records(plain)] == [str(3 * i) for i in range(40)]
 
 
 def test_records_without_partners(spark):
@@ -198,8 +213,8 @@ def test_top_k_equals_all_pairs(spark):
     for q, v in asked.items():
         scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])}
-    for block_rows, levels in ((2048, (1, 4, 16)), (7, (1, 2, 9)), (7, (1,))):
-        got = [tuple(r) for r in topk.top_k(df, df.filter("vec_id % 10 = 0"), 5, block_rows=block_rows, levels=levels).collect()]
+    for block_rows, levels, blocks in ((2048, (1, 4, 16), 32), (7, (1, 2, 9), 2), (7, (1,), 1)):
+        got = [tuple(r) for r in topk.top_k(df, df.filter("vec_id % 10 = 0"), 5, block_rows=block_rows, levels=levels, blocks_per_plan=blocks).collect()]
         assert set(got) == want and len(got) == len(want)
 
 
