@@ -26,6 +26,7 @@ DYNAMIC_ERROR_CLASSES = [
     ("JSONDecodeError", "JSONDecodeError: Other kind of runtime exception occurred"),
     ("FileNotFoundError", "FileNotFoundError: '/' in top level"),
 ]
+DYNAMIC_MODULE_CLASSES = ((("RecursionError",), "RecursionError"), (("ImportError", "ModuleNotFoundError"), "ImportError"), (("SyntaxError",), "SyntaxError"))
 SYNTAX_ERROR_MARKERS = ["SyntaxError", "IndentationError", "TabError", "RecursionError"]
 YEAR_SPEC_TYPES = ["any", "at-least", "range", "fixed", "other"]
 MIN_DEPS_PER_YEAR = 1000
@@ -130,12 +131,12 @@ def spec_types_per_year(reqs: DataFrame, time_col: str = "time") -> DataFrame:
         "year", *[(F.col(k) / total).alias(k.replace("-", "_")) for k in YEAR_SPEC_TYPES])
 
 
-def extraction_totals(stats: DataFrame) -> DataFrame:
+def extraction_totals(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Versions and packages without error / without failed
     modules; module, failed module and API totals over error-free versions."""
     ok = ~F.col("error")
     clean = ok & (F.col("n_failed_modules") == 0)
-    return stats.agg(
+    return stats.groupBy(*by).agg(
         F.count_if(ok).alias("versions_no_error"),
         F.count_distinct(F.when(ok, F.col("package"))).alias("packages_no_error"),
         F.count_if(clean).alias("versions_no_failed"),
@@ -171,6 +172,15 @@ def failed_module_classes(failed: DataFrame) -> DataFrame:
     return failed.groupBy(F.when(syn, "SyntaxError").otherwise("Other").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def dynamic_failed_module_classes(failed: DataFrame) -> DataFrame:
+    """Failed modules (one row each) of the dynamic mode by the first
+    class of error whose name occurs in the text."""
+    cls = F.lit("Other")
+    for marks, label in reversed(DYNAMIC_MODULE_CLASSES):
+        cls = F.when(reduce(lambda a, b: a | b, [F.col("error").contains(m) for m in marks]), label).otherwise(cls)
+    return failed.groupBy(cls.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------ usage
 
 def per_client(usage: DataFrame) -> DataFrame:
