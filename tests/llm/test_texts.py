@@ -240,6 +240,32 @@ def test_texts_without_letters(text):
     assert not langid.has_letter(text.encode()) and not regex.search(r"\p{L}", text)
 
 
+LEARNED = {
+    "en": ["The children walked along the river and talked about what they would do when the summer came to an end.",
+           "It was a cold morning, and nobody in the village wanted to leave the house before the sun had come up.",
+           "She said that the letter had been written by her brother, who was living in another country at that time.",
+           "There are many ways to learn a language, but most of them take more time than people think they will."],
+    "de": ["Die Kinder gingen am Fluss entlang und sprachen davon, was sie tun wollten, wenn der Sommer zu Ende ginge.",
+           "Es war ein kalter Morgen, und niemand im Dorf wollte das Haus verlassen, bevor die Sonne aufgegangen war.",
+           "Sie sagte, dass der Brief von ihrem Bruder geschrieben worden sei, der damals in einem anderen Land lebte.",
+           "Es gibt viele Wege, eine Sprache zu lernen, aber die meisten brauchen mehr Zeit, als man denken sollte."]}
+
+
+@pytest.mark.parametrize("text, known", [
+    ("the house of the children was cold when they came home in the morning and nobody had talked to them", True),
+    ("der Bruder und die Kinder wollten am Morgen in das Haus gehen, aber es war noch kalt im Dorf", True),
+    ("the children", True), ("das Haus", True), ("river", True), ("123 the letter 456!", True),
+    ("Tovább sétáltak a gyerekek a folyó mentén, és arról beszélgettek, hogy mit fognak csinálni a nyár végén. Nagyon hideg volt", False),
+    ("Дети шли вдоль реки и говорили о том, что они будут делать, когда кончится лето и начнутся холода", False),
+    ("xqzjv kwqpx zzkvj qxwvz jjkqx pvwzq xkcdq vzxqj wkqzx jvqxz kkzqw xvjqz pqxzv wjkxq zvqkj xqwzk", False)])
+def test_only_learned_languages_stay(docs, text, known):
+    """The pairwise machines alone score every lettered text at least 0.25."""
+    learn = [(i, t, la, "s", len(t)) for la, texts in LEARNED.items() for i, t in enumerate(texts)]
+    df = docs([*learn, (9, text, None, "s", len(text))])
+    got = [r["doc_id"] for r in langid.keep_known(df).collect()]
+    assert (9 in got) == known and sorted(i for i in got if i != 9) == sorted([*range(4)] * 2)
+
+
 # --- packing
 
 def test_encoder_equals_tokenizers(sample):
