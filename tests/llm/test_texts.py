@@ -109,6 +109,21 @@ def test_strings_before_a_sensitive_word():
     assert scan(f"the token {key} and then, of all the things that they had seen, it was not {key[::-1]}")[1] == [("novel", 10, 30)]  # other words end the chain
 
 
+@pytest.mark.parametrize("string", ["QWxhZGRpbjpvcGVu", "qTzXvKbWnRjP", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "xkqvzjwpfhgbtd", "739105826471", "58203917465028"])
+@pytest.mark.parametrize("around", ["Authorization: Bearer {}", "the bearer was {} and that was all of it, as they said"])
+def test_strings_without_digits_or_letters_are_measured(string, around):
+    text = around.format(string)
+    a = text.index(string)
+    assert ("novel", a, a + len(string)) in secrets.Scanner().spans(text)[1]
+
+
+@pytest.mark.parametrize("word", ["administration", "getPasswordFromRequest", "XMLHttpRequestFactory", "AUTHENTICATION_FAILED", "Geschwindigkeitsbegrenzung",
+                                  "week-of-the-year", "desafortunadamente", "------------------------", "Authentication", "epanechnikov", "text/javascript"])
+def test_words_near_sensitive_words_are_not_secrets(word):
+    for text in (f"Authorization: Bearer {word}", f"the token of {word} is here, and {word[::2]}", f"{word} password"):
+        assert secrets.Scanner().spans(text)[1] == []
+
+
 def test_chains_of_long_texts():
     """Finishes: each run is measured a bounded number of times."""
     rng = np.random.default_rng(1)
