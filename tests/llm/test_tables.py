@@ -193,6 +193,34 @@ def test_rewriting_templates_are_flagged():
     assert row[4] == 2 and len(row[3]) == 2
 
 
+LONG = [("user" if i % 2 else "assistant", f"text {i}") for i in range(150)]
+
+
+@pytest.mark.parametrize("template, at", [
+    (lambda ts: "".join(f"[{r}]{t}" for r, t in ts[-100:]), 100),                                                 # keeps the last hundred turns
+    (lambda ts: "".join(f"[{r}]{t if i > len(ts) - 90 else t[:4]}" for i, (r, t) in enumerate(ts)), 89),          # cuts old turns short
+    (lambda ts: "".join(f"[{r}]{t}" for r, t in ts if len(ts) < 121 or r == "user"), 120)])                       # drops a role from long conversations
+def test_templates_that_rewrite_long_conversations_are_flagged(template, at):
+    for window in (2, 32):
+        (row,) = run_template(template, LONG, window)
+        assert row[4] == at and len(row[3]) == at and row[2] == template(LONG[:at])
+
+
+def test_templates_that_look_far_back():
+    far = lambda ts: "".join(f"[{r}]{t}{ts[i - 70][1] if i >= 70 else ''}\n" for i, (r, t) in enumerate(ts))
+    (row,) = run_template(far, LONG, 32)
+    assert row[2] == far(LONG) and row[4] is None and len(row[3]) == 150
+    with pytest.raises(ValueError, match="declared turn-local"):
+        run_template(chat.turn_local(lambda ts: "".join(f"[{i}:{r}]{t}" for i, (r, t) in enumerate(ts))), LONG, 32)
+
+
+@pytest.mark.parametrize("window", [2, 5, 100])
+def test_windows_of_declared_templates(window):
+    looks_back = chat.turn_local(lambda ts: "<s>" + "".join(f"[{r}{'=' if i and ts[i - 1][0] == r else ''}]{t}" for i, (r, t) in enumerate(ts)))
+    (row,) = run_template(looks_back, TURNS, window)
+    assert row[2] == looks_back(TURNS) and row[4] is None
+
+
 # --- exact top-k
 
 def test_top_k_equals_all_pairs(spark):
