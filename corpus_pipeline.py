@@ -38,9 +38,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=False)
-    return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+    """Pieces of the documents in sequences of 2048 tokens, with their ids: ``packing.sequences`` puts the sequences together."""
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("n").alias("doc_tokens"), "sequence_id", "offset", "ids")
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", pack)]

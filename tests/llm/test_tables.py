@@ -339,6 +339,15 @@ def test_pipeline_equals_its_operators_one_by_one(spark):
     assert got == {i: len(v) for i, v in want.items()}
 
 
+def test_pipeline_gives_the_packed_sequences(spark):
+    pieces = corpus_pipeline.run(spark, SF)
+    rows = pieces.collect()
+    assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    got = {r["sequence_id"]: r["ids"] for r in packing.sequences(pieces).collect()}
+    assert sorted(got) == list(range(len(got))) and {len(v) for k, v in got.items() if k < len(got) - 1} == {2048}
+    assert sum(map(len, got.values())) == sum(r["length"] for r in rows)
+
+
 def test_stages_keep_the_columns(spark, docs):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
