@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from pkgscope.llm import common
 
-LEAF = 1 << 14   # code points encoded directly
+LEAF = 1 << 9    # code points encoded directly
 REACH = 64       # first window, code points on each side of the cut
 
 #: Between these two characters every text splits (see the module's text): a
