@@ -26,9 +26,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(common.table(spark, sf_dir, "pages"), path, min_revisit=1000)
-    found = warc.captures_of(spark, path, "bigint", with_payload=False)
-    return found.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-                        F.col("response.type").alias("record_type"), "refers_to")
+    found = warc.captures_of(spark, path, "bigint")
+    whole = F.col("response.type") == "response"
+    said = F.regexp_extract("metadata.block", r"payload-bytes: (\d+)", 1).cast("bigint")
+    return found.select("page_id", F.when(whole, F.octet_length("response.block").cast("bigint")).otherwise(said).alias("payload_bytes"),
+                        F.when(whole, F.sha1("response.block")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+                        F.col("response.type").alias("record_type"), "refers_to", F.octet_length("request.block").cast("bigint").alias("request_bytes"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +118,12 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(stri
 
 ORACLES = {
     "op3_warc": """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d,
+                  (17 + strlen(coalesce(replace(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), ' ', '%20'), '/')))::BIGINT AS r FROM pages),
      f AS (SELECT d, n, max(page_id) AS original, count(*) AS c FROM p WHERE n >= 1000 GROUP BY d, n)
 SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN c > 1 AND original IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN c > 1 AND original IS DISTINCT FROM page_id THEN original END AS refers_to
+       CASE WHEN c > 1 AND original IS DISTINCT FROM page_id THEN original END AS refers_to, r AS request_bytes
 FROM p LEFT JOIN f ON p.d = f.d AND p.n = f.n""",
     "op4_quality_rules": rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),

@@ -11,9 +11,10 @@ dropped, and the inner product is computed for the pairs that survive.
 The query set is stated by the caller.  It is cut into blocks of bounded size
 by a hash of the id; the blocks go one after another to the tasks that scan
 the candidates, so no task holds more than one block of queries and one batch
-of candidates, whatever the table's size.  The first thresholds come from the
-block's own queries, which are candidates too.  Each task returns at most k
-rows a query; a window over these picks the best.
+of candidates, whatever the table's size.  Where the queries are a condition
+on the candidates, the first thresholds come from the block's own queries;
+outside queries start without.  Each task returns at most k rows a query; a
+window over these picks the best.
 
 Components are taken as floor(scale * x).  Scores are exact: vectors are
 summed in doubles while no sum can leave 2**53, else in Python integers.
@@ -22,7 +23,9 @@ Defined cases: null vectors, vectors that hold a null or non-finite component
 and rows without id take no part; vectors of another length than the block's
 queries are compared with queries of their own length only; equal scores go
 to the smaller id; repeated rows of an id are candidates each, but never for
-a query of that id; an empty table or query set gives no rows.
+a query of that id; of queries that share an id the one with the smallest
+components stays; pairs whose score leaves 64 bits take no part; an empty
+table or query set gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pkgscope.llm import common
@@ -99,7 +102,7 @@ class Block:
             q, x = s.x[rows], c.x[cols]
             small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < EXACT
             score = _sums(q, x, left) if small else _big_sums(q, x, left)
-            self._take(rows, ids[cols], score, left & (score >= self.floor[rows, None]).astype(bool))
+            self._take(rows, ids[cols], score, left & (score >= self.floor[rows, None]).astype(bool) & (score > -np.inf).astype(bool))
 
     def _take(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray, hit: np.ndarray) -> None:
         for r in np.flatnonzero(hit.any(axis=1)):
@@ -125,7 +128,8 @@ def _big_sums(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
     """As :func:`_sums` in Python integers, for values whose sums doubles can't hold."""
     out = np.full(left.shape, -np.inf, dtype=object)
     for i, j in zip(*np.nonzero(left)):
-        out[i, j] = sum(int(u) * int(v) for u, v in zip(a[i], b[j]))
+        s = sum(int(u) * int(v) for u, v in zip(a[i], b[j]))
+        out[i, j] = s if -(2**63) <= s < 2**63 else -np.inf
     return out
 
 
@@ -134,16 +138,20 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.floor(flat).reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0,
+def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0,
           block_rows: int = 2048, levels: tuple[int, ...] = (1, 4, 16, 32), blocks_per_plan: int = 32) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row of ``queries`` its k
-    best rows of ``vectors`` other than itself.  After ``blocks_per_plan``
+    """``query_id, rank, vec_id, score``: for each query its k best rows of
+    ``vectors`` other than itself.  ``queries`` is a condition on the rows of
+    ``vectors`` or another table with the same two columns.  After ``blocks_per_plan``
     blocks the rows found are checkpointed, so that no plan grows with the
     number of queries."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors, id_col, vec_col, scale)
-    asked = usable(queries, id_col, vec_col, scale).dropDuplicates(["id"])
+    seeded = isinstance(queries, Column)  # else the queries' own scores prove nothing
+    asked = usable(vectors.filter(queries) if seeded else queries, id_col, vec_col, scale)
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
+    asked = cut_lineage(asked.select("id", "v", F.size("v").alias("dim")))
     blocks = max(1, math.ceil(asked.count() / block_rows))
     found = None
     for n in range(blocks):  # a block nested loop: each pass scans the candidates once
@@ -156,7 +164,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             if dim:
                 x = np.floor(np.array([r["v"] for r in own], np.float64).reshape(-1, dim))
                 ids = np.array([r["id"] for r in own])
-                seeds[dim] = (ids, x, Block(ids, x, k, levels).seeded().floor)
+                seeds[dim] = (ids, x, Block(ids, x, k, levels).seeded().floor if seeded else np.full(len(ids), -np.inf))
         if not seeds:
             continue
         some = _scan_block(spark, rows, seeds, k, levels, kind)

@@ -64,7 +64,7 @@ def revisits(pages: DataFrame, min_revisit: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   min_revisit: int = 1000, records_per_file: int = 4000, archive_bytes: int = 1 << 30) -> None:
+                   min_revisit: int = 1000, records_per_file: int = 4000, archive_bytes: int = 1 << 27) -> None:
     """Write gzip-compressed WARC files below ``path``.  Only ids and digests
     are shuffled to find revisits; payloads move once, by page id.  No archive
     holds more than ``archive_bytes`` of payloads (but for a single larger

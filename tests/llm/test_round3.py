@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pkgscope.llm import lattice, merkle, negatives, queries
+from pkgscope.llm import lattice, negatives, queries, topk
 from tests.conftest import SF
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
@@ -234,3 +234,25 @@ def test_registered_tables(spark):
     degree, root = plain_links([r["embedding"] for r in rows])
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [
         (r["vec_id"], d, rows[c]["vec_id"], rows[c]["vec_id"] == r["vec_id"]) for r, d, c in zip(rows, degree, root)]
+
+
+# --- exact top-k with queries from outside
+
+def test_outside_queries_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(90)]
+    asked = [(i, (np.array(v) * 40).tolist()) for i, v in rows[:4]] + [(1000 + i, rng.normal(size=6).tolist()) for i in range(3)] + [(1000, [99.0] * 6)]
+    kind = "vec_id bigint, embedding array<double>"
+    for k, n in ((1, 2), (5, 90)):
+        got = {tuple(r) for r in topk.top_k(spark.createDataFrame(rows[:n], kind), spark.createDataFrame(asked, kind), k).collect()}
+        want = set()
+        for q in {i for i, _ in asked}:
+            v = np.floor(256 * np.array(min(v for i, v in asked if i == q)))
+            best = sorted((-int(v @ np.floor(256 * np.array(x))), i) for i, x in rows[:n] if i != q)[:k]
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+        assert got == want and got
+
+
+def test_scores_beyond_64_bits_take_no_part(spark):
+    df = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 1.0]), (2, [2.0**20, 3.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, 2, scale=1.0).collect()] == [(0, 1, 2, 2**60 + 3)]
