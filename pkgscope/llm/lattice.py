@@ -338,7 +338,7 @@ def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding",
-                    lattice: Lattice = Lattice(), chunk: int = 2048) -> DataFrame:
+                    lattice: Lattice = Lattice(), chunk: int = 512) -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links`` (other rows at a cosine
     of ``min_cosine`` or more that were found), ``component`` (the smallest id
     that links lead to, itself included)."""
