@@ -127,6 +127,7 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     own = [F.col(f"`{c}`") for c in fields]
     rows = docs.select(group_key(F.col(f"`{group_col}`")).alias("tree"), F.col(f"`{id_col}`").alias("id"), leaf_digest(own).alias("leaf"),
                        (leaf_digest(own) if altered is None else altered).alias("altered"), F.monotonically_increasing_id().alias("row"))
+    rows = cut_lineage(rows)  # texts are read once; ordering samples its input first
     order = [F.col("id").asc_nulls_first(), F.col("leaf"), F.col("altered"), F.col("row")]
     leaves = cut_lineage(numbered(rows, ["tree"], order, "nth").select("tree", (F.col("nth") - 1).alias("pos"), "id", "leaf", "altered"))
     steps, tops = grow(leaves.select("tree", "pos", F.col("leaf").alias("digest")))
