@@ -287,31 +287,123 @@ def _first_branches(done: list[DataFrame], markers: list[DataFrame], req: list[s
         *req, F.col("_b.result_key").alias("result_key"), F.col("_b.result_kind").alias("result_kind"))
 
 
-def follow(requests: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:
-    """K8 ``get(key)`` for distinct keys (by + key): what each finally names,
-    following aliases and wildcard imports of the last segment depth-first,
-    inside the catalogue's own top level.  objects: by + key, kind,
-    full_alias, targets, one row per key.  -> by + key, result_key,
-    result_kind; keys that name nothing are absent."""
-    objects = cut_lineage(objects.select(*by, F.col("key").alias("_cur"), F.col("kind").alias("_k"), "full_alias", "targets"))
-    named = objects.where(F.col("_k") != "wildcard").select(*by, "_cur", "_k", "full_alias")
-    wild = objects.where(F.col("_k") == "wildcard").select(*by, parent_of("_cur").alias("_parent"), F.col("targets").alias("_wt"))
-    leaf = F.substring_index("_cur", ".", -1)
-    to = F.when(F.col("_k") == "alias", F.array("full_alias")).when(F.col("_k").isNull(), F.transform("_wt", lambda t: F.replace(t, F.lit("*"), leaf)))
-    state = requests.select(*by, "key", F.col("key").alias("_cur"), F.array().cast("array<int>").alias("path"), F.array().cast("array<string>").alias("seen"))
+def _reach(requests: DataFrame, objects: DataFrame, by: list[str], runtime) -> tuple[DataFrame, DataFrame]:
+    """Every name that resolving ``requests`` (by + key) can come to, each once
+    per catalogue: nodes (by + name, kind) and edges (by + name, o, t, in
+    candidate order).  Both are stored."""
+    cat = [f"_cat_{c}" for c in by]
+    named = objects.where(F.col("_k") != "wildcard").select(*[F.col(c).alias(x) for c, x in zip(by, cat)], F.col("_cur").alias("name"), F.col("_k").alias("kind"), "full_alias")
+    wild = objects.where(F.col("_k") == "wildcard").select(*[F.col(c).alias(x) for c, x in zip(by, cat)], parent_of("_cur").alias("_parent"), F.col("targets").alias("_wt"))
+    leaf = F.substring_index("name", ".", -1)
+    to = F.when(F.col("kind") == "alias", F.array("full_alias")).when(F.col("kind").isNull(), F.transform("_wt", lambda t: F.replace(t, F.lit("*"), leaf)))
+    new = requests.select(*by, F.col("key").alias("name")).distinct()
+    nodes, edges = [], []
+    while True:  # ends: a catalogue has so many targets, and each is met once
+        if runtime is None:
+            placed = new.select("*", *[F.col(c).alias(x) for c, x in zip(by, cat)])
+        else:
+            tops = new.withColumn("top_level", F.substring_index("name", ".", 1))
+            placed = tops.join(runtime(tops.select(*by, "top_level").distinct()), [*by, "top_level"])
+        at = placed.join(named, [*cat, "name"], "left").withColumn("_parent", parent_of("name")).join(wild, [*cat, "_parent"], "left")
+        at = cut_lineage(at.select(*by, "name", "kind", to.alias("_to")))
+        if nodes and at.isEmpty():
+            return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+        nodes.append(at.select(*by, "name", "kind"))
+        out = at.select(*by, "name", F.posexplode("_to").alias("o", "t"))
+        if runtime is None:
+            out = out.where(F.substring_index("t", ".", 1) == F.substring_index("name", ".", 1))
+        edges.append(out)
+        new = out.select(*by, F.col("t").alias("name")).distinct().join(reduce(DataFrame.unionByName, nodes).drop("kind"), [*by, "name"], "left_anti")
+
+
+def _settle(edges: DataFrame, settled: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Answers from below: a node is settled by its first candidate that names
+    something once all earlier ones are settled, or when all are settled and
+    none does.  -> (settled, edges of the nodes that remain: they lead to a cycle)"""
+    cols = [*by, "name", "result_key", "result_kind"]
+    while True:
+        at = edges.join(settled.select(*by, F.col("name").alias("t"), "result_key", "result_kind", F.lit(True).alias("_ok")), [*by, "t"], "left")
+        best = at.groupBy(*by, "name").agg(
+            F.min(F.when(F.col("_ok").isNull(), F.col("o"))).alias("_open"), F.min(F.when(F.col("result_kind").isNotNull(), F.struct("o", "result_key", "result_kind"))).alias("_hit"))
+        done = best.where(F.col("_open").isNull() | (F.col("_hit.o") < F.col("_open"))).select(
+            *by, "name", F.col("_hit.result_key").alias("result_key"), F.col("_hit.result_kind").alias("result_kind"))
+        done = cut_lineage(done)
+        if done.isEmpty():
+            return settled, edges
+        settled = settled.unionByName(done.select(*cols))
+        edges = edges.join(done, [*by, "name"], "left_anti")
+
+
+def _core(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Of unsettled edges those between nodes that a cycle leads to: nodes that nothing unsettled names go, again and again."""
+    size = edges.count()
+    while True:
+        named = edges.select(*by, F.col("t").alias("name")).distinct()
+        edges = cut_lineage(edges.join(named, [*by, "name"], "left_semi"))
+        before, size = size, edges.count()
+        if size == before:
+            return edges
+
+
+def _walk(starts: DataFrame, edges: DataFrame, settled: DataFrame, by: list[str]) -> DataFrame:
+    """Depth-first answers among nodes on cycles, where they depend on the
+    way: a candidate met before on the way ends its node.  starts: by + start,
+    seen.  -> by + start, seen0, result_key, result_kind where there is one."""
+    req = [*by, "start", "root"]
+    known = settled.select(*by, F.col("name").alias("t"), "result_key", "result_kind", F.lit(True).alias("_ok"))
+    steps = cut_lineage(edges.join(known, [*by, "t"], "left"))
+    state = starts.select(*req, F.col("start").alias("name"), F.array().cast("array<int>").alias("path"), F.when(F.col("root"), F.array().cast("array<string>")).otherwise(F.array("start")).alias("seen"))
     done, markers = [], []
-    while True:  # ends: a branch never takes a target twice
-        at = cut_lineage(
-            state.join(named, [*by, "_cur"], "left").withColumn("_parent", parent_of("_cur")).join(wild, [*by, "_parent"], "left")
-            .select(*by, "key", "_cur", "path", "seen", "_k", to.alias("_to")))
-        done.append(at.where("_k IS NOT NULL AND _k <> 'alias'").select(*by, "key", "path", F.col("_cur").alias("result_key"), F.col("_k").alias("result_kind")))
-        branch = at.select(*by, "key", "_cur", "path", "seen", F.posexplode("_to").alias("_o", "_t"))
-        again = F.array_contains("seen", F.col("_t"))
-        markers.append(branch.where(again).select(*by, "key", F.col("path").alias("node"), F.col("_o").alias("cyc_o")))
-        own = F.substring_index("_t", ".", 1) == F.substring_index("_cur", ".", 1)
-        state = branch.where(~again & own).select(*by, "key", F.col("_t").alias("_cur"), F.concat("path", F.array("_o")).alias("path"), F.concat("seen", F.array("_t")).alias("seen"))
+    while True:  # ends: a way never takes a candidate twice
+        branch = cut_lineage(state.join(steps, [*by, "name"]).withColumn("path2", F.concat("path", F.array("o"))))
+        done.append(branch.where("result_kind IS NOT NULL").select(*req, F.col("path2").alias("path"), "result_key", "result_kind"))
+        again = F.array_contains("seen", F.col("t"))
+        markers.append(branch.where(again & F.col("_ok").isNull()).select(*req, F.col("path").alias("node"), F.col("o").alias("cyc_o")))
+        state = branch.where(~again & F.col("_ok").isNull()).select(*req, F.col("t").alias("name"), F.col("path2").alias("path"), F.concat("seen", F.array("t")).alias("seen"))
         if state.isEmpty():
-            return _first_branches(done, markers, [*by, "key"])
+            return _first_branches(done, markers, req)
+
+
+def follow(requests: DataFrame, objects: DataFrame, by: list[str], runtime=None) -> DataFrame:
+    """K8 ``get(key)`` for distinct keys (by + key): what each finally names,
+    following aliases and wildcard imports of the last segment, first candidate
+    first.  objects: by + key, kind, full_alias, targets, one row per key.
+    -> by + key, result_key, result_kind; keys that name nothing are absent.
+
+    Without ``runtime`` names stay inside the catalogue's own top level.
+    ``runtime`` maps the top levels that a root needs (by + top_level) to the
+    catalogues that serve them (by + top_level, _cat_ columns, see
+    ``deps.runtime_catalogue``): aliases then lead on into other packages.
+
+    Each name is resolved once per root, from what it leads to upwards, so the
+    work grows with the names and not with the ways between them.  Only names
+    on cycles depend on the way; those are walked in the reference order, and
+    ways through them end where the cycle is left."""
+    objects = cut_lineage(objects.select(*by, F.col("key").alias("_cur"), F.col("kind").alias("_k"), "full_alias", "targets"))
+    nodes, edges = _reach(requests, objects, by, runtime)
+    real = nodes.where("kind IS NOT NULL AND kind <> 'alias'").select(*by, "name", F.col("name").alias("result_key"), F.col("kind").alias("result_kind"))
+    # a target outside every catalogue is no node: it answers nothing, as a node without candidates
+    ends = (nodes.select(*by, "name").unionByName(edges.select(*by, F.col("t").alias("name"))).distinct()
+            .join(edges.select(*by, "name").distinct(), [*by, "name"], "left_anti").join(real, [*by, "name"], "left_anti"))
+    nothing = F.lit(None).cast("string")
+    settled = cut_lineage(real.unionByName(ends.select(*by, "name", nothing.alias("result_key"), nothing.alias("result_kind"))))
+    settled, left = _settle(edges, settled, by)
+    wanted = requests.select(*by, "key").distinct()
+    found = []
+    if not left.isEmpty():
+        settled = cut_lineage(settled)
+        left = cut_lineage(left)
+        core = _core(left, by)
+        entries = cut_lineage(core.select(*by, F.col("name").alias("start")).distinct())
+        asked = entries.join(wanted.withColumnRenamed("key", "start"), [*by, "start"], "left_semi")
+        starts = entries.withColumn("root", F.lit(False)).unionByName(asked.withColumn("root", F.lit(True)))
+        answers = cut_lineage(_walk(starts, core, settled, by))
+        found.append(answers.where("root").select(*by, F.col("start").alias("key"), "result_key", "result_kind"))
+        entered = entries.join(answers.where("NOT root").drop("root"), [*by, "start"], "left").withColumnRenamed("start", "name")
+        settled, _ = _settle(left.join(entered, [*by, "name"], "left_anti"), cut_lineage(settled.unionByName(entered.select(*settled.columns))), by)
+        wanted = wanted.join(asked.withColumnRenamed("start", "key"), [*by, "key"], "left_anti")
+    found.append(wanted.join(settled.withColumnRenamed("name", "key"), [*by, "key"]).where("result_kind IS NOT NULL").select(*by, "key", "result_key", "result_kind"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top: str) -> DataFrame:

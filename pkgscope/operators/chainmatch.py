@@ -24,9 +24,8 @@ from pkgscope.session import cut_lineage
 
 def one_per_key(objects: DataFrame, by: list[str]) -> DataFrame:
     """K5: a child module wins over an entity of the same name."""
-    modules = objects.where(F.col("kind") == "module")
-    others = objects.where(F.col("kind") != "module").join(modules.select(*by, "key"), [*by, "key"], "left_anti")
-    return modules.unionByName(others)
+    first = F.min(F.struct(F.when(F.col("kind") == "module", 0).otherwise(1).alias("rank"), "kind", "full_alias", "targets")).alias("_o")
+    return objects.groupBy(*by, "key").agg(first).select(*by, "key", "_o.kind", "_o.full_alias", "_o.targets")
 
 
 def lookups(keys: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:

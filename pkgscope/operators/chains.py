@@ -6,20 +6,59 @@ text, target, line (see ``parse.parse_clients``).
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgscope.session import cut_lineage, share
-
 FILE = ["c_pkg", "c_ver", "src_file"]
 IDENTIFIER = r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*$"
 
 
-def _merge(df: DataFrame) -> DataFrame:
-    return df.groupBy(*FILE, "call").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+_RESOLVED = "c_pkg string, c_ver string, src_file string, call string, lines array<int>"
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(file, its rows) of batches sorted by file."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    for file, own in itertools.groupby(rows, key=lambda r: r[:3]):
+        yield file, [r[3:] for r in own]
+
+
+def _rewritten(call: str, aliases: dict[str, set[str]]) -> Iterator[str]:
+    """The texts that one substitution of the first segment makes of a call."""
+    first, dot, rest = call.partition(".")
+    name, called, args = first, "", ""
+    if first not in aliases and first.endswith(")"):
+        name, called, args = first.partition("(")
+    for target in aliases.get(name, ()):
+        if target not in call:
+            yield target + called + args.partition("(")[0] + dot + rest
+
+
+def _closure(events: list[tuple], rounds: int) -> dict[str, set[int]]:
+    """Lines of every call text of a file after the substitution rounds."""
+    calls: dict[str, set[int]] = defaultdict(set)
+    aliases: dict[str, set[str]] = defaultdict(set)
+    for kind, text, target, line in events:
+        if kind == "call":
+            calls[text].add(line)
+        elif target is not None:
+            aliases[text].add(target)
+    for _ in range(rounds if aliases else 0):
+        derived = [(new, set(lines)) for call, lines in calls.items() for new in _rewritten(call, aliases)]
+        known = len(calls)
+        for new, lines in derived:
+            calls[new] |= lines
+        if len(calls) == known:
+            break
+    return calls
 
 
-def substitute_aliases(events: DataFrame, rounds: int = 5, checkpoint: bool = True) -> DataFrame:
+def substitute_aliases(events: DataFrame, rounds: int = 5) -> DataFrame:
     """Up to ``rounds`` rounds of alias substitution on the first segment
     of every call text, per file.  A round adds ``target + rest`` (line sets
     merged) for every alias of the first segment whose target text does not
@@ -27,52 +66,17 @@ def substitute_aliases(events: DataFrame, rounds: int = 5, checkpoint: bool = Tr
     alias of ``name``.  A file takes another round only while the previous
     one added new texts.  -> c_pkg, c_ver, src_file, call, lines
 
-    Only files still changing are carried through a round: files without
-    aliases are final at once, a file whose round added nothing is set
-    aside, and the loop ends when no file is pending."""
-    calls = _merge(events.where(F.col("ev") == "call").select(*FILE, F.col("text").alias("call"),
-                                                              F.array(F.col("line")).alias("lines")))
-    aliases = share(events.where(F.col("ev") == "alias").select(*FILE, F.col("text").alias("_name"), F.col("target"))
-                    .distinct())  # read by every round
-    names = share(aliases.select(*FILE, "_name").distinct())
-    active = aliases.select(*FILE).distinct()
-    finished = [calls.join(active, FILE, "left_anti")]
-    pending = calls.join(active, FILE, "left_semi")
-    if checkpoint:
-        pending = cut_lineage(pending)
-    for _ in range(rounds):
-        if pending.isEmpty():
-            break
-        parts = F.split(F.col("call"), r"\.")
-        suffix = F.when(F.size(parts) > 1, F.concat(F.lit("."), F.array_join(F.slice(parts, 2, F.size(parts)), ".")))
-        cur = pending.withColumn("_first", parts[0]).withColumn("_suffix", F.coalesce(suffix, F.lit("")))
-        direct = cur.join(aliases.withColumnRenamed("_name", "_first"), FILE + ["_first"]).select(
-            *FILE, F.col("call").alias("_orig"), F.concat("target", "_suffix").alias("new_call"), "lines", "target")
-        called = (
-            cur.join(names.withColumnRenamed("_name", "_first"), FILE + ["_first"], "left_anti")
-            .where(F.col("_first").endswith(")"))
-            .withColumn("_fname", F.substring_index("_first", "(", 1))
-            .join(aliases.withColumnRenamed("_name", "_fname"), FILE + ["_fname"])
-            .select(*FILE, F.col("call").alias("_orig"),
-                    F.concat("target", F.lit("("), F.try_element_at(F.split("_first", r"\("), F.lit(2)), "_suffix").alias("new_call"),
-                    "lines", "target")
-        )
-        derived = (
-            direct.unionByName(called)
-            .where(F.instr(F.col("_orig"), F.col("target")) == 0)
-            .select(*FILE, F.col("new_call").alias("call"), "lines")
-        )
-        grew = derived.join(pending, FILE + ["call"], "left_anti").select(*FILE).distinct()
-        merged = _merge(pending.unionByName(derived))
-        if checkpoint:
-            merged, grew = cut_lineage(merged), cut_lineage(grew)
-        finished.append(merged.join(grew, FILE, "left_anti"))
-        pending = merged.join(grew, FILE, "left_semi")
-    finished.append(pending)
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    return out
+    The rounds are a fixed point within one file: its events meet in one task
+    (the only shuffle) and a worker holds one file's texts at a time."""
+    rows = events.where(F.col("ev").isin("call", "alias")).select(*FILE, "ev", "text", "target", F.col("line").cast("int").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((*file, call, sorted(lines)) for file, own in _files(batches) for call, lines in _closure(own, rounds).items())
+        while part := list(itertools.islice(found, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), [*[pa.string()] * 4, pa.list_(pa.int32())])],
+                                             names=[*FILE, "call", "lines"])
+
+    return rows.repartition(*FILE).sortWithinPartitions(*FILE).mapInArrow(run, _RESOLVED)
 
 
 def render_call(name: Column, argstr: Column) -> Column:

@@ -12,15 +12,21 @@ from pkgscope.operators import chains as A
 from pkgscope.operators import parse as P
 from pkgscope.plans.registry import register
 from pkgscope.session import share
-from pkgscope.sources.bindings import binding, binding_cte
+from pkgscope.sources.bindings import binding_cte, table
+from pkgscope.sources.bindings_sql import BINDINGS
 
 PKG, VER = "pkg", "1.0"
 
 
+def source_texts(spark, sf_dir):
+    """b_source; the part rows are dealt out over the cores before they grow to texts."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(BINDINGS["b_source"].replace("FROM part", "FROM {parts}"), parts=parts)
+
+
 def sources(spark, sf_dir):
     """b_source as module files of one package version: module pkg.mod<k>."""
-    s = binding(spark, sf_dir, "b_source")
-    return s.select(F.lit(PKG).alias("pkg"), F.lit(VER).alias("ver"),
+    return source_texts(spark, sf_dir).select(F.lit(PKG).alias("pkg"), F.lit(VER).alias("ver"),
                     F.concat(F.lit(PKG + "."), "module").alias("module"), "src")
 
 
@@ -31,8 +37,7 @@ def parsed(spark, sf_dir):
 
 
 def client_sources(spark, sf_dir):
-    s = binding(spark, sf_dir, "b_source")
-    return s.select(F.lit(PKG).alias("c_pkg"), F.lit(VER).alias("c_ver"),
+    return source_texts(spark, sf_dir).select(F.lit(PKG).alias("c_pkg"), F.lit(VER).alias("c_ver"),
                     F.concat("module", F.lit(".py")).alias("src_file"), "src")
 
 

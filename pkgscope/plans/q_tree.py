@@ -66,7 +66,9 @@ MODULES = ["p", "p.__init__", "p.core", "p.core.num", "p.lib", "p.sub", "p.empty
 
 
 def _parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.concat(F.lit("t"), F.col("p_partkey")).alias("pkg"), F.lit("1.0").alias("ver"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    parts = parts.repartition(spark.sparkContext.defaultParallelism)  # narrow rows, before they grow to texts
+    return parts.select("k", "s", F.concat(F.lit("t"), "k").alias("pkg"), F.lit("1.0").alias("ver"))
 
 
 def _filled(c):
@@ -192,7 +194,7 @@ def client_matches(spark, sf_dir):
     catalogue of the package they use: the match rows of U1-U7."""
     parts = table(spark, sf_dir, "part")
     n = parts.count()
-    used = table(spark, sf_dir, "customer").select(
+    used = table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism).select(
         F.concat(F.lit("app"), "c_custkey").alias("c_pkg"), F.concat(F.lit("t"), 1 + F.col("c_custkey") % n).alias("u"))
     src = used.select("c_pkg", F.lit("1.0").alias("c_ver"), F.lit("main.py").alias("src_file"), F.regexp_replace(F.lit("\n".join(CLIENT)), r"\bu\b", F.col("u")).alias("src"))
     chains = A.access_chains(P.parse_clients(src)).select(
