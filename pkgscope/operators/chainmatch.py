@@ -48,24 +48,24 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
     Chains whose top level is not a module of the catalogue are dropped (M11).
     """
     top = objects.where((F.col("kind") == "module") & ~F.col("key").contains(".")).select(*by, F.col("key").alias("_top"))
-    ch = chains.withColumn("_top", F.col("items")[0]["name"]).join(top, by + ["_top"], "left_semi")
-    steps = ch.select(
-        "chain_id", *by, F.posexplode("items").alias("i", "item"), "items",
-    ).select(
-        "chain_id", *by, "i", "item",
-        F.array_join(F.transform(F.slice("items", 1, F.col("i") + 1), lambda x: x["name"]), ".").alias("k"),
-        F.array_join(F.transform(F.slice("items", 1, F.col("i") + 1), lambda x: x["rendered"]), ".").alias("chain_i"),
-        F.try_element_at("items", F.col("i") + 2).alias("next"),
-    )
+    # the items of a chain are made once; the walk over its prefixes carries names only
+    ch = cut_lineage(chains.withColumn("_top", F.col("items")[0]["name"]).join(top, by + ["_top"], "left_semi").drop("_top"))
+    names = F.transform("items", lambda x: x["name"])
+    steps = ch.select("chain_id", *by, names.alias("_names"), F.posexplode(F.transform("items", lambda x: x["is_call"])).alias("i", "is_call")).select(
+        "chain_id", *by, "i", "is_call", F.array_join(F.slice("_names", 1, F.col("i") + 1), ".").alias("k"))
     # texts repeat over clients and files: each distinct prefix is looked up once per catalogue
-    steps = cut_lineage(steps)
     res = lookups(steps.select(*by, F.col("k").alias("key")).distinct(), objects, by)
     looked = steps.join(res.withColumnRenamed("key", "k"), [*by, "k"], "left")
-    stop_cond = F.col("rkind").isNull() | F.col("item.is_call") | (F.col("rkind") != "module")
+    stop_cond = F.col("rkind").isNull() | F.col("is_call") | (F.col("rkind") != "module")
     stop = looked.groupBy("chain_id", *by).agg(
-        F.min(F.when(stop_cond, F.struct("i", "item", "k", "chain_i", "next", "rkind", "rkey"))).alias("s"),
+        F.min(F.when(stop_cond, F.struct("i", "k", "rkind", "rkey"))).alias("s"),
         F.max(F.struct("i", "k", "rkind", "rkey")).alias("last"),
     )
+    stop = ch.join(stop, ["chain_id", *by])
+    rendered = F.array_join(F.transform(F.slice("items", 1, F.col("s.i") + 1), lambda x: x["rendered"]), ".")
+    stop = stop.withColumn("s", F.when(F.col("s").isNotNull(), F.struct(
+        "s.i", F.col("items")[F.col("s.i")].alias("item"), "s.k", rendered.alias("chain_i"), F.try_element_at("items", F.col("s.i") + 2).alias("next"), "s.rkind", "s.rkey")))
+
     def flagged(c):
         return F.transform(c, lambda a: a.withField("has_default", a["default"].isNotNull()))
 
@@ -123,11 +123,9 @@ def match_chains(chains: DataFrame, objects: DataFrame, funcs: DataFrame, method
         .otherwise(F.col("s.k"))
     )
     mkind = F.when(F.col("s").isNull(), F.col("last.rkind")).when(method_hit, F.lit("function")).otherwise(kind)
-    out = j.select("chain_id", *by, status.alias("status"), message.alias("message"),
-                   F.when(status == MATCH, matched).alias("matched_name"),
-                   F.when(status == MATCH, mkind).alias("matched_kind"))
-    return chains.select("chain_id", *by, *[c for c in chains.columns if c not in ("chain_id", "items", *by)]) \
-        .join(out, ["chain_id", *by])
+    return j.select("chain_id", *by, *[c for c in chains.columns if c not in ("chain_id", "items", *by)], status.alias("status"), message.alias("message"),
+                    F.when(status == MATCH, matched).alias("matched_name"),
+                    F.when(status == MATCH, mkind).alias("matched_kind"))
 
 
 def catalogue_tables(rows: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
