@@ -9,6 +9,7 @@ checkpoint after every round.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -299,6 +300,8 @@ def _reach(requests: DataFrame, objects: DataFrame, by: list[str], runtime) -> t
     new = requests.select(*by, F.col("key").alias("name")).distinct()
     nodes, edges = [], []
     while True:  # ends: a catalogue has so many targets, and each is met once
+        if len(nodes) == 4:  # plans stay small however many rounds there are
+            nodes, edges = [cut_lineage(reduce(DataFrame.unionByName, nodes))], [cut_lineage(reduce(DataFrame.unionByName, edges))]
         if runtime is None:
             placed = new.select("*", *[F.col(c).alias(x) for c, x in zip(by, cat)])
         else:
@@ -321,7 +324,9 @@ def _settle(edges: DataFrame, settled: DataFrame, by: list[str]) -> tuple[DataFr
     something once all earlier ones are settled, or when all are settled and
     none does.  -> (settled, edges of the nodes that remain: they lead to a cycle)"""
     cols = [*by, "name", "result_key", "result_kind"]
-    while True:
+    for n in itertools.count(1):
+        if n % 4 == 0:  # plans stay small however many rounds there are
+            settled, edges = cut_lineage(settled), cut_lineage(edges)
         at = edges.join(settled.select(*by, F.col("name").alias("t"), "result_key", "result_kind", F.lit(True).alias("_ok")), [*by, "t"], "left")
         best = at.groupBy(*by, "name").agg(
             F.min(F.when(F.col("_ok").isNull(), F.col("o"))).alias("_open"), F.min(F.when(F.col("result_kind").isNotNull(), F.struct("o", "result_key", "result_kind"))).alias("_hit"))
@@ -406,89 +411,85 @@ def follow(requests: DataFrame, objects: DataFrame, by: list[str], runtime=None)
     return reduce(DataFrame.unionByName, found)
 
 
-def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, top: str) -> DataFrame:
-    """K9 ``query(key)`` inside one catalogue whose top level is ``top``.
+def _placed(names: DataFrame, by: list[str], runtime, own_tops: DataFrame) -> DataFrame:
+    """``names`` (by + key, ...) with the catalogue (``_cat_`` columns) that
+    serves the top level of each key; names that none serves go."""
+    cat = [f"_cat_{c}" for c in by]
+    tops = names.withColumn("top_level", F.substring_index("key", ".", 1))
+    if runtime is None:
+        own = own_tops.select(*[F.col(x).alias(c) for x, c in zip(cat, by)], "top_level")
+        return tops.join(own, [*by, "top_level"], "left_semi").withColumns({x: F.col(c) for c, x in zip(by, cat)})
+    return tops.join(runtime(tops.select(*by, "top_level").distinct()), [*by, "top_level"])
+
+
+def query_keys(requests: DataFrame, objects: DataFrame, members: DataFrame, by: list[str], runtime=None) -> DataFrame:
+    """K9 ``query(key)`` for name lists of any number of catalogues at once.
 
     Unlike K8 an alias may sit in any segment: the walk goes over module
     prefixes; at the first prefix that is not a module it
-      - rewrites an alias prefix to ``target + rest`` (only targets inside
-        ``top``; revisiting an alias is a cycle),
+      - rewrites an alias prefix to ``target + rest`` (revisiting an alias is a cycle),
       - branches over the wildcard candidates of the parent module when the
         name is unknown (candidates in order, ``*`` replaced),
       - answers a class member for the rest (NULL for an unknown member),
       - answers the entity itself when nothing is left, else fails.
     The first success in depth-first candidate order wins (smallest branch
-    path); a cyclic candidate stops the later candidates of its node.
-
-    requests: req_id, key.  objects: key, kind, full_alias, targets (see
-    ``chainmatch.catalogue_tables``).  members: class_key, name, mkind.
-    -> req_id, key, result_key, result_kind (NULL when not found)."""
+    path); a cyclic candidate stops the later candidates of its node.  Each
+    rewritten name is looked up in the catalogue of its own top level: the
+    request's own catalogue, or any that ``runtime`` names (see :func:`follow`).
+
+    requests: by + key.  objects: by + key, kind, full_alias, targets (see
+    ``chainmatch.catalogue_tables``).  members: by + class_key, name, mkind.
+    -> by + key, result_key, result_kind, found; equal requests are answered
+    once; ``found`` is also true where an unknown member was asked of a class."""
+    cat = [f"_cat_{c}" for c in by]
+    keyed = objects.select(*[F.col(c).alias(x) for c, x in zip(by, cat)], F.col("key").alias("_p"), F.col("kind").alias("_k"), "full_alias", "targets")
     # read once per round by several joins: keep them
-    mods = share(objects.where(F.col("kind") == "module").select(F.col("key").alias("_p")).distinct())
-    ents = share(objects.where(F.col("kind") != "module").select(F.col("key").alias("_p"), F.col("kind").alias("_k"),
-                                                                 "full_alias", "targets"))
-    members = share(members)
-    state = requests.select("req_id", "key", F.array().cast("array<int>").alias("path"),
-                            F.array().cast("array<string>").alias("seen"))
+    mods = share(keyed.where(F.col("_k") == "module").select(*cat, "_p").distinct())
+    ents = share(keyed.where(F.col("_k") != "module"))
+    mem = share(members.where(F.col("mkind").isin("method", "field", "static_field")).select(
+        *[F.col(c).alias(x) for c, x in zip(by, cat)], F.col("class_key").alias("_ck"), F.col("name").alias("_mn"), F.col("mkind").alias("_mk")).distinct())
+    wild = ents.where(F.col("_k") == "wildcard").select(*cat, parent_of("_p").alias("_parent"), F.col("targets").alias("_wt"))
+    own_tops = mods.where(~F.col("_p").contains(".")).withColumnRenamed("_p", "top_level")
+    req = [*by, "req"]
+    state = requests.select(*by, "key").distinct().select(*by, F.col("key").alias("req"), "key", F.array().cast("array<int>").alias("path"), F.array().cast("array<string>").alias("seen"))
     done, markers = [], []
     while True:  # ends: a branch never takes an alias twice
         # a row id fixed by the checkpoint; joins below use it instead of the array columns
-        state = cut_lineage(state.withColumn("_sid", F.monotonically_increasing_id()))
-        if state.isEmpty():
+        base = cut_lineage(_placed(state, by, runtime, own_tops).withColumn("_sid", F.monotonically_increasing_id()))
+        if base.isEmpty():
             break
         seg = F.split("key", r"\.")
-        steps = state.where(F.size(seg) > 1).select(
-            "_sid", "key", F.explode(F.sequence(F.lit(1), F.size(seg) - 1)).alias("_i")) \
+        steps = base.where(F.size(seg) > 1).select(
+            "_sid", *cat, "key", F.explode(F.sequence(F.lit(1), F.size(seg) - 1)).alias("_i")) \
             .withColumn("_p", F.array_join(F.slice(F.split("key", r"\."), 1, F.col("_i") + 1), "."))
         first_non_module = (
-            steps.join(mods, "_p", "left_anti")
+            steps.join(mods, [*cat, "_p"], "left_anti")
             .groupBy("_sid").agg(F.min(F.struct("_i", "_p")).alias("_s"))
         )
-        base = state.where(F.split("key", r"\.")[0] == top)
-        # whole key is a module (or just the top level)
-        all_mod = base.join(first_non_module, "_sid", "left_anti")
-        done.append(all_mod.select("req_id", "path", F.col("key").alias("result_key"), F.lit("module").alias("result_kind")))
-        at = base.join(first_non_module, "_sid").select(
-            "req_id", "key", "path", "seen", F.col("_s._i").alias("_i"), F.col("_s._p").alias("_p"),
-            F.array_join(F.slice(F.split("key", r"\."), F.col("_s._i") + 2, F.size(F.split("key", r"\."))), ".").alias("_rest"),
-            F.regexp_extract("_s._p", r"([^.]*)$", 1).alias("_leaf"), parent_of("_s._p").alias("_parent"))
-        j = at.join(ents, "_p", "left")
+        # one row per state: where its walk over modules ends, and what stands there
+        at = base.join(first_non_module, "_sid", "left").select(
+            *req, *cat, "key", "path", "seen", F.col("_s._p").alias("_p"),
+            F.array_join(F.slice(seg, F.col("_s._i") + 2, F.size(seg)), ".").alias("_rest"),
+            F.substring_index("_s._p", ".", -1).alias("_leaf"), parent_of("_s._p").alias("_parent"))
+        j = cut_lineage(at.join(ents, [*cat, "_p"], "left").join(wild, [*cat, "_parent"], "left"))
         rest_empty = F.col("_rest") == ""
-        # answers
-        ent_done = j.where(F.col("_k").isin("function", "variable", "class") & rest_empty).select(
-            "req_id", "path", F.col("_p").alias("result_key"), F.col("_k").alias("result_kind"))
-        cls = j.where((F.col("_k") == "class") & ~rest_empty)
-        mem = members.where(F.col("mkind").isin("method", "field", "static_field")).select(
-            F.col("class_key").alias("_ck"), F.col("name").alias("_mn"), F.col("mkind").alias("_mk"))
-        cls_done = (
-            cls.withColumn("_ck", F.when(F.col("_rest").contains("."),
-                                      F.concat_ws(".", "_p", F.regexp_replace("_rest", r"\.[^.]*$", "")))
-                        .otherwise(F.col("_p")))
-            .withColumn("_mn", F.regexp_extract("_rest", r"([^.]*)$", 1))
-            .join(mem, ["_ck", "_mn"], "left")
-            .select("req_id", "path", F.when(F.col("_mk").isNotNull(), F.concat_ws(".", "_ck", "_mn")).alias("result_key"),
-                    F.col("_mk").alias("result_kind"))
-        )
-        done += [ent_done, cls_done]
-        # alias rewrite (single candidate, ordinal 0)
-        al = j.where(F.col("_k") == "alias").select(
-            "req_id", "path", "seen", "_rest", F.array(F.struct(F.lit(0).alias("o"), F.col("full_alias").alias("t"))).alias("_c"))
-        # unknown name under a wildcard module: candidates in order
-        wild = ents.where(F.col("_k") == "wildcard").select(parent_of("_p").alias("_parent"), F.col("targets").alias("_wt"))
-        miss = (
-            j.where(F.col("_k").isNull()).join(wild, "_parent")
-            .select("req_id", "path", "seen", "_rest",
-                    F.transform("_wt", lambda t, o: F.struct(o.alias("o"), F.regexp_replace(t, r"\*", F.col("_leaf")).alias("t")))
-                    .alias("_c"))
-        )
-        br = al.unionByName(miss).select("req_id", "path", "seen", "_rest", F.inline("_c"))
-        cyc = F.array_contains("seen", F.col("t"))
-        markers.append(br.where(cyc).select("req_id", F.col("path").alias("node"), F.col("o").alias("cyc_o")))
-        state = (
-            br.where(~cyc & (F.split("t", r"\.")[0] == top))
-            .select("req_id",
-                    F.when(F.col("_rest") == "", F.col("t")).otherwise(F.concat_ws(".", "t", "_rest")).alias("key"),
-                    F.concat("path", F.array("o")).alias("path"), F.concat("seen", F.array("t")).alias("seen"))
-        )
-    res = _first_branches(done, markers, ["req_id"])
-    return requests.join(res, "req_id", "left").select("req_id", "key", "result_key", "result_kind")
+        done.append(j.where("_p IS NULL").select(*req, "path", F.col("key").alias("result_key"), F.lit("module").alias("result_kind")))
+        done.append(j.where(F.col("_k").isin("function", "variable", "class") & rest_empty).select(
+            *req, "path", F.col("_p").alias("result_key"), F.col("_k").alias("result_kind")))
+        inside = F.when(F.col("_rest").contains("."), F.concat_ws(".", "_p", F.regexp_replace("_rest", r"\.[^.]*$", ""))).otherwise(F.col("_p"))
+        done.append(
+            j.where((F.col("_k") == "class") & ~rest_empty).withColumn("_ck", inside).withColumn("_mn", F.substring_index("_rest", ".", -1))
+            .join(mem, [*cat, "_ck", "_mn"], "left")
+            .select(*req, "path", F.when(F.col("_mk").isNotNull(), F.concat_ws(".", "_ck", "_mn")).alias("result_key"), F.col("_mk").alias("result_kind")))
+        to = F.when(F.col("_k") == "alias", F.array("full_alias")).when(
+            F.col("_p").isNotNull() & F.col("_k").isNull(), F.transform("_wt", lambda t: F.replace(t, F.lit("*"), F.col("_leaf"))))
+        br = j.select(*req, "path", "seen", "_rest", F.posexplode(to).alias("o", "t"))
+        again = F.array_contains("seen", F.col("t"))
+        markers.append(br.where(again).select(*req, F.col("path").alias("node"), F.col("o").alias("cyc_o")))
+        state = br.where(~again).select(
+            *req, F.when(F.col("_rest") == "", F.col("t")).otherwise(F.concat_ws(".", "t", "_rest")).alias("key"),
+            F.concat("path", F.array("o")).alias("path"), F.concat("seen", F.array("t")).alias("seen"))
+    if not done:
+        done = [requests.limit(0).select(*by, F.col("key").alias("req"), F.array().cast("array<int>").alias("path"), F.col("key").alias("result_key"), F.col("key").alias("result_kind"))]
+    res = _first_branches(done, markers, req).withColumnRenamed("req", "key").withColumn("found", F.lit(True))
+    return requests.select(*by, "key").distinct().join(res, [*by, "key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))

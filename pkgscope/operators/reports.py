@@ -246,13 +246,13 @@ def is_public(api: Column) -> Column:
 
 def accessibility(names: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per (lib, ver): external names that resolve in our catalogue
-    (``catalog.query_keys`` gave an answer) and those that do not.
-    names: lib, ver, name.  resolved: lib, ver, name, result_kind."""
+    (``catalog.query_keys`` found something; an unknown member of a known
+    class counts, as asking for it is no error) and those that do not.
+    names: lib, ver, name.  resolved: lib, ver, name, found."""
     j = names.select("lib", "ver", "name").distinct().join(
-        resolved.select("lib", "ver", "name", "result_kind"), ["lib", "ver", "name"], "left")
+        resolved.select("lib", "ver", "name", "found"), ["lib", "ver", "name"], "left")
     return j.groupBy("lib", "ver").agg(
-        F.count_if(F.col("result_kind").isNotNull()).alias("accessible"),
-        F.count_if(F.col("result_kind").isNull()).alias("not_accessible"))
+        F.count_if("found").alias("accessible"), F.count_if(~F.coalesce("found", F.lit(False))).alias("not_accessible"))
 
 
 def accessible_ratio(per_lib: DataFrame) -> DataFrame:

@@ -343,6 +343,6 @@ def q_k9(spark, sf_dir):
         .unionByName(ent.where(F.col("kind") == "class").select(F.concat(F.col("key"), F.lit(".nope")).alias("key")))
         .unionByName(failed)
         .distinct()
-        .withColumn("req_id", F.col("key"))
+        .select(F.lit(PKG).alias("pkg"), F.lit(VER).alias("ver"), "key")
     )
-    return K.query_keys(req, objects, mem, top="pkg").select("key", "result_key", "result_kind")
+    return K.query_keys(req, objects, mem, ["pkg", "ver"]).select("key", "result_key", "result_kind")

@@ -62,7 +62,7 @@ def test_name_lists_and_accessibility(spark):
         f.write("other.x\n")
     names = S.name_lists(spark, os.path.join(d, "*.txt"))
     assert sorted((r.lib, r.ver) for r in names.select("lib", "ver").distinct().collect()) == [("my-lib", "1.2"), ("other", "0.1")]
-    resolved = spark.createDataFrame([("my-lib", "1.2", "my_lib.a", "function")], "lib string, ver string, name string, result_kind string")
+    resolved = spark.createDataFrame([("my-lib", "1.2", "my_lib.a", True)], "lib string, ver string, name string, found boolean")
     per = {(r.lib, r.accessible, r.not_accessible) for r in R.accessibility(names, resolved).collect()}
     assert per == {("my-lib", 1, 1), ("other", 0, 1)}
     assert R.accessible_ratio(R.accessibility(names, resolved)).collect()[0].ratio == 1 / 3
