@@ -226,7 +226,7 @@ def build_members(rows: DataFrame) -> DataFrame:
     args, decorators, var_type, value (methods, fields, static fields, nested
     classes).  A method defined several times is listed each time, by ``ord``."""
     m = winning_class_rows(usable_rows(rows)).where(F.col("mkind").isNotNull())
-    return m.select("pkg", "ver", F.concat_ws(".", "module", "class_path").alias("class_key"), "name", "mkind", "ord",
+    return m.select("pkg", "ver", F.concat_ws(".", "module", "class_path").alias("class_key"), "class_path", "name", "mkind", "ord",
                     "args", "decorators", "var_type", "value")
 
 
@@ -247,31 +247,39 @@ def extraction_status(rows: DataFrame) -> DataFrame:
 
 def class_names(members: DataFrame) -> DataFrame:
     """``get_names`` of each class: methods, fields, static fields, then
-    nested classes with their own names appended *without* a dot.
-    members: by + class_key, name, mkind, ord -> by + class_key, name, ord"""
-    order = F.when(F.col("mkind") == "method", 0).when(F.col("mkind") == "field", 1) \
-        .when(F.col("mkind") == "static_field", 2).otherwise(3)
-    direct = members.where(F.col("mkind").isin("method", "field", "static_field", "class")).select(
-        "pkg", "ver", "class_key", "name", F.struct(order.alias("g"), F.col("ord").alias("o")).alias("ord"))
-    # nested: names of the nested class's members, prefixed with the nested class name
-    nested = (
-        members.where(F.col("mkind") == "class").select("pkg", "ver", "class_key", F.col("name").alias("_n"),
-                                                        F.col("ord").alias("_o"))
-        .join(members.select("pkg", "ver", F.col("class_key").alias("_ck"), F.col("name").alias("_m"),
-                             F.col("ord").alias("_mo")), ["pkg", "ver"])
-        .where(F.col("_ck") == F.concat_ws(".", "class_key", "_n"))
-        .select("pkg", "ver", "class_key", F.concat("_n", "_m").alias("name"),
-                F.struct(F.lit(3).alias("g"), F.col("_o").alias("o")).alias("ord"))
-    )
-    return direct.unionByName(nested)
-
-
-def public_names(entities: DataFrame, members: DataFrame) -> DataFrame:
-    """Every key plus ``class.member`` of classes, distinct."""
-    cls = entities.where(F.col("kind") == "class").select("pkg", "ver", F.col("key").alias("class_key"))
-    mem = members.join(cls, ["pkg", "ver", "class_key"], "left_semi").select(
-        "pkg", "ver", F.concat_ws(".", "class_key", "name").alias("name"))
-    return entities.select("pkg", "ver", F.col("key").alias("name")).unionByName(mem).distinct()
+    nested classes, and the names inside these, at any depth, appended to the
+    class's name *without* a dot.  members: by + class_key, class_path, name,
+    mkind -> by + class_key, name
+
+    A member knows its way through the classes around it (``class_path``), so
+    it is listed for each of them at once; no recursion."""
+    own = members.where(F.col("mkind").isin("method", "field", "static_field", "class"))
+    around = F.split("class_path", r"\.")
+    depth = F.size("_p")
+    each = own.withColumn("_p", around).select("*", F.explode(F.sequence(F.lit(1), depth)).alias("_i"))
+    # the key of the i-th class around: without the classes inside it
+    drop = F.transform(F.slice("_p", F.col("_i") + 1, depth), lambda c: F.concat(F.lit("."), c))
+    key = F.expr("left(class_key, length(class_key) - length(_inner))")
+    return each.withColumn("_inner", F.array_join(drop, "")).select(
+        "pkg", "ver", key.alias("class_key"), F.concat(F.array_join(F.slice("_p", F.col("_i") + 1, depth), ""), "name").alias("name"))
+
+
+def public_names(entities: DataFrame, members: DataFrame, runtime=None) -> DataFrame:
+    """Every key, and ``key.name`` for all names (K11) of every key that
+    names a class, itself or through aliases (``from .m import C as D`` lists
+    ``p.D.g``), distinct.  ``runtime`` as for :func:`follow`."""
+    by = ["pkg", "ver"]
+    keys = entities.select(*by, F.col("key").alias("name"))
+    cls = entities.where(F.col("kind") == "class").select(*by, "key", F.col("key").alias("result_key"))
+    aliases = entities.where(F.col("kind") == "alias").select(*by, "key")
+    first = F.min(F.struct("kind", "full_alias", "targets")).alias("_o")
+    objects = entities.groupBy(*by, "key").agg(first).select(*by, "key", "_o.*")
+    through = follow(aliases, objects, by, runtime).where(F.col("result_kind") == "class").select(*by, "key", "result_key")
+    listed = class_names(members)
+    inside = listed.select(*by, F.regexp_replace("class_key", r"\.__init__(?=\.)", "").alias("result_key"), "name").unionByName(
+        listed.select(*by, F.col("class_key").alias("result_key"), "name")).distinct()
+    mem = cls.unionByName(through).join(inside, [*by, "result_key"]).select(*by, F.concat_ws(".", "key", "name").alias("name"))
+    return keys.unionByName(mem).distinct()
 
 
 def _first_branches(done: list[DataFrame], markers: list[DataFrame], req: list[str]) -> DataFrame:

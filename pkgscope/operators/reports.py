@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pkgscope.functions import versions as V
+from pkgscope.session import cut_lineage
 
 # --- fixed values: report bucket labels and error classes of the study ---
 PRECISION_BUCKETS = ["Match", "Missing", "Wrong", "No Dependency", "Runtime Error"]
@@ -147,14 +148,48 @@ def extraction_totals(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, std (sample), min, quartiles (exact, linear), max."""
+def exact_quantiles(df: DataFrame, by: list[str], col: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles (linear between ranks) -> by + q, one array in the order
+    of ``probs``.  Equal values become one row with their number first; the
+    values are range-partitioned, the partitions' totals give each value the
+    ranks it covers, and only values that cover a wanted rank go on.  No task
+    holds a group's values.  Null values don't count; ``by`` columns are not null.
+    Without ``by`` there is one row, of nulls if there is no value."""
+    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(values.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shift = sizes.select(*by, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("_upto", F.sum("_n").over(within)).join(shift, [*by, "_part"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
+    place = [F.lit(p) * (F.col("_all") - 1) for p in probs]
+    wanted = sizes.groupBy(*by).agg(F.sum("_size").alias("_all")).select(*by, F.array(*place).alias("_at"))  # one row a group
+    met = placed.join(wanted, by) if by else placed.join(F.broadcast(wanted))
+    covers = lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto"))
+    met = met.where(F.exists("_at", lambda a: covers(F.floor(a)) | covers(F.ceil(a))))
+    pick = lambda i, rank: F.max(F.when(covers(rank(F.col("_at")[i])), F.col("_v")))
+    found = met.groupBy(*by).agg(F.first("_at").alias("_at"), *[pick(i, f).alias(f"_{n}{i}") for i in range(len(probs)) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col("_at")[i] - F.floor(F.col("_at")[i])) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(probs))]).alias("q"))
+
+
+def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
+    """Count, mean, std (sample), min, quartiles (exact, linear),
+    max, per group if ``by`` is given (not null)."""
+    by = by or []
     c = F.col(col)
-    return df.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
-        F.max(c).alias("max"), F.sum(c).alias("total"),
-    )
+    plain = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("total"))
+    q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75])
+    both = plain.join(q, by, "left") if by else plain.join(F.broadcast(q), how="left")  # one row each
+    return both.select(*by, "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max", "total")
+
+
+def public_overlap(sets: DataFrame, names: list[str]) -> DataFrame:
+    """How many APIs lie in which of the compared sets.  sets: api, source
+    (one of ``names``).  One bit mask per API, counted per mask
+    -> one boolean column per name, n_apis."""
+    bit = F.coalesce(*[F.when(F.col("source") == n, F.lit(1 << i)) for i, n in enumerate(names)])
+    masks = sets.groupBy("api").agg(F.bit_or(bit).alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("n_apis"))
+    return masks.select(*[(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0).alias(n) for i, n in enumerate(names)], "n_apis")
 
 
 def error_classes(stats: DataFrame, classes=STATIC_ERROR_CLASSES) -> DataFrame:
@@ -207,6 +242,16 @@ def top_apis(api_stats: DataFrame, n: int = 10) -> DataFrame:
     return api_stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def outside(apis: DataFrame, internal: DataFrame) -> DataFrame:
+    """``apis`` (u_pkg, api, ...) not in internal sub-packages.  internal:
+    u_pkg, prefix (a module; it holds itself and all below it).  Every prefix
+    of an API is looked up, so the join is on equal names."""
+    parts = F.split("api", r"\.")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    hidden = apis.select("u_pkg", "api", F.explode(upto).alias("prefix")).join(internal, ["u_pkg", "prefix"], "left_semi").select("u_pkg", "api").distinct()
+    return apis.join(hidden, ["u_pkg", "api"], "left_anti")
+
+
 def rank_curve(api_stats: DataFrame, metric: str) -> DataFrame:
     """Rank of each API by a metric, descending, per package."""
     w = Window.partitionBy("u_pkg").orderBy(F.col(metric).desc(), F.col("api"))

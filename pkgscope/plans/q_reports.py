@@ -9,7 +9,7 @@ from pkgscope.operators import usage as U
 from pkgscope.plans.q_usage import PAIR, USAGE_SQL, usage_matches
 from pkgscope.plans.q_versions import V9_SQL
 from pkgscope.plans.registry import register
-from pkgscope.sources.bindings import binding, binding_cte
+from pkgscope.sources.bindings import binding, binding_cte, table
 
 
 def _round(df, cols, n=9):
@@ -134,6 +134,17 @@ def q_r17(spark, sf_dir):
     return _round(d, ["mean", "std", "q25", "q50", "q75"], 6)
 
 
+@register("R17_extraction_time_by_mode", STATS_SQL + """
+SELECT CASE WHEN wheel IS NULL THEN 'dynamic' ELSE 'static' END AS mode, count(duration_ms) AS count, round(avg(duration_ms), 6) AS mean, round(stddev_samp(duration_ms), 6) AS std,
+  min(duration_ms) AS min, round(quantile_cont(duration_ms, 0.25), 6) AS q25, round(quantile_cont(duration_ms, 0.5), 6) AS q50,
+  round(quantile_cont(duration_ms, 0.75), 6) AS q75, max(duration_ms) AS max, CAST(sum(duration_ms) AS BIGINT) AS total
+FROM b_stats WHERE NOT error GROUP BY 1""")
+def q_r17_mode(spark, sf_dir):
+    """Versions without a wheel stand for those inspected at run time."""
+    s = stats(spark, sf_dir).where(~F.col("error")).withColumn("mode", F.when(F.col("wheel").isNull(), "dynamic").otherwise("static"))
+    return _round(R.describe(s, "duration_ms", ["mode"]), ["mean", "std", "q25", "q50", "q75"], 6)
+
+
 @register("R18_static_error_classes", STATS_SQL + """
 SELECT CASE WHEN strpos(stack_trace, 'FileNotFoundError') > 0 THEN 'FileNotFoundError: ''/'' in top level'
   WHEN strpos(stack_trace, 'FileExistsError') > 0 THEN 'FileExistsError: some intermittent zip extraction was terminated'
@@ -247,6 +258,12 @@ def q_r28(spark, sf_dir):
     return R.rank_curve(R.per_api(api_usage(spark, sf_dir)), "calls")
 
 
+for _metric in ("clients", "files"):
+    register(f"R28_rank_curve_{_metric}", U1_SQL + f"""
+SELECT u_pkg, api, {_metric}, row_number() OVER (PARTITION BY u_pkg ORDER BY {_metric} DESC, api) AS rank FROM pa""")(
+        lambda spark, sf_dir, m=_metric: R.rank_curve(R.per_api(api_usage(spark, sf_dir)), m))
+
+
 @register("R29_cumulative_apis", U1_SQL + """,
 cl AS (SELECT u_pkg, c_pkg, count(DISTINCT api) AS n_apis FROM u1 GROUP BY u_pkg, c_pkg),
 o AS (SELECT *, row_number() OVER (PARTITION BY u_pkg ORDER BY n_apis DESC, c_pkg) AS ord FROM cl),
@@ -266,6 +283,29 @@ def q_r30(spark, sf_dir):
     return R.per_api(api_usage(spark, sf_dir)).select("u_pkg", "api", R.is_public(F.col("api")).alias("is_public"))
 
 
+#: Internal sub-packages: what they hold is not public whatever its name.  Fixed values.
+INTERNAL = ["pkg.f1", "pkg.f22"]
+
+
+@register("R30_public_set_overlap", U1_SQL + """,
+used AS (SELECT DISTINCT api FROM pa WHERE NOT len(list_filter(string_split(api, '.'), lambda s: starts_with(s, '_') AND NOT starts_with(s, '__'))) > 0
+         AND api NOT IN ('pkg.f1', 'pkg.f22')),
+listed AS (SELECT DISTINCT 'pkg.f' || CAST(p_partkey AS VARCHAR) AS api FROM part WHERE p_partkey % 3 <> 0),
+seen AS (SELECT DISTINCT 'pkg.f' || CAST(l_partkey AS VARCHAR) AS api FROM lineitem WHERE l_quantity > 45),
+b AS (SELECT api, api IN (SELECT api FROM used) AS used, api IN (SELECT api FROM listed) AS listed, api IN (SELECT api FROM seen) AS seen
+      FROM (SELECT api FROM used UNION SELECT api FROM listed UNION SELECT api FROM seen))
+SELECT used, listed, seen, count(*) AS n_apis FROM b GROUP BY used, listed, seen""")
+def q_r30_overlap(spark, sf_dir):
+    """Overlaps of the public APIs that clients use, that a list names, and that busy clients call."""
+    used = R.per_api(api_usage(spark, sf_dir)).where(R.is_public(F.col("api")))
+    internal = used.select("u_pkg").distinct().select("u_pkg", F.explode(F.array(*map(F.lit, INTERNAL))).alias("prefix"))
+    used = R.outside(used, internal).select("api", F.lit("used").alias("source"))
+    name = lambda c: F.concat(F.lit("pkg.f"), c).alias("api")
+    listed = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(name("p_partkey"), F.lit("listed").alias("source"))
+    seen = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(name("l_partkey"), F.lit("seen").alias("source"))
+    return R.public_overlap(used.unionByName(listed).unionByName(seen), ["used", "listed", "seen"])
+
+
 @register("R19_dynamic_error_classes", STATS_SQL + """
 SELECT CASE WHEN strpos(stack_trace, 'PackageInstallException') > 0 THEN 'PackageInstallException: Cannot install package in a conda env with Python>=3.6'
   WHEN strpos(stack_trace, 'JSONDecodeError') > 0 THEN 'JSONDecodeError: Other kind of runtime exception occurred'
@@ -290,12 +330,7 @@ SELECT is_public, count(*) AS count, round(avg(clients), 6) AS mean, round(stdde
   max(clients) AS max, CAST(sum(clients) AS BIGINT) AS total FROM f GROUP BY is_public""")
 def q_r31(spark, sf_dir):
     a = R.per_api(api_usage(spark, sf_dir)).withColumn("is_public", R.is_public(F.col("api")))
-    c = F.col("clients")
-    d = a.groupBy("is_public").agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
-        F.max(c).alias("max"), F.sum(c).alias("total"))
-    return _round(d, ["mean", "std", "q25", "q50", "q75"], 6)
+    return _round(R.describe(a, "clients", ["is_public"]), ["mean", "std", "q25", "q50", "q75"], 6)
 
 
 @register("U12_usable_versions", STATS_SQL + """

@@ -10,6 +10,7 @@ from pkgscope.functions import signatures as G
 from pkgscope.operators import catalog as K
 from pkgscope.operators import chains as A
 from pkgscope.operators import parse as P
+from pkgscope.operators import reports as R
 from pkgscope.plans.registry import register
 from pkgscope.session import share
 from pkgscope.sources.bindings import binding_cte, table
@@ -294,8 +295,8 @@ def q_a13(spark, sf_dir):
     ok = ev.where((F.col("ev") == "import") & (F.col("text") == "os")).select("src_file").distinct()
     bad = ev.where(F.col("ev") == "failed").select("src_file")
     good = s.join(ok, "src_file", "left_semi").join(bad, "src_file", "left_anti")
-    return good.agg(F.count(F.lit(1)).alias("n_snippets"), F.percentile("loc", 0.5).alias("median_loc"),
-                    F.min("loc").alias("min_loc"), F.max("loc").alias("max_loc"))
+    d = R.describe(good, "loc")
+    return d.select(F.col("count").alias("n_snippets"), F.col("q50").alias("median_loc"), F.col("min").alias("min_loc"), F.col("max").alias("max_loc"))
 
 
 @register("A13_snippet_sample", CLI_SQL + """,
@@ -306,7 +307,7 @@ def q_a13s(spark, sf_dir):
     s = client_sources(spark, sf_dir).withColumn("loc", F.size(F.split("src", "\\n")))
     bad = client_events(spark, sf_dir).where(F.col("ev") == "failed").select("src_file")
     good = s.join(bad, "src_file", "left_anti")
-    med = good.agg(F.percentile("loc", 0.5).alias("_med"))
+    med = R.exact_quantiles(good, [], "loc", [0.5]).select(F.col("q")[0].alias("_med"))
     small = good.join(F.broadcast(med)).where(F.col("loc") <= F.col("_med"))
     return small.select("src_file", "loc").orderBy(F.md5(F.concat("src_file", F.lit("42"))), "src_file").limit(100)
 

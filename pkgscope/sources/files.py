@@ -4,6 +4,14 @@ wheel archives and HTML listings."""
 
 from __future__ import annotations
 
+import io
+import re
+import struct
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +46,9 @@ def rank_by_dependents(df: DataFrame, platform: str = "Pypi", limit: int = 10000
     )
 
 
-def release_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """S3: package metadata JSON (one object per file) with an explicit schema."""
-    return spark.read.schema(RELEASES_SCHEMA).json(path, multiLine=True).withColumn("pkg", F.col("info.name"))
+def release_metadata(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """S3: package metadata JSON (one object per file, or one per line) with an explicit schema."""
+    return spark.read.schema(RELEASES_SCHEMA).json(path, multiLine=one_per_file).withColumn("pkg", F.col("info.name"))
 
 
 def release_files(meta: DataFrame) -> DataFrame:
@@ -68,6 +76,11 @@ def requirement_rows(meta: DataFrame) -> DataFrame:
     )
 
 
+def plain_requirements(reqs: DataFrame) -> DataFrame:
+    """Requirement rows without marker and without extras (report use)."""
+    return reqs.where(F.col("requires_dist").isNotNull() & F.col("marker").isNull() & F.forall("extras", lambda e: e == ""))
+
+
 def name_lists(spark: SparkSession, path_glob: str) -> DataFrame:
     """``<lib>-<ver>.txt`` name lists, one name per line; library and
     version from the file name split at the last dash."""
@@ -80,40 +93,66 @@ def name_lists(spark: SparkSession, path_glob: str) -> DataFrame:
     )
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
+def source_tree(spark: SparkSession, root: str, files: str = "*.py") -> DataFrame:
     """Every ``*.py`` below ``root`` as (path, src), whole text per file."""
     return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").option("wholetext", "true")
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).option("wholetext", "true")
         .text(root)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("src"))
     )
 
 
-def _unzip_batches(it):
-    import io
-    import zipfile
+#: What an archive is read for: sources, metadata and top levels.
+WANTED = re.compile(r"\.pyi?$|\.dist-info/(METADATA|top_level\.txt)$")
+_MEMBERS = "archive string, member string, src string, error string"
+
+
+def _members(path: str, content: bytes) -> Iterator[tuple]:
+    """(archive, member, text, error) of a wheel, one member in memory at a time."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                if WANTED.search(name):
+                    yield path, name, z.read(name).decode("utf-8", errors="ignore"), None
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, struct.error) as broken:
+        yield path, None, None, f"{type(broken).__name__}: {broken}"  # quarantined, see S25
+
 
-    import pandas as pd
+def unpacked(archives: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Members (.py, .pyi, METADATA, top_level.txt) of wheel archives
+    (path, content); a bad archive gives one row with ``error`` instead of
+    failing the job.  Rows leave in batches of about ``batch_bytes`` of text,
+    so a worker holds one batch of archives and one of texts."""
 
-    for pdf in it:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith((".py", ".pyi")) or name.endswith(".dist-info/METADATA") \
-                                or name.endswith(".dist-info/top_level.txt"):
-                            out.append((path, name, z.read(name).decode("utf-8", errors="ignore"), None))
-            except Exception as ex:  # noqa: BLE001 - quarantined, see S25
-                out.append((path, None, None, f"{type(ex).__name__}: {ex}"))
-        yield pd.DataFrame(out, columns=["archive", "member", "src", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for row in _members(path.as_py(), content.as_py() or b""):
+                    rows.append(row)
+                    size += len(row[2] or "") + 200
+                    if size >= batch_bytes:
+                        yield _text_rows(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _text_rows(rows)
+
+    return archives.select("path", "content").mapInArrow(run, _MEMBERS)
+
+
+def _text_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["archive", "member", "src", "error"])
 
 
 def wheel_sources(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Members (.py, .pyi, METADATA, top_level.txt) of wheel archives;
-    a bad archive gives one row with ``error`` instead of failing the job."""
-    return spark.read.format("binaryFile").load(path_glob).select("path", "content").mapInPandas(
-        _unzip_batches, "archive string, member string, src string, error string")
+    """:func:`unpacked` of the archives that match a path."""
+    return unpacked(spark.read.format("binaryFile").load(path_glob))
+
+
+def wheel_name(archive: Column) -> Column:
+    """Package and version from a wheel's file name ``<pkg>-<ver>-...whl`` -> struct(pkg, ver)."""
+    file = F.substring_index(archive, "/", -1)
+    return F.struct(F.split_part(file, F.lit("-"), F.lit(1)).alias("pkg"), F.split_part(file, F.lit("-"), F.lit(2)).alias("ver"))
 
 
 def metadata_requirements(members: DataFrame) -> DataFrame:
@@ -147,10 +186,11 @@ def module_index(pages: DataFrame, prefix: str) -> DataFrame:
         "page_id", F.col("a.href").alias("href"), F.col("a.text").alias("name"))
 
 
-def wheel_modules(members: DataFrame, package: str | None = None) -> DataFrame:
+def wheel_modules(members: DataFrame) -> DataFrame:
     """Modules of wheel archives from member paths.
 
-    Top levels come from ``*.dist-info/top_level.txt`` (else ``package``).  A
+    Top levels come from ``*.dist-info/top_level.txt``, else from the package
+    in the archive's own file name.  A
     top level that is a directory contributes every ``.py`` (not ending in
     ``setup.py``) and ``.pyi`` file whose directories below the top level all
     hold an ``__init__.py``; a top level ``T.py`` / ``T.pyi`` is a single-file
@@ -159,10 +199,8 @@ def wheel_modules(members: DataFrame, package: str | None = None) -> DataFrame:
     tl_files = members.where(F.col("member").endswith(".dist-info/top_level.txt"))
     tops = tl_files.select("archive", F.explode(F.split(F.trim("src"), r"\s*\n\s*")).alias("top_level")) \
         .where(F.col("top_level") != "")
-    if package is not None:
-        fallback = members.select("archive").distinct().join(tl_files.select("archive"), "archive", "left_anti") \
-            .withColumn("top_level", F.lit(package))
-        tops = tops.unionByName(fallback)
+    fallback = members.select("archive").distinct().join(tl_files.select("archive"), "archive", "left_anti")
+    tops = tops.unionByName(fallback.withColumn("top_level", wheel_name(F.col("archive"))["pkg"])).distinct()
     files = members.where(F.col("member").rlike(r"\.pyi?$")).select(
         "archive", "member", "src", F.regexp_extract("member", r"\.(pyi?)$", 1).alias("src_kind"),
         F.split("member", "/").alias("_p"))

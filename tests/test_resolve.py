@@ -111,3 +111,27 @@ def test_a_deep_diamond_is_linear(spark):
     got = K.follow(spark.createDataFrame([("p", "1", "p.a0.known"), ("p", "1", "p.a0.unknown")], "pkg string, ver string, key string"), df, BY).collect()
     assert [tuple(r) for r in got] == [("p", "1", "p.a0.known", "p.b30.known", "function")]
     assert time.time() - began < 300
+
+
+def test_prefixes_and_quantiles_of_reports(spark):
+    from pkgscope.operators import reports as R
+
+    apis = spark.createDataFrame([("p", "p.a.f"), ("p", "p.ab.f"), ("p", "p.in.g"), ("q", "p.in.g")], "u_pkg string, api string")
+    hidden = spark.createDataFrame([("p", "p.in"), ("p", "p.a")], "u_pkg string, prefix string")
+    assert {tuple(r) for r in R.outside(apis, hidden).collect()} == {("p", "p.ab.f"), ("q", "p.in.g")}
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 5, 301)] + [("b", float(x)) for x in rng.normal(size=40)] + [("c", 1.5), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["q"] for r in R.exact_quantiles(df, ["g"], "x", probs).collect()}
+    for g in "abc":
+        assert np.allclose(got[g], np.quantile([x for k, x in rows if k == g and x is not None], probs))
+    assert np.allclose(R.exact_quantiles(df, [], "x", probs).first()["q"], np.quantile([x for _, x in rows if x is not None], probs))
+    assert [r["q"] for r in R.exact_quantiles(df.limit(0), [], "x", probs).collect()] == [[None] * 5] and R.exact_quantiles(df.limit(0), ["g"], "x", probs).count() == 0
+
+
+def test_overlaps_count_each_name_once(spark):
+    from pkgscope.operators import reports as R
+
+    sets = spark.createDataFrame([("x", "one"), ("x", "one"), ("x", "two"), ("y", "two"), ("z", "two")], "api string, source string")
+    assert {tuple(r) for r in R.public_overlap(sets, ["one", "two"]).collect()} == {(True, True, 1), (False, True, 2)}
