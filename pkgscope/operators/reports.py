@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pkgscope.functions import versions as V
+from pkgscope.operators import catalog as K
 from pkgscope.session import cut_lineage
 
 # --- fixed values: report bucket labels and error classes of the study ---
@@ -70,6 +71,28 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int = 50, seed: int
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def extracted_types(names: DataFrame, entities: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:
+    """What observed names (by + key) are in a catalogue: ``Missing`` if it
+    doesn't hold them (K6), ``Unresolved`` if they lead to nothing (K8), else
+    the kind of what they name -> by + key, extracted_type.  entities: by +
+    key, kind, module; objects: one row per key (``chainmatch.one_per_key``)."""
+    held = K.contains(names.select(*by, "key").distinct(), entities, by)
+    found = K.follow(names, objects, by)
+    kind = F.when(F.col("result_kind") == "module", "Package").otherwise(F.initcap("result_kind"))
+    return held.join(found, [*by, "key"], "left").select(
+        *by, "key", F.when(~F.col("in_old"), "Missing").when(F.col("result_kind").isNull(), "Unresolved").otherwise(kind).alias("extracted_type"))
+
+
+def coverage_totals(coverage: DataFrame) -> DataFrame:
+    """Used and total APIs of all packages together."""
+    return coverage.agg(F.sum("used").alias("used"), F.sum("total").alias("total")).withColumn("coverage", F.col("used") / F.col("total"))
+
+
+def requirements_covered(reqs: DataFrame) -> DataFrame:
+    """Packages, versions and rows that the distribution covers."""
+    return reqs.agg(F.count_distinct("c_pkg").alias("packages"), F.count_distinct("c_pkg", "c_ver").alias("versions"), F.count(F.lit(1)).alias("n"))
+
+
 def headline_counts(stats: DataFrame) -> DataFrame:
     """Packages, versions, versions and packages with a wheel."""
     w = F.col("wheel").isNotNull()

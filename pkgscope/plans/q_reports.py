@@ -67,6 +67,15 @@ def q_r5(spark, sf_dir):
     return _round(R.macro_average(R.precision_buckets(binding(spark, sf_dir, "b_probe"))), ["avg_share_match"])
 
 
+@register("R7_macro_average", PROBE_SQL + """
+SELECT round(avg(share), 9) AS macro_average FROM (
+  SELECT count(*) FILTER (WHERE dynamic_type = extracted_type) / count(*) FILTER (WHERE dynamic_type = extracted_type OR extracted_type IN ('Variable', 'Unresolved', 'Missing') OR dynamic_type <> extracted_type) AS share
+  FROM b_probe GROUP BY package)""")
+def q_r7(spark, sf_dir):
+    d = R.macro_average(R.recall_buckets(binding(spark, sf_dir, "b_probe")))
+    return d.select(F.round(d[d.columns[0]], 9).alias("macro_average"))
+
+
 @register("R8_extracted_type_counts", PROBE_SQL + """
 SELECT package, extracted_type, count(*) AS n FROM b_probe GROUP BY package, extracted_type""")
 def q_r8(spark, sf_dir):
@@ -188,6 +197,11 @@ def q_r13(spark, sf_dir):
     return _round(R.spec_type_distribution(binding(spark, sf_dir, "b_req")), ["share"])
 
 
+@register("R13_requirements_covered", V9_SQL + "SELECT count(DISTINCT c_pkg) AS packages, count(DISTINCT (c_pkg, c_ver)) AS versions, count(*) AS n FROM b_req")
+def q_r13_covered(spark, sf_dir):
+    return R.requirements_covered(binding(spark, sf_dir, "b_req"))
+
+
 # ------------------------------------------------------------------ usage reports
 
 def api_usage(spark, sf_dir):
@@ -283,6 +297,17 @@ def q_r30(spark, sf_dir):
     return R.per_api(api_usage(spark, sf_dir)).select("u_pkg", "api", R.is_public(F.col("api")).alias("is_public"))
 
 
+_COVERAGE = """,
+tot AS (SELECT u_pkg, count(*) AS total FROM (SELECT DISTINCT 'pkg' || CAST(l_partkey % 50 AS VARCHAR) AS u_pkg, l_partkey FROM lineitem) GROUP BY u_pkg),
+used AS (SELECT u_pkg, count(DISTINCT api) AS used FROM pa GROUP BY u_pkg)
+SELECT sum(coalesce(used, 0))::BIGINT AS used, sum(total)::BIGINT AS total, round(sum(coalesce(used, 0)) / sum(total), 9) AS coverage FROM tot LEFT JOIN used USING (u_pkg)"""
+
+
+@register("R26_overall_coverage", U1_SQL + _COVERAGE)
+def q_r26_overall(spark, sf_dir):
+    return _round(R.coverage_totals(q_r26(spark, sf_dir)), ["coverage"])
+
+
 #: Internal sub-packages: what they hold is not public whatever its name.  Fixed values.
 INTERNAL = ["pkg.f1", "pkg.f22"]
 
