@@ -12,8 +12,10 @@ Both write to tables under a shared folder (the cluster's
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_files(df: DataFrame, path: str, parts: int, key: str) -> None:
+def stage_files(df: DataFrame, path: str, parts: int, key: str, mode: str = "overwrite") -> None:
     """Write ``df`` as ``parts`` files (arriving batches of a landing folder)."""
-    df.repartition(parts, key).write.mode("overwrite").parquet(path)
+    df.repartition(parts, key).write.mode(mode).parquet(path)
 
 
 def _landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None) -> DataFrame:
@@ -69,12 +71,16 @@ def incremental_catalogue(spark: SparkSession, landing: str, out: str, checkpoin
 
 
 def incremental_usage(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                      max_files_per_trigger: int | None = None) -> None:
+                      max_files_per_trigger: int | None = None, row_key: list[str] | None = None) -> None:
     """Usage totals per (client, upstream version, API) over all match
     rows seen so far (state = one row per group, the size of the result).  A
     batch writes only the groups it changed; :func:`usage_totals` reads the
-    newest row of each group."""
+    newest row of each group.  With ``row_key`` (such as client, file and
+    chain) a match row counts once however often its file lands; the keys seen
+    are state too, the size of the distinct input."""
     stream = _landing_stream(spark, landing, max_files_per_trigger)
+    if row_key:
+        stream = stream.dropDuplicates(row_key)
     agg = (
         stream.where(F.col("status") == "MATCH")
         .groupBy(*USAGE_KEYS)
@@ -90,6 +96,37 @@ def incremental_usage(spark: SparkSession, landing: str, out: str, checkpoint: s
 
 
 def usage_totals(spark: SparkSession, out: str) -> DataFrame:
-    """T2's table: the totals of the newest batch that changed each group."""
+    """T2's table: the totals of the newest batch that changed each group,
+    from the last compaction and the batches after it."""
+    batches, (base, upto) = spark.read.parquet(out), _compacted(spark, out)
+    if base is not None:  # folders up to there are pruned by their names
+        batches = batches.where(F.col("batch") > upto).unionByName(base.withColumn("batch", F.lit(upto)))
     newest = F.max_by(F.struct("files", "calls"), "batch").alias("_t")
-    return spark.read.parquet(out).groupBy(*USAGE_KEYS).agg(newest).select(*USAGE_KEYS, "_t.*")
+    return batches.groupBy(*USAGE_KEYS).agg(newest).select(*USAGE_KEYS, "_t.*")
+
+
+def _compacted(spark: SparkSession, out: str) -> tuple[DataFrame | None, int]:
+    """The last compaction and the batch up to which it goes."""
+    try:
+        upto = max(_numbers(spark.read.parquet(f"{out}-compact"), "upto"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, -1
+    return spark.read.parquet(f"{out}-compact/upto={upto}"), upto
+
+
+def _numbers(df: DataFrame, folder: str) -> set[int]:
+    """The numbers in the names of a table's folders; no file is read."""
+    return {int(n) for path in df.inputFiles() for n in re.findall(rf"/{folder}=(\d+)/", path)}
+
+
+def compact_usage(spark: SparkSession, out: str) -> int:
+    """Write the totals so far as one table beside the batches, under the
+    number of the last batch in it, from which :func:`usage_totals` goes on.
+    A repeated or broken run replaces its own folder only; batches stay where
+    they are for readers of an earlier state.  Run it while no stream writes."""
+    upto = max(_numbers(spark.read.parquet(out), "batch"))
+    if upto > _compacted(spark, out)[1]:
+        usage_totals(spark, out).write.mode("overwrite").parquet(f"{out}-compact/upto={upto}")
+    return upto
