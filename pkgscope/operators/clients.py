@@ -100,24 +100,27 @@ def find_clients(reqs: DataFrame, client_times: DataFrame, releases: DataFrame,
     rel = share(release_versions(releases).join(upstreams.select("pkg").distinct(), "pkg", "left_semi"))
     cr = share(client_requirements(reqs, upstreams))
     sat = share(spec_versions(cr, rel))
-    summ = spec_summary(sat)
+    summ = share(spec_summary(sat))
     rows = (
         cr.join(client_times, ["c_pkg", "c_ver"])
         .withColumnRenamed("u_pkg", "dep").withColumnRenamed("u_spec", "spec")
-        .join(summ, ["dep", "spec"], "left")
+        .join(summ.drop("u_vers"), ["dep", "spec"], "left")
     )
     rows = asof_newest(rows, sat, "c_time")
     out = rows.select(
         "c_pkg", "c_ver", "c_time", F.col("dep").alias("u_pkg"), F.col("spec").alias("u_spec"),
         F.when(F.col("c_time") > F.col("_last_time"), F.col("_best_all")).otherwise(F.col("_pub")).alias("u_ver_published"),
-        "u_ver_current", F.coalesce("u_vers", F.lit("")).alias("u_vers"),
+        "u_ver_current",
     )
-    if not drop_failing:
-        return out
-    # C5 with a partial aggregate + anti join rather than a window, so a huge
-    # client package is never buffered in one task.
-    bad = out.where(F.col("u_ver_published").isNull() | F.col("u_ver_current").isNull()).select("c_pkg").distinct()
-    return out.join(bad, "c_pkg", "left_anti")
+    if drop_failing:
+        # C5 with a partial aggregate + anti join rather than a window, so a huge
+        # client package is never buffered in one task.
+        out = share(out)
+        bad = out.where(F.col("u_ver_published").isNull() | F.col("u_ver_current").isNull()).select("c_pkg").distinct()
+        out = out.join(bad, "c_pkg", "left_anti")
+    # the version lists, by far the widest column, only meet the rows that stay
+    lists = summ.select(F.col("dep").alias("u_pkg"), F.col("spec").alias("u_spec"), "u_vers")
+    return out.join(lists, ["u_pkg", "u_spec"], "left").select("c_pkg", "c_ver", "c_time", "u_pkg", "u_spec", "u_ver_published", "u_ver_current", F.coalesce("u_vers", F.lit("")).alias("u_vers"))
 
 
 def sample_clients(clients: DataFrame) -> DataFrame:
