@@ -221,6 +221,31 @@ def test_windows_of_declared_templates(window):
     assert row[2] == looks_back(TURNS) and row[4] is None
 
 
+@pytest.mark.parametrize("template, at", [
+    (lambda ts: "".join(f"[{r}]{t}" for r, t in ts[-80:]), 80),
+    (lambda ts: "".join(f"[{r}]{t if i > len(ts) - 90 else t[:4]}" for i, (r, t) in enumerate(ts)), 89),
+    (lambda ts: "<s>" + "".join(f"[{r}]{t}" for r, t in ts if len(ts) < 299 or r == "user"), 298),
+    (lambda ts: "".join(f"[{r}]{t}" for r, t in ts), None)])
+@pytest.mark.parametrize("chunk_chars", [1, 64, 1 << 20])
+def test_declarations_do_not_hide_rewritten_history(template, at, chunk_chars):
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(300)]
+    rows = [(c, *t) for c in (1, 2) for t in turns] + [(3, "user", "hello")]
+    got = list(chat.format_rows(rows, chat.turn_local(template), 32, chunk_chars))
+    for conv in (1, 2):
+        mine = [r for r in got if r[0] == conv]
+        assert [r[1] for r in mine] == list(range(len(mine))) and mine[-1][4] == at
+        assert "".join(r[2] for r in mine) == template(turns[:at])
+        bodies = [r[2][s["body_start"]:s["body_end"]] for r in mine for s in r[3]]
+        assert bodies == [t for _, t in turns[:at]]
+    assert [r[2:] for r in got if r[0] == 3][0][0] == template([("user", "hello")])
+
+
+def test_conversations_beyond_the_compared_length_stream():
+    turns = [(1, "user" if i % 2 else "assistant", f"text {i}") for i in range(3000)]
+    got = list(chat.format_rows(turns, chat.turn_template, 4, 1 << 10, whole_chars=5000))
+    assert "".join(r[2] for r in got) == chat.turn_template([t[1:] for t in turns]) and got[-1][4] is None
+
+
 # --- exact top-k
 
 def test_top_k_equals_all_pairs(spark):
