@@ -12,7 +12,7 @@ fitted texts, each left out of its own estimate.  A text further below all of
 them than the fitted texts lie has its score lowered towards 0.
 
 The machines are fitted on the driver on a bounded sample of the labelled
-rows (``per_language`` rows of each language, found by a hash of the row), by
+rows (``per_language`` distinct texts of each language, chosen by a hash), by
 dual coordinate descent on the squared hinge loss.  All rows are predicted,
 over their whole texts.
 
@@ -33,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pkgscope.llm import common
 
@@ -242,19 +243,29 @@ def machines(x: np.ndarray, labels: np.ndarray) -> Machines:
     return Machines(classes, pairs, np.array(rows) if rows else np.zeros((0, x.shape[1] + 1)))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 200,
-        max_rows: int = 8000) -> Model:
-    """Fit on about ``per_language`` rows of each of the ``max_languages``
-    most frequent languages, of ``max_rows`` in all; at most twice as many
-    reach the driver, at 16 KB a row.  Rows are chosen by a hash of their text."""
-    rows = common.pick(labelled, text=text_col, lang=lang_col).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_rows: int = 8000) -> DataFrame:
+    """``lang, text``: up to ``per_language`` distinct texts of every language,
+    fewer of each where all languages together would pass ``max_rows``.  Texts
+    are chosen by a hash, so copies of a text are one, a language that is rare
+    beside a much copied text keeps its rows, and the choice doesn't depend on
+    how rows are partitioned.  More than ``max_rows`` languages are an error."""
+    rows = common.pick(labelled, text=text_col, lang=lang_col).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text", F.lit(11)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).limit(max_rows + 1).collect()}
+    if len(counts) > max_rows:
+        raise ValueError(f"more than {max_rows} languages: raise max_rows or clean the labels")
     if not counts:
-        return Model()
-    per_language = max(1, min(per_language, max_rows // len(counts)))
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30)
-    sample = rows.filter(drawn).limit(2 * per_language * len(counts))
+        return rows.select("lang", "text").limit(0)
+    each = min(per_language, max_rows // len(counts))
+    # thinned first, with room for the error of the count and for chance, so that little text moves and each window stays small
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, (1.5 * each + 30) / max(n, 1)))])
+    thin = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30)).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return thin.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_rows: int = 8000) -> Model:
+    """Fit on the :func:`sample`: at most ``max_rows`` rows of 16 KB reach the driver."""
+    drawn = sample(labelled, text_col, lang_col, per_language, max_rows)
 
     def features(batch: pa.RecordBatch):
         raw = common.text_bytes(batch)
@@ -265,7 +276,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
             n = [int(c.sum()) for c in counts]
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(use)), pa.array(x, pa.binary()), pa.array(n, pa.int64())], names=["lang", "x", "n"])
 
-    got = common.map_batches(sample, features, "lang string, x binary, n bigint").collect()
+    got = common.map_batches(drawn, features, "lang string, x binary, n bigint").collect()
     if not got:
         return Model()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the fit does not depend on the order of arrival

@@ -11,6 +11,7 @@ import pytest
 import regex
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pkgscope.llm import bpe, langid, packing, quality, queries, secrets, token_counts
@@ -280,6 +281,55 @@ def test_languages_of_odd_texts(odd, docs):
     assert one.predict(b"abc") == ("en", 1.0)
 
 
+def plain_prediction(model, raw):
+    """The families and then the languages by a loop over all pairs of classes."""
+    x = langid.vector(raw)
+
+    def best(m):
+        if len(m.classes) == 1:
+            return m.classes[0], 1.0
+        won = dict.fromkeys(m.classes, 0.0)
+        for (a, b), w in zip(m.pairs, m.weights):
+            p = 1 / (1 + np.exp(-4 * (sum(w[:-1] * x) + w[-1])))
+            won[m.classes[a]] += p / (len(m.classes) - 1)
+            won[m.classes[b]] += (1 - p) / (len(m.classes) - 1)
+        lang = max(sorted(won), key=won.get)
+        return lang, won[lang]
+
+    family, p = best(model.families)
+    lang, q = best(model.within[family])
+    return lang, p * q
+
+
+def test_predictions_equal_a_plain_loop(spark, sample):
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").filter(langid.fold(F.col("doc_id")) != 1)
+    model = langid.fit(labelled)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op7_language_id(spark, SF).collect()}
+    assert got.keys() == sample.keys()
+    for i, text in sample.items():
+        raw = (text or "").encode()
+        if not regex.search(r"\p{L}", text or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        lang, score = plain_prediction(model, raw)
+        like = model.like.of(langid.trigrams(raw)) if model.like and lang in model.like.languages else 1.0
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score * like)
+
+
+def test_samples_are_of_distinct_texts_and_of_all_languages(spark, docs):
+    """One text holds most rows of a language, another language is rare, and there are many."""
+    rows = [(i, "the same text again", "en", "s", 1) for i in range(3000)] + [(i, f"some text of number {i}", "en", "s", 1) for i in range(60)]
+    rows += [(i, f"ein seltener Text {i}", "de", "s", 1) for i in range(2)] + [(i, f"words of x{i}", f"x{i}", "s", 1) for i in range(250)]
+    df = docs([*rows, (1, None, "en", "s", 1), (2, "no label", None, "s", 1)])
+    for parts in (1, 7):
+        got = Counter(r["lang"] for r in langid.sample(df.repartition(parts)).collect())
+        assert got["en"] == 8000 // 252 and got["de"] == 2 and len(got) == 252
+    same = [sorted(map(tuple, langid.sample(df.repartition(n), per_language=20).collect())) for n in (1, 5)]
+    assert same[0] == same[1]
+    with pytest.raises(ValueError, match="languages"):
+        langid.sample(df, max_rows=100)
+
+
 @pytest.mark.parametrize("text", ["²", "123 _ !", "́", "٣"])
 def test_texts_without_letters(text):
     assert not langid.has_letter(text.encode()) and not regex.search(r"\p{L}", text)
