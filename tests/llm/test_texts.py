@@ -132,6 +132,53 @@ def test_chains_of_long_texts():
     assert sum(k == "novel" for k, *_ in secrets.Scanner().spans(text)[1]) == 10_000
 
 
+#: alphabet -> least share of planted random strings of 12 to 40 characters that is found
+ALPHABETS = {"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 0.985, "abcdefghijklmnopqrstuvwxyz0123456789": 0.985,
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 0.98, "0123456789ABCDEF": 0.995, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz": 0.95}
+AROUND = ["Authorization: Bearer {}\nAccept: */*", "the private key is {} and nobody should read it, as he said to the others of the house", "credential -> {}\nregion -> eu",
+          "{} was the passphrase that she had set", "def login():\n    signature('{}')\n    return session.get(url, timeout=10)"]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return secrets.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_recall_of_planted_strings(learned, alphabet):
+    rng, scan, found = np.random.default_rng(3), secrets.Scanner(learned), 0
+    for i in range(1000):
+        string = "".join(rng.choice(list(alphabet), (12, 16, 20, 24, 32, 40)[i % 6]))
+        text = AROUND[i % 5].format(string)
+        a = text.index(string)
+        found += any(x <= a and a + len(string) <= y for k, x, y in scan.spans(text)[1] if k == "novel" or k == "hex")
+    assert found >= 1000 * ALPHABETS[alphabet]
+
+
+def test_words_of_prose_are_left_alone(learned, sample):
+    """Sensitive words strewn into whole documents: below 1 % of the long words near them are reported, and none of most texts."""
+    scan, near, wrong = secrets.Scanner(learned), 0, 0
+    for text in sample.values():
+        words = (text or "").split(" ")
+        for i in range(5, len(words), 20):
+            words[i] = ("token", "the password", "bearer", "signature")[i // 20 % 4]
+        text = " ".join(words)
+        base, spans = scan.spans(text)
+        covered = [(a, b) for _, a, b in base]
+        near += sum(not any(x <= a and b <= y for x, y in covered) for a, b in scan.candidates(text))
+        wrong += len(spans) - len(base)
+    assert near > 100 and wrong < 0.01 * near
+
+
+def test_identifiers_are_counted_over_distinct_texts(docs):
+    secret = "xkqvzjwpfhgbtdmnrq"
+    rows = [(i, f"value {i} of parseHeader in config_loader then {secret}", "en", "s", 1) for i in range(30)] + [(i, "copied_name over and over", "en", "s", 1) for i in range(500)]
+    names = secrets.learn(docs(rows)).identifiers.split()
+    assert "parseHeader" in names and "config_loader" in names and secret not in names and "copied_name" not in names
+    assert secrets.learn(docs([])).identifiers.split() == secrets.IDENTIFIERS.split()
+    assert secrets.learn(docs(rows).repartition(7)) == secrets.learn(docs(rows).coalesce(1))
+
+
 def test_redaction_takes_effect_and_keeps_rows(odd, docs):
     df = docs([(1, "my password=abcdefghijklmnop ok", "en", "s", 31), (2, None, None, None, None), (3, "plain", "en", "s", 5)])
     got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
