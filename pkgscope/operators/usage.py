@@ -36,6 +36,14 @@ def violations(matches: DataFrame) -> DataFrame:
     return matches.where(F.col("status") != "MATCH")
 
 
+def violation_lines(matches: DataFrame, by: list[str]) -> DataFrame:
+    """The places of U10: one row per message and file with the distinct
+    ``lines`` of all its chains, ascending.  A group is bounded by one file."""
+    keys = [*by, "status", "message", "src_file"]
+    lines = violations(matches).select(*keys, F.explode("lines").alias("line")).distinct()
+    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
 def pair_totals(matches: DataFrame, by: list[str]) -> DataFrame:
     """Number of APIs used and number of violations per pair."""
     return matches.groupBy(*by).agg(

@@ -228,6 +228,16 @@ def q_client_totals(spark, sf_dir):
     return U.pair_totals(client_matches(spark, sf_dir), ["c_pkg", "u_pkg"])
 
 
+@register("U10_client_lines", f"""
+SELECT c_pkg, u_pkg, u_ver, status, message, 'main.py:[' || array_to_string(list_sort(list(DISTINCT line)), ', ') || ']' AS affected
+FROM (SELECT *, '1.0' AS u_ver FROM {_CLIENT_ROWS}) WHERE status <> 'MATCH' GROUP BY ALL""")
+def q_client_lines(spark, sf_dir):
+    """The lines to look at for each violation in parsed client code (end to end)."""
+    found = U.violation_lines(client_matches(spark, sf_dir), ["c_pkg", "u_pkg", "u_ver"])
+    return found.select("c_pkg", "u_pkg", "u_ver", "status", "message",
+                        F.concat("src_file", F.lit(":["), F.array_join("lines", ", "), F.lit("]")).alias("affected"))
+
+
 # ------------------------------------------------------------------ diff of two parsed versions
 
 #: What the second version has instead.
