@@ -279,18 +279,16 @@ def _pair_costs(words: str) -> dict[str, float]:
     return {a + b: -log2((pairs[a + b] + 0.25) / (firsts[a] + 0.25 * 26)) for a in f" {letters}" for b in letters}
 
 
-def learn(docs: DataFrame, text_col: str = "text", params: Novelty = Novelty(), sample_rows: int = 2000, entries: int = 400, least: int = 5) -> Novelty:
+def learn(docs: DataFrame, text_col: str = "text", params: Novelty = Novelty(), entries: int = 400, least: int = 5) -> Novelty:
     """``params`` with the identifiers of the texts added to the dictionary:
-    the ``entries`` that occur in most of about ``sample_rows`` distinct texts
-    (chosen by a hash), and in ``least`` of them or more.  They have no digits
-    and are spelled like words, so no secret that is copied from text to text
-    gets into the dictionary.  Only the entries reach the driver."""
-    texts = common.pick(docs, text=text_col).filter("text IS NOT NULL").withColumn("h", F.xxhash64("text", F.lit(13)))
-    total = texts.agg(F.approx_count_distinct("h", 0.05)).first()[0]
-    share = min(1.0, sample_rows / max(total, 1))
-    drawn = texts.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["h"])
-    names = drawn.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(text, '[A-Za-z_]{4,40}', 0)"))).alias("name"))
-    counted = names.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    the ``entries`` that occur in most distinct texts, and in ``least`` of them
+    or more.  Every text counts; copies of a text, told by its hash, count
+    once.  They have no digits and are spelled like words, so no secret that
+    is copied from text to text gets into the dictionary.  Only the entries
+    reach the driver, and only names are shuffled."""
+    names = F.array_join(F.array_distinct(F.expr("regexp_extract_all(text, '[A-Za-z_]{4,40}', 0)")), " ")  # one string: shuffled smaller than an array
+    texts = common.pick(docs, text=text_col).filter("text IS NOT NULL").select(F.xxhash64("text", F.lit(13)).alias("h"), names.alias("names"))
+    counted = texts.dropDuplicates(["h"]).filter("names <> ''").select(F.explode(F.split("names", " ")).alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     found = [r["name"] for r in counted.orderBy(F.desc("n"), "name").limit(4 * entries).collect()]
     plain = Scanner(params)
     kept = [x for x in found if plain.spelled(x) < params.min_ratio * len(x)][:entries]
@@ -299,8 +297,8 @@ def learn(docs: DataFrame, text_col: str = "text", params: Novelty = Novelty(),
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Novelty | None = None) -> DataFrame:
     """One row per document: ``id, base, spans`` with arrays of
-    ``struct<kind, start, end>`` by start, then kind.  No text is shuffled but
-    those that :func:`learn` draws, which gives ``params`` if there are none."""
+    ``struct<kind, start, end>`` by start, then kind.  No text is shuffled.
+    :func:`learn` gives ``params`` if there are none."""
     params = params or learn(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
