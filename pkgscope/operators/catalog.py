@@ -238,10 +238,13 @@ def failed_modules(rows: DataFrame) -> DataFrame:
 def extraction_status(rows: DataFrame) -> DataFrame:
     """Per (pkg, ver): number of modules and of unreadable files and
     the version-level error; the files themselves are :func:`failed_modules`."""
-    return rows.groupBy("pkg", "ver").agg(
-        F.count_if(F.col("rkind") == "failed").alias("n_failed"),
-        F.min(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("error_message"),
-        F.count_distinct("module").alias("n_modules"),
+    # per module first: count_distinct beside the others would double every row
+    each = rows.groupBy("pkg", "ver", "module").agg(
+        F.count_if(F.col("rkind") == "failed").alias("_failed"),
+        F.min(F.when(F.col("rkind") == "version_error", F.col("error"))).alias("_error"),
+    )
+    return each.groupBy("pkg", "ver").agg(
+        F.sum("_failed").alias("n_failed"), F.min("_error").alias("error_message"), F.count("module").alias("n_modules"),
     ).withColumn("error", F.col("error_message").isNotNull())
 
 

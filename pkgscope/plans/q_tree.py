@@ -152,7 +152,7 @@ SELECT 't' || p_partkey AS pkg, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END::B
        (6 + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_modules FROM part""")
 def q_tree_status(spark, sf_dir):
     """A module whose .py and .pyi both fail counts twice; one bad assignment spoils its version."""
-    return K.extraction_status(tree_rows(spark, sf_dir)).select("pkg", "n_failed", "error", "n_modules")
+    return K.extraction_status(P.parse_sources(tree_sources(spark, sf_dir))).select("pkg", "n_failed", "error", "n_modules")
 
 
 @register("E15_tree_methods", f"""
