@@ -14,7 +14,7 @@ from pkgscope.operators import catalog as K
 from pkgscope.operators import parse as P
 from pkgscope.plans import q_tree as T
 from pkgscope.plans.registry import register
-from pkgscope.session import share
+from pkgscope.session import share, share_filled
 from pkgscope.sources import files as S
 from pkgscope.sources.bindings import table
 from pkgscope.sources.tables import new_folder
@@ -148,7 +148,7 @@ CLASS_NAMES = [("C", n) for n in ("s", "__init__", "g", "v", "N", "Nh", "NO", "N
 
 
 def _class_rows(spark, sf_dir):
-    return share(P.parse_sources(T.tree_sources(spark, sf_dir, CLASSES)))
+    return share_filled(P.parse_sources(T.tree_sources(spark, sf_dir, CLASSES)))
 
 
 @register("K11_nested_names", f"SELECT 't' || ks AS pkg, 't' || ks || '.m.' || c AS class_key, n AS name FROM {_P}, (VALUES {', '.join(map(str, CLASS_NAMES))}) AS v(c, n)")

@@ -12,8 +12,8 @@ from pkgscope.operators import chains as A
 from pkgscope.operators import parse as P
 from pkgscope.operators import reports as R
 from pkgscope.plans.registry import register
-from pkgscope.session import share
-from pkgscope.sources.bindings import binding_cte, table
+from pkgscope.session import share_filled
+from pkgscope.sources.bindings import binding_cte, dealt_out, table
 from pkgscope.sources.bindings_sql import BINDINGS
 
 PKG, VER = "pkg", "1.0"
@@ -21,8 +21,8 @@ PKG, VER = "pkg", "1.0"
 
 def source_texts(spark, sf_dir):
     """b_source; the part rows are dealt out over the cores before they grow to texts."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(BINDINGS["b_source"].replace("FROM part", "FROM {parts}"), parts=parts)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return spark.sql(BINDINGS["b_source"].replace("FROM part", "FROM {parts}"), parts=dealt_out(parts, 20000))
 
 
 def sources(spark, sf_dir):
@@ -34,7 +34,7 @@ def sources(spark, sf_dir):
 def parsed(spark, sf_dir):
     """Parsed rows, kept once: several consumers read them, and the Python
     parse is the one stage too costly to run again per consumer."""
-    return share(P.parse_sources(sources(spark, sf_dir)))
+    return share_filled(P.parse_sources(sources(spark, sf_dir)))
 
 
 def client_sources(spark, sf_dir):
@@ -43,7 +43,7 @@ def client_sources(spark, sf_dir):
 
 
 def client_events(spark, sf_dir):
-    return share(P.parse_clients(client_sources(spark, sf_dir)))
+    return share_filled(P.parse_clients(client_sources(spark, sf_dir)))
 
 
 SRC_SQL = binding_cte("b_source") + """,
