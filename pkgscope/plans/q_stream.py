@@ -13,21 +13,26 @@ from pkgscope.plans.registry import ORACLES, register
 from pkgscope.streaming import incremental as T
 
 
+def _half(files: int) -> int:
+    """The files arrive as two batches."""
+    return -(-files // 2)
+
+
 def q_t1(spark, sf_dir):
     base = T.work_dir(spark, "t1")
     landing = os.path.join(base, "landing")
-    T.stage_files(sources(spark, sf_dir), landing, 4, "module")
+    files = T.stage_files(sources(spark, sf_dir), landing, 4, "module")
     out = os.path.join(base, "entities")
-    T.incremental_catalogue(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=2)
+    T.incremental_catalogue(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=_half(files))
     return spark.read.parquet(out).select("module", "name", "key", "kind", "full_alias")
 
 
 def q_t2(spark, sf_dir):
     base = T.work_dir(spark, "t2")
     landing = os.path.join(base, "landing")
-    T.stage_files(usage_matches(spark, sf_dir), landing, 4, "c_pkg")
+    files = T.stage_files(usage_matches(spark, sf_dir), landing, 4, "c_pkg", "src_file")
     out = os.path.join(base, "usage")
-    T.incremental_usage(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=2)
+    T.incremental_usage(spark, landing, out, os.path.join(base, "checkpoint"), max_files_per_trigger=_half(files))
     return T.usage_totals(spark, out)
 
 
@@ -37,11 +42,11 @@ def q_t2_again(spark, sf_dir):
     landing, out, state = (os.path.join(base, n) for n in ("landing", "usage", "checkpoint"))
     rows = usage_matches(spark, sf_dir)
     first = rows.where(F.xxhash64("c_pkg", "src_file") % 2 == 0)
-    T.stage_files(first, landing, 4, "c_pkg")
-    T.incremental_usage(spark, landing, out, state, max_files_per_trigger=2, row_key=rows.columns)
+    files = T.stage_files(first, landing, 4, "c_pkg", "src_file")
+    T.incremental_usage(spark, landing, out, state, max_files_per_trigger=_half(files), row_key=rows.columns)
     T.compact_usage(spark, out)
-    T.stage_files(rows, landing, 4, "src_file", mode="append")
-    T.incremental_usage(spark, landing, out, state, max_files_per_trigger=2, row_key=rows.columns)
+    files = T.stage_files(rows, landing, 4, "src_file", "api", mode="append")
+    T.incremental_usage(spark, landing, out, state, max_files_per_trigger=_half(files), row_key=rows.columns)
     return T.usage_totals(spark, out)
 
 
