@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from pkgscope.operators import diff as D
 from pkgscope.plans import q_chainmatch, q_impact
 from pkgscope.sources.bindings import binding, order_lines
 
@@ -37,3 +38,10 @@ def test_texts_are_distinct_before_they_are_taken_apart(spark):
     assert sorted(r.chain for r in texts.collect()) == ["pkg.f(*)", "pkg.g"]
     items = texts.where(F.size(F.split("chain", r"\.")) > 1)
     assert "Exchange" not in _plan(items)  # what asks for the items reads the stored texts, not the usage rows
+
+
+def test_change_types_are_counted_once(spark):
+    diffs = spark.createDataFrame([("Class Removal", 1, 1), ("Class Addition", 0, 0)], "diff_type string, clients_used long, clients_impacted long")
+    table = D.change_type_table(diffs)
+    assert "hashpartitioning" not in _plan(table)  # the counts are stored: neither reader makes the changes again
+    assert {(r.diff_type, r.n_all, r.n_used) for r in table.collect()} == {("Class Removal", 1, 1), ("Class Addition", 1, 0)}
