@@ -52,3 +52,11 @@ def test_entities_are_made_once_for_types(spark):
     got = {r.key: r.extracted_type for r in R.extracted_types(names, counted, objects, BY).collect()}
     assert got == {"p.g": "Function", "p.lib.V": "Variable", "p.none": "Missing"}
     assert made.value == n
+
+
+def test_entities_are_made_once_for_public_names(spark):
+    rows = _rows(spark).localCheckpoint()
+    counted, made, n = _counted(spark, K.build_entities(rows).select(*BY, "key", "kind", "full_alias", "targets"))
+    got = {r.name for r in K.public_names(counted, K.build_members(rows)).collect()}
+    assert got == {"p.__init__.g", "p.g", "p.lib.V", "p.lib.f", "p.lib.C", "p.lib.C.m"}
+    assert made.value == n
