@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pkgscope.operators import catalog as K
 from pkgscope.operators import chainmatch as CM
+from pkgscope.operators import chains as A
 from pkgscope.operators import parse as P
 from pkgscope.operators import reports as R
 
@@ -60,3 +61,19 @@ def test_entities_are_made_once_for_public_names(spark):
     got = {r.name for r in K.public_names(counted, K.build_members(rows)).collect()}
     assert got == {"p.__init__.g", "p.g", "p.lib.V", "p.lib.f", "p.lib.C", "p.lib.C.m"}
     assert made.value == n
+
+
+def test_objects_are_made_once_for_chains_and_queries(spark):
+    rows = _rows(spark).localCheckpoint()
+    objects, funcs, methods = CM.catalogue_tables(rows, K.build_entities(rows))
+    counted, made, n = _counted(spark, objects)
+    chains = spark.createDataFrame([("p", "1.0", "p.g()"), ("p", "1.0", "p.lib.V")], "pkg string, ver string, chain string")
+    chains = chains.withColumn("chain_id", F.col("chain")).withColumn("items", A.chain_items(F.col("chain")))
+    got = {r.chain: r.status for r in CM.match_chains(chains, counted, funcs, methods, BY).collect()}
+    assert got == {"p.g()": "MISMATCH", "p.lib.V": "MATCH"}
+    assert made.value == n
+    counted, made, n = _counted(spark, CM.one_per_key(objects, BY))
+    asked = spark.createDataFrame([("p", "1.0", "p.g"), ("p", "1.0", "p.lib.C.m")], "pkg string, ver string, key string")
+    got = {r.key: r.result_key for r in K.query_keys(asked, counted, K.build_members(rows), BY).collect()}
+    assert got == {"p.g": "p.lib.f", "p.lib.C.m": "p.lib.C.m"}
+    assert made.value == n
