@@ -62,28 +62,27 @@ def dependency_checks(reqs: DataFrame, releases: DataFrame, results: DataFrame)
     message — match rows of the code of that very client version against
     upstream versions.
 
-    The satisfying versions are found on distinct (dep, spec) (V8 join) and
-    reduced to the versions that have results before meeting the client
-    requirement rows, so no requirement is paired with every version.
+    The satisfying versions are found on distinct (dep, spec) (V8 join).  The
+    requirements of a client version meet the versions that this very client
+    version was checked against, before any result row: a result is never
+    paired with the specifiers of other clients, nor a requirement with
+    versions that its client has no results for.
     Versions are compared by PEP 440 key ('1.1' is '1.1.0')."""
     reqs = share(reqs.select("c_pkg", "c_ver", "dep", "spec").distinct())
     sat = share(V.matching_versions(reqs, releases))
     n_apis = sat.groupBy("dep", "spec").agg(F.count(F.lit(1)).alias("vers_with_apis"))
+    results = results.withColumnRenamed("u_pkg", "dep")
+    tried = share(results.select("c_pkg", "c_ver", "dep", "u_ver").distinct())
     # Keys only for distinct versions: (dep, result version text) -> (spec, catalogue version)
-    res_vers = results.select(F.col("u_pkg").alias("dep"), "u_ver").distinct().withColumn("_k", V.version_key(F.col("u_ver")))
+    res_vers = tried.select("dep", "u_ver").distinct().withColumn("_k", V.version_key(F.col("u_ver")))
     ver_map = (
         sat.select("dep", "ver").distinct().withColumn("_k", V.version_key(F.col("ver")))
         .join(res_vers, ["dep", "_k"])
         .join(sat, ["dep", "ver"])
         .select("dep", "u_ver", "spec", F.col("ver").alias("dep_ver"))
     )
-    return (
-        results.withColumnRenamed("u_pkg", "dep")
-        .join(ver_map, ["dep", "u_ver"])
-        .join(reqs, ["c_pkg", "c_ver", "dep", "spec"])
-        .join(n_apis, ["dep", "spec"])
-        .drop("u_ver")
-    )
+    met = share(reqs.join(tried, ["c_pkg", "c_ver", "dep"]).join(ver_map, ["dep", "u_ver", "spec"]).join(n_apis, ["dep", "spec"]))
+    return results.join(met, ["c_pkg", "c_ver", "dep", "u_ver"]).drop("u_ver")
 
 
 def coverage(reqs: DataFrame, releases: DataFrame) -> DataFrame:
@@ -134,17 +133,22 @@ def newest_with_violations(summ: DataFrame, n: int = 10) -> DataFrame:
     return summ.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= n) & (F.col("num_violations") > 0)).drop("_r")
 
 
+def of_versions(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` of the chosen client versions."""
+    return rows.join(chosen.select("c_pkg", "c_ver"), ["c_pkg", "c_ver"], "left_semi")
+
+
 def violation_report(viol: DataFrame, chosen: DataFrame, releases: DataFrame, reqs: DataFrame) -> DataFrame:
     """Violations of the chosen versions grouped by (c_ver, dep,
     dep_ver, message); a group is dropped when its first row is MISSING or
     has prob < 0.5, or when dep_ver is not the newest satisfying version of
     the dependency.  ``affected`` lists ``file:[lines]`` of the group."""
-    v = viol.join(chosen.select("c_pkg", "c_ver"), ["c_pkg", "c_ver"], "left_semi")
+    v = of_versions(viol, chosen)
     # Newest satisfying version per (client version, dep); the last declared
     # requirement of a dep decides when a dep is declared twice (largest spec text).
     sat = V.matching_versions(reqs, releases).withColumn("_k", V.version_key(F.col("ver")))
     last_req = (
-        reqs.join(chosen.select("c_pkg", "c_ver"), ["c_pkg", "c_ver"], "left_semi")
+        of_versions(reqs, chosen)
         .groupBy("c_pkg", "c_ver", "dep").agg(F.max("spec").alias("spec"))
     )
     newest = (

@@ -8,6 +8,7 @@ from pkgscope.operators import clients as C
 from pkgscope.operators import usage as U
 from pkgscope.plans.q_versions import FILES_SQL, release_files, requirements
 from pkgscope.plans.registry import register
+from pkgscope.session import cut_lineage
 from pkgscope.sources.bindings import binding, binding_cte, table
 
 PAIR = ["c_pkg", "u_pkg", "u_ver"]
@@ -123,6 +124,13 @@ def q_u9(spark, sf_dir):
     return U.newest_with_violations(U.summaries(chk, reqs))
 
 
+def reported(spark, sf_dir):
+    """A few versions of each package are chosen first, and only their checks are gone into."""
+    reqs, rel, chk = checks(spark, sf_dir)
+    chosen = cut_lineage(U.newest_with_violations(U.summaries(chk, reqs)))
+    return U.violation_report(U.with_confidence(U.of_versions(chk, chosen)), chosen, rel, reqs)
+
+
 @register("U10_violation_report", CHECKS_SQL + """,
 lastreq AS (SELECT c_pkg, c_ver, dep, max(spec) AS spec FROM rq WHERE (c_pkg, c_ver) IN (SELECT c_pkg, c_ver FROM chosen) GROUP BY ALL),
 newest AS (SELECT l.c_pkg, l.c_ver, l.dep, arg_max(m.ver, vk2.k) AS newest FROM lastreq l
@@ -138,9 +146,7 @@ SELECT g.c_pkg, g.c_ver, g.dep, dep_spec, g.dep_ver, violation, g.message, round
 FROM g LEFT JOIN newest n ON n.c_pkg = g.c_pkg AND n.c_ver = g.c_ver AND n.dep = g.dep
 WHERE violation <> 'MISSING' AND confidence >= 0.5 AND g.dep_ver = n.newest""")
 def q_u10(spark, sf_dir):
-    reqs, rel, chk = checks(spark, sf_dir)
-    chosen = U.newest_with_violations(U.summaries(chk, reqs))
-    rep = U.violation_report(U.with_confidence(chk), chosen, rel, reqs)
+    rep = reported(spark, sf_dir)
     return rep.withColumn("confidence", F.round("confidence", 9))
 
 
@@ -160,9 +166,7 @@ FROM rep LEFT JOIN (SELECT 'app' || (c_custkey % 100) AS name, count(*) AS depen
 def q_u11(spark, sf_dir):
     """U10 rows with the client package's download figure, ordered by it
     descending, then version and message ascending (plain text order)."""
-    reqs, rel, chk = checks(spark, sf_dir)
-    chosen = U.newest_with_violations(U.summaries(chk, reqs))
-    rep = U.violation_report(U.with_confidence(chk), chosen, rel, reqs)
+    rep = reported(spark, sf_dir)
     dep = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("app"), F.col("c_custkey") % 100).alias("c_pkg")).agg(
         F.count(F.lit(1)).alias("downloads"))
     return (rep.join(dep, "c_pkg", "left").na.fill(0, ["downloads"])
