@@ -24,3 +24,18 @@ def test_chat_text_is_the_same_on_both_sides_of_the_switch(spark):
         assert "".join(r[2] for r in rows) == whole
         results.append([(s["turn"], s["start"], s["end"], s["body_start"], s["body_end"]) for r in rows for s in r[3]])
     assert all(r == results[-1] for r in results)
+
+
+def test_the_built_in_template_is_rendered_on_every_whole_prefix():
+    """No prefix is left out, whatever the length of the conversation or of its text."""
+    turns = [("c", ("user", "assistant")[i % 2], f"text {i}") for i in range(150)]
+    seen = set()
+
+    def watched(prefix):
+        seen.add(len(prefix))
+        return chat.turn_template(prefix)
+
+    watched.__dict__.update(chat.turn_template.__dict__)  # with what it declares
+    rows = list(chat.format_rows(iter(turns), watched, 32, 1 << 10, whole_chars=500))
+    assert seen == set(range(151))
+    assert "".join(r[2] for r in rows) == chat.turn_template([t[1:] for t in turns]) and rows[-1][4] is None
